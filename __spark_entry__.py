@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,7 +20,9 @@ from shelfwise.operators import (  # noqa: E402
 from shelfwise.plans import jobs, views  # noqa: E402
 from shelfwise.session import shared_folder  # noqa: E402
 from shelfwise.sources import dirty  # noqa: E402
-from shelfwise.sources.files import BASE_TABLES  # noqa: E402
+from shelfwise.sources.files import (  # noqa: E402
+    BASE_TABLES, read_csv, read_table, write_csv, write_table,
+)
 from shelfwise.sources.grading import grading_tables  # noqa: E402
 from shelfwise.sources.tables import Tables  # noqa: E402
 
@@ -120,6 +123,9 @@ QUESTIONS: dict[str, Question] = {
     "audit_not_null": audits.not_null,
     "audit_not_null_dirty": lambda t: audits.not_null(_all_dirty(t)),
     "audit_stock_balance": lambda t: audits.count_rule(audits.stock_balance(t), "stock balance", "inventory"),
+    "audit_stock_balance_dirty": lambda t: audits.count_rule(
+        audits.stock_balance(_all_dirty(t)), "stock balance", "inventory"
+    ),
     "audit_stock_continuity": lambda t: audits.count_rule(
         audits.stock_continuity(t), "stock continuity", "inventory"
     ),
@@ -171,6 +177,21 @@ def _flag_low_stock(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.read_alerts(spark, path).drop("flagged_at")
 
 
+def _through_csv(spark: SparkSession, folder: str) -> DataFrame:
+    target = _scratch(spark)
+    write_csv(grading_tables(spark, folder)["deliveries"], target, "deliveries")
+    return read_csv(spark, target, "deliveries").withColumns(
+        {c: F.col(c).cast("bigint") for c in ["promised_time_mins", "actual_time_mins"]}
+    )
+
+
+def _through_parquet(spark: SparkSession, folder: str) -> DataFrame:
+    target = _scratch(spark)
+    stock = grading_tables(spark, folder)["inventory"]
+    write_table(stock, target, "inventory")
+    return read_table(spark, target, "inventory").drop("inventory_id")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The store scorecard: four measures from orders, deliveries and stock for every store."""
     return dashboard.store_scorecard(grading_tables(spark, "/root/testdata/sf0.001"))
@@ -182,6 +203,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         **{name: bound(question) for name, question in QUESTIONS.items()},
+        "source_csv_deliveries": _through_csv,
+        "source_parquet_inventory": _through_parquet,
         "job_refresh_dashboard": _refresh_dashboard,
         "job_refresh_months": _refresh_months,
         "job_flag_low_stock": _flag_low_stock,

@@ -569,6 +569,8 @@ def _audits() -> dict[str, str]:
         "audit_not_null": listed(nulls, {}, "not null"),
         "audit_not_null_dirty": listed(nulls, dirty, "not null"),
         "audit_stock_balance": _count("stock balance", "inventory", "count(*)", """c_inventory
+WHERE closing_stock <> greatest(opening_stock + units_received - units_sold - units_wasted, 0)"""),
+        "audit_stock_balance_dirty": _count("stock balance", "inventory", "count(*)", """c_dirty_inventory
 WHERE closing_stock <> greatest(opening_stock + units_received - units_sold - units_wasted, 0)"""),
         "audit_stock_continuity": _count("stock continuity", "inventory", "count(*)", """
 (SELECT opening_stock, lag(closing_stock) OVER (PARTITION BY store_id, product_id ORDER BY stock_date) AS before
@@ -607,9 +609,16 @@ WHERE CAST(order_datetime AS DATE) NOT BETWEEN start_date AND end_date"""),
     }
 
 
+def _sources() -> dict[str, str]:
+    return {
+        "source_csv_deliveries": "SELECT * FROM c_deliveries",
+        "source_parquet_inventory": "SELECT * FROM c_inventory",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     bodies = {
         **_kpi(), **_sales(), **_delivery(), **_customer(), **_inventory(), **_views(), **_dashboards(), **_cleaning(),
-        **_audits(),
+        **_audits(), **_sources(),
     }
     return {name: with_tables(body) for name, body in bodies.items()}

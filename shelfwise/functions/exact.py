@@ -23,7 +23,9 @@ def ratio(part: Column, whole: Column, digits: int = 2, kind: str = "decimal(38,
     """
     part, whole = part.cast(kind), F.nullif(whole.cast(kind), F.lit(0).cast(kind))
     scaled = F.abs(part) * F.lit(2 * 10**digits).cast(kind) + F.abs(whole)
-    quotient = F.call_function("div", scaled, F.abs(whole) * F.lit(2).cast(kind))
+    divisor = F.abs(whole) * F.lit(2).cast(kind)
+    # Without its remainder the division comes out even.  (DIV would do, but it returns a long and wraps.)
+    quotient = (scaled - scaled % divisor) / divisor if kind != "bigint" else F.call_function("div", scaled, divisor)
     sign = F.when((part < 0) != (whole < 0), F.lit(-1)).otherwise(F.lit(1))
     return (quotient * sign).cast("double") / F.lit(float(10**digits))
 

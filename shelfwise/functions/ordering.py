@@ -101,20 +101,24 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, condition).drop(*[f"_k_{key}" for key in keys])
 
 
+def _div(part: Column, whole: Column | int) -> Column:
+    return F.call_function("div", part, F.lit(whole) if isinstance(whole, int) else whole)
+
+
 def tile(position: Column, rows: Column, tiles: int) -> Column:
     """NTILE from a row's position: the first ``rows % tiles`` tiles hold one row more."""
-    size, extra = F.floor(rows / tiles).cast("bigint"), rows % tiles
+    size, extra = _div(rows, tiles), rows % tiles
     long_part = extra * (size + 1)
-    in_long = F.ceil(position / (size + 1))
+    in_long = _div(position + size, size + 1)
     # With fewer rows than tiles every row lies in the long part, so the guard is never used as a size.
-    in_short = extra + F.ceil((position - long_part) / F.greatest(size, F.lit(1)))
+    short = F.greatest(size, F.lit(1))
+    in_short = extra + _div(position - long_part + short - 1, short)
     return F.when(position <= long_part, in_long).otherwise(in_short).cast("bigint")
 
 
 def tile_end(tile_number: int, rows: Column, tiles: int) -> Column:
     """Position of the last row of a tile, NULL when there are too few rows to reach it."""
-    size, extra = F.floor(rows / tiles).cast("bigint"), rows % tiles
-    end = size * tile_number + F.least(extra, F.lit(tile_number))
+    end = _div(rows, tiles) * tile_number + F.least(rows % tiles, F.lit(tile_number))
     return F.when(rows >= tile_number, end)
 
 

@@ -3,7 +3,7 @@
 Facts are aggregated by id before names are joined on: the join then sees one row per id, whatever the
 share of a single store, product or customer.  No join carries a broadcast hint on a table that grows with
 the data; Spark broadcasts a side when its size is below ``spark.sql.autoBroadcastJoinThreshold``, and
-shuffles otherwise.
+shuffles otherwise.  Ids are primary keys, so rows are counted instead of ids: the id column is not even read.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def product_names(t: Tables) -> DataFrame:
 def revenue_by_store(t: Tables) -> DataFrame:
     """Delivered revenue and order count per store."""
     return delivered_orders(t).groupBy("store_id").agg(
-        F.sum("total_amount").alias("revenue"), F.count("order_id").alias("orders")
+        F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("orders")
     )
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import year_month
-from ..functions.exact import cents, count_where, mean_money, money, percent, share
+from ..functions.exact import cents, count_where, mean_money, money, percent, share, sum_where
 from ..plans.views import product_inventory_health
 from ..sources.tables import Tables
-from .common import delivery_counts_by_store, on_time, stock_totals_by_store, stores_with_city
+from .common import COMPLETED, delivery_counts_by_store, on_time, stock_totals_by_store, stores_with_city
 from .sales import category_revenue
 
 
@@ -95,20 +95,34 @@ def revenue_by_category(t: Tables) -> DataFrame:
 
 
 def _store_metrics(t: Tables) -> DataFrame:
-    """Revenue, fill rate, SLA and cancellation rate per store that has any of them."""
+    """Revenue, fill rate, SLA and cancellation rate of every store.
+
+    An order has at most one delivery, so orders and deliveries are joined once and all their measures come
+    from one aggregation; only the stock is a second one.
+    """
+    completed = F.col("delivery_status").isin(COMPLETED)
+    deliveries = t["deliveries"].select(
+        "order_id", completed.alias("completed"), (completed & on_time()).alias("punctual")
+    )
     delivered = F.col("order_status") == "Delivered"
-    orders = t["orders"].groupBy("store_id").agg(
-        F.sum(F.when(delivered, F.col("total_amount"))).alias("revenue"),
-        F.count(F.lit(1)).alias("orders"),
-        count_where(F.col("order_status") == "Cancelled").alias("cancelled"),
+    activity = (
+        t["orders"]
+        .select("order_id", "store_id", "order_status", "total_amount")
+        .join(deliveries, "order_id", "left")
+        .groupBy("store_id")
+        .agg(
+            sum_where(delivered, F.col("total_amount")).alias("revenue"),
+            F.count(F.lit(1)).alias("orders"),
+            count_where(F.col("order_status") == "Cancelled").alias("cancelled"),
+            count_where(F.col("completed")).alias("trips"),
+            count_where(F.col("punctual")).alias("on_time_trips"),
+        )
     )
-    trips = delivery_counts_by_store(t).select("store_id", "trips", "on_time_trips")
     return (
         t["dark_stores"]
         .select("store_id")
-        .join(orders, "store_id", "left")
+        .join(activity, "store_id", "left")
         .join(stock_totals_by_store(t), "store_id", "left")
-        .join(trips, "store_id", "left")
         .select(
             "store_id", money(F.col("revenue")).alias("total_revenue"),
             percent(F.col("sold"), F.col("available")).alias("fill_rate_pct"),

@@ -160,7 +160,7 @@ def peak_hour(t: Tables) -> DataFrame:
         .select("order_id", F.hour("order_datetime").cast("bigint").alias("order_hour"))
         .join(deliveries, "order_id", "left")
         .groupBy("order_hour")
-        .agg(F.count("order_id").alias("total_orders"), F.sum("delay").alias("total"), F.count("delay").alias("n"))
+        .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("delay").alias("total"), F.count("delay").alias("n"))
         .select("order_hour", "total_orders", mean(F.col("total"), F.col("n")).alias("avg_delay_mins"))
         .orderBy("order_hour")
     )

@@ -170,7 +170,7 @@ def return_rate(t: Tables) -> DataFrame:
     return (
         items.join(returns, "order_item_id", "left")
         .agg(
-            F.count("order_item_id").alias("delivered_items_count"),
+            F.count(F.lit(1)).alias("delivered_items_count"),
             F.coalesce(F.sum("returns"), F.lit(0)).cast("bigint").alias("returned_items_count"),
         )
         .withColumn("return_rate_pct", percent(F.col("returned_items_count"), F.col("delivered_items_count")))

@@ -29,7 +29,7 @@ def store_daily_performance(t: Tables) -> DataFrame:
         .join(deliveries, "order_id", "left")
         .groupBy("store_id", F.to_date("order_datetime").alias("order_date"))
         .agg(
-            F.count("order_id").alias("total_orders"),
+            F.count(F.lit(1)).alias("total_orders"),
             sum_where(F.col("order_status") == "Delivered", F.col("total_amount")).alias("revenue"),
             count_where(F.col("order_status") == "Cancelled").alias("cancelled_orders"),
             F.sum("delay").alias("delay_sum"),
@@ -69,7 +69,7 @@ def monthly_city_revenue(t: Tables, months: list[str] | None = None) -> DataFram
         wanted = [_in_month(F.col("order_datetime"), month) for month in months]
         orders = orders.filter(reduce(Column.__or__, wanted, F.lit(False)))
     per_store = orders.groupBy("store_id", year_month(F.col("order_datetime")).alias("order_month")).agg(
-        F.count("order_id").alias("orders"), F.sum("total_amount").alias("revenue")
+        F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("revenue")
     )
     return (
         per_store.join(stores_with_city(t), "store_id")

@@ -16,6 +16,16 @@ BASE_TABLES = [name for name in SCHEMAS if name != "low_stock_alerts"]
 # Facts are stored by month, so date filters and refreshes read only the months they need.
 MONTH_OF = {"orders": "order_datetime", "inventory": "stock_date"}
 
+# In a catalog, tables are stored in buckets of the key they are joined or windowed on, so that neither needs
+# a shuffle.
+BUCKETS_OF = {
+    "orders": ["order_id"],
+    "order_items": ["order_id"],
+    "deliveries": ["order_id"],
+    "payments": ["order_id"],
+    "inventory": ["store_id", "product_id"],
+}
+
 
 def read_csv(spark: SparkSession, folder: str, name: str, dates_as_text: bool = False) -> DataFrame:
     """Read ``folder/name.csv`` with the table's schema, or with dates still as text for the cleaner.
@@ -32,12 +42,20 @@ def read_csv(spark: SparkSession, folder: str, name: str, dates_as_text: bool =
 
     schema = SCHEMAS[name]
     read_as = T.StructType([T.StructField(f.name, read_type(f), True) for f in schema])
-    df = spark.read.csv(f"{folder}/{name}.csv", header=True, schema=read_as, timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+    df = spark.read.csv(f"{folder}/{name}.csv", header=True, schema=read_as, escape='"')
     return df.select([F.col(f.name) if f.name in text else F.col(f.name).cast(f.dataType) for f in schema])
 
 
 def write_csv(df: DataFrame, folder: str, name: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+    """Replace a CSV table; text keeps its outer blanks and times their microseconds."""
+    options = {
+        "header": True,
+        "escape": '"',
+        "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    df.write.mode("overwrite").options(**options).csv(f"{folder}/{name}.csv")
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> None:
@@ -75,6 +93,21 @@ def csv_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables({name: lambda _t, name=name: read_csv(spark, folder, name) for name in BASE_TABLES})
 
 
+def save_tables(t: Tables, database: str, buckets: int) -> None:
+    """Store the tables in a catalog database, parents first, the large ones in ``buckets`` sorted buckets."""
+    for name in BASE_TABLES:
+        df, keys = t[name], BUCKETS_OF.get(name)
+        if keys:
+            writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        else:
+            writer = df.write
+        writer.mode("overwrite").saveAsTable(f"{database}.{name}")
+
+
+def catalog_tables(spark: SparkSession, database: str) -> Tables:
+    return Tables({name: lambda _t, name=name: spark.table(f"{database}.{name}") for name in BASE_TABLES})
+
+
 def register_views(tables: Tables) -> None:
     """Make every table visible to ``spark.sql``."""
     for name, df in tables.items():
