@@ -148,10 +148,16 @@ def line_total(t: Tables) -> DataFrame:
 def order_total(t: Tables) -> DataFrame:
     """Order total must be the discounted sum of its lines, to half a cent; no lines make a sum of 0."""
     lines = t["order_items"].groupBy("order_id").agg(F.sum("line_total").alias("lines"))
+    promotions = t["promotions"].select(F.col("promo_id").alias("promo_key"), "discount_pct")
+    # Orders without a promotion get a key of their own, or a shuffle would send them all to one task.
+    own_key = F.coalesce("promo_id", -F.col("order_id") - 1)
     joined = (
         t["orders"]
+        .withColumn("promo_key", own_key)
+        .join(promotions, "promo_key", "left")
+        .drop("promo_key")
+        .withColumn("discount_pct", F.when(F.col("promo_id").isNotNull(), F.col("discount_pct")))
         .join(lines, "order_id", "left")
-        .join(t["promotions"].select("promo_id", "discount_pct"), "promo_id", "left")
     )
     none = F.lit(0).cast("decimal(22,2)")
     # In hundredths of a cent percent: total * 10000 against lines * (10000 - discount in hundredths).
@@ -232,7 +238,20 @@ def returns(t: Tables) -> DataFrame:
 
 
 def promo_window(t: Tables) -> DataFrame:
-    """An order's date must lie within its promotion's dates."""
+    """An order's date must lie within its promotion's dates.
+
+    Returns promotions and dates with their number of ``orders``, counted before the join: there are few
+    promotions, so joining single orders would put a large share of them in one task.
+    """
+    days = (
+        t["orders"]
+        .filter(F.col("promo_id").isNotNull())
+        .groupBy("promo_id", F.to_date("order_datetime").alias("order_date"))
+        .agg(F.count(F.lit(1)).alias("orders"))
+    )
     promotions = t["promotions"].select("promo_id", "start_date", "end_date")
-    inside = F.to_date("order_datetime").between(F.col("start_date"), F.col("end_date"))
-    return t["orders"].join(promotions, "promo_id").filter(~inside)
+    return days.join(promotions, "promo_id").filter(~F.col("order_date").between(F.col("start_date"), F.col("end_date")))
+
+
+def promo_window_count(t: Tables) -> DataFrame:
+    return _one_row(promo_window(t), "promo window", "orders", F.sum("orders"))

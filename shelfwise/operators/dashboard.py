@@ -9,7 +9,9 @@ from ..functions.calendar import year_month
 from ..functions.exact import cents, count_where, mean_money, money, percent, share, sum_where
 from ..plans.views import product_inventory_health
 from ..sources.tables import Tables
-from .common import COMPLETED, delivery_counts_by_store, on_time, stock_totals_by_store, stores_with_city
+from .common import (
+    COMPLETED, delivery_counts_by_store, on_time, stock_totals_by_store, store_names, stores_with_city,
+)
 from .sales import category_revenue
 
 
@@ -94,8 +96,8 @@ def revenue_by_category(t: Tables) -> DataFrame:
     )
 
 
-def _store_metrics(t: Tables) -> DataFrame:
-    """Revenue, fill rate, SLA and cancellation rate of every store.
+def _store_metrics(t: Tables, stores: DataFrame) -> DataFrame:
+    """``stores`` with their revenue, fill rate, SLA and cancellation rate.
 
     An order has at most one delivery, so orders and deliveries are joined once and all their measures come
     from one aggregation; only the stock is a second one.
@@ -119,12 +121,10 @@ def _store_metrics(t: Tables) -> DataFrame:
         )
     )
     return (
-        t["dark_stores"]
-        .select("store_id")
-        .join(activity, "store_id", "left")
+        stores.join(activity, "store_id", "left")
         .join(stock_totals_by_store(t), "store_id", "left")
         .select(
-            "store_id", money(F.col("revenue")).alias("total_revenue"),
+            *stores.columns, money(F.col("revenue")).alias("total_revenue"),
             percent(F.col("sold"), F.col("available")).alias("fill_rate_pct"),
             percent(F.col("on_time_trips"), F.col("trips")).alias("sla_pct"),
             percent(F.col("cancelled"), F.col("orders")).alias("cancellation_rate_pct"),
@@ -134,26 +134,13 @@ def _store_metrics(t: Tables) -> DataFrame:
 
 def store_scorecard(t: Tables) -> DataFrame:
     """Every store with its revenue, fill rate, SLA and cancellation rate."""
-    names = t["dark_stores"].select("store_id", "store_name")
-    return (
-        _store_metrics(t)
-        .join(names, "store_id")
-        .select("store_id", "store_name", "total_revenue", "fill_rate_pct", "sla_pct", "cancellation_rate_pct")
-        .orderBy(F.desc_nulls_last("total_revenue"), "store_id")
-    )
+    return _store_metrics(t, store_names(t)).orderBy(F.desc_nulls_last("total_revenue"), "store_id")
 
 
 def store_matrix_by_city(t: Tables) -> DataFrame:
     """The scorecard with each store under its city."""
-    return (
-        _store_metrics(t)
-        .join(stores_with_city(t), "store_id")
-        .select(
-            "city_id", "city_name", "store_id", "store_name", "total_revenue", "fill_rate_pct", "sla_pct",
-            "cancellation_rate_pct",
-        )
-        .orderBy("city_name", "store_id")
-    )
+    stores = stores_with_city(t).select("city_id", "city_name", "store_id", "store_name")
+    return _store_metrics(t, stores).orderBy("city_name", "store_id")
 
 
 def sla_by_city(t: Tables) -> DataFrame:

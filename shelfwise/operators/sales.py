@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import day_type, year_month
 from ..functions.exact import cents, count_where, mean_money, money, percent
 from ..functions.ordering import running_totals
+from ..session import cut_lineage
 from ..sources.tables import Tables
 from .common import delivered_orders, product_names, sales_by_product, store_names
 
@@ -43,7 +44,8 @@ def category_revenue(t: Tables) -> DataFrame:
 
 def category_share(t: Tables) -> DataFrame:
     """Categories ranked by revenue, with the running share of the total; equal revenues share both."""
-    categories = category_revenue(t)
+    # Stored once: the ranking and the final join both start from one row per category.
+    categories = cut_lineage(category_revenue(t))
     levels = categories.groupBy("revenue").agg(
         F.count(F.lit(1)).alias("members"), F.sum("revenue").alias("level_revenue")
     )

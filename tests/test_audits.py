@@ -145,5 +145,6 @@ def test_promo_window_includes_both_ends(spark):
     promo = dict(promo_id=1, start_date=dt.date(2024, 1, 1), end_date=dt.date(2024, 1, 2))
     t = tables(spark, promotions=[promo], orders=[
         order(1, promo_id=1, when="2024-01-01 00:00:00"), order(2, promo_id=1, when="2024-01-02 23:59:59"),
-        order(3, promo_id=1, when="2024-01-03 00:00:00"), order(4)])
-    assert rows(audits.promo_window(t).select("order_id")) == [(3,)]
+        order(3, promo_id=1, when="2024-01-03 00:00:00"), order(4), order(5, promo_id=1, when="2024-01-03 10:00:00")])
+    assert rows(audits.promo_window(t).select("order_date", "orders")) == [(dt.date(2024, 1, 3), 2)]
+    assert rows(audits.promo_window_count(t)) == [("promo window", "orders", 2)]
