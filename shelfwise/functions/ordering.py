@@ -77,20 +77,18 @@ def rank_rows(
 ) -> DataFrame:
     """Add RANK (ties share the lowest place) by ``by``, over all rows or ``within`` a column's groups.
 
-    Also adds ``position`` and ``rows`` of the whole order.  A group of any size is spread over blocks;
-    only its first position is looked up again.
+    Also adds ``position`` and ``rows`` of the whole order.  Groups and ties of any size are spread over blocks;
+    only the first position of each tie is looked up, in a table with one row per distinct value.
     """
     leading = [F.col(within)] if within else []
     value = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
     numbered = number_rows(df, [*leading, value, F.col(tie_break)])
-    tie_key = [within, by] if within else [by]
-    first = numbered.groupBy(*tie_key).agg(F.min("position").alias("_first"))
-    ranked = _join_null_safe(numbered, first, tie_key)
-    if within is None:
-        return ranked.withColumn(rank, F.col("_first")).drop("_first")
-    group = numbered.groupBy(within).agg(F.min("position").alias("_group_first"))
-    ranked = _join_null_safe(ranked, group, [within])
-    return ranked.withColumn(rank, F.col("_first") - F.col("_group_first") + 1).drop("_first", "_group_first")
+    key = [within, by] if within else [by]
+    ties = numbered.groupBy(*key).agg(F.min("position").alias(rank))
+    if within:
+        groups = ties.groupBy(within).agg(F.min(rank).alias("_start"))
+        ties = _join_null_safe(ties, groups, [within]).withColumn(rank, F.col(rank) - F.col("_start") + 1).drop("_start")
+    return _join_null_safe(numbered, ties, key)
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

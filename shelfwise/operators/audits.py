@@ -16,6 +16,7 @@ from ..functions.calendar import shift
 from ..functions.exact import cents, count_where
 from ..schemas import COLUMN_DEFAULTS, DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, RANGES, UNIQUE_KEYS
 from ..sources.tables import Tables
+from .common import left_lookup
 from .inventory import series
 
 
@@ -148,17 +149,8 @@ def line_total(t: Tables) -> DataFrame:
 def order_total(t: Tables) -> DataFrame:
     """Order total must be the discounted sum of its lines, to half a cent; no lines make a sum of 0."""
     lines = t["order_items"].groupBy("order_id").agg(F.sum("line_total").alias("lines"))
-    promotions = t["promotions"].select(F.col("promo_id").alias("promo_key"), "discount_pct")
-    # Orders without a promotion get a key of their own, or a shuffle would send them all to one task.
-    own_key = F.coalesce("promo_id", -F.col("order_id") - 1)
-    joined = (
-        t["orders"]
-        .withColumn("promo_key", own_key)
-        .join(promotions, "promo_key", "left")
-        .drop("promo_key")
-        .withColumn("discount_pct", F.when(F.col("promo_id").isNotNull(), F.col("discount_pct")))
-        .join(lines, "order_id", "left")
-    )
+    discounts = t["promotions"].select("promo_id", "discount_pct")
+    joined = left_lookup(t["orders"], discounts, "promo_id", spread="order_id").join(lines, "order_id", "left")
     none = F.lit(0).cast("decimal(22,2)")
     # In hundredths of a cent percent: total * 10000 against lines * (10000 - discount in hundredths).
     kept = F.lit(10000).cast("decimal(10,0)") - (F.coalesce("discount_pct", none) * 100).cast("decimal(10,0)")
@@ -211,14 +203,13 @@ def geography(t: Tables) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("orders"))
     )
     apart = (F.col("store_city") != F.col("customer_city")) | (F.col("partner_city") != F.col("customer_city"))
-    return (
-        combinations.join(t["dark_stores"].select("store_id", F.col("city_id").alias("store_city")), "store_id")
+    partners = t["delivery_partners"].select("partner_id", F.col("city_id").alias("partner_city"))
+    placed = (
+        left_lookup(combinations, partners, "partner_id", spread="customer_id")
+        .join(t["dark_stores"].select("store_id", F.col("city_id").alias("store_city")), "store_id")
         .join(t["customers"].select("customer_id", F.col("city_id").alias("customer_city")), "customer_id")
-        .join(
-            t["delivery_partners"].select("partner_id", F.col("city_id").alias("partner_city")), "partner_id", "left"
-        )
-        .filter(apart)
     )
+    return placed.filter(apart)
 
 
 def geography_count(t: Tables) -> DataFrame:

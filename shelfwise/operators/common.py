@@ -101,3 +101,15 @@ def latest_stock(t: Tables) -> DataFrame:
         F.max_by("reorder_level", "stock_date").alias("reorder_level"),
         F.max("stock_date").alias("stock_date"),
     )
+
+
+def left_lookup(rows: DataFrame, dimension: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on an id that may be missing.
+
+    A shuffle would send all rows without the id to one task, so they get keys of their own made from the id
+    column ``spread``; whatever such a key happens to find is discarded.
+    """
+    values = [c for c in dimension.columns if c != key]
+    own_key = F.coalesce(F.col(key), -F.col(spread) - 1)
+    joined = rows.withColumn("_key", own_key).join(dimension.withColumnRenamed(key, "_key"), "_key", "left")
+    return joined.drop("_key").withColumns({c: F.when(F.col(key).isNotNull(), F.col(c)) for c in values})

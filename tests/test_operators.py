@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import Row
 
 from shelfwise.operators import customer, dashboard, delivery, inventory, kpi, sales
+from shelfwise.operators.common import left_lookup
 from shelfwise.plans import views
 from shelfwise.schemas import SCHEMAS
 from shelfwise.sources.tables import Tables
@@ -204,6 +205,13 @@ def test_latest_snapshot_decides_on_reordering(spark):
     assert rows(health) == [(1, False), (2, True)]
 
 
+def test_lookup_of_missing_ids(spark):
+    left = spark.createDataFrame([(1, 7), (2, None), (3, 8)], "id bigint, k bigint")
+    right = spark.createDataFrame([(7, "seven"), (-3, "what a made-up key of row 2 would find")], "k bigint, name string")
+    assert rows(left_lookup(left, right, "k", spread="id").select("id", "k", "name")) == [
+        (1, 7, "seven"), (2, None, None), (3, 8, None)]
+
+
 def test_zero_denominators_are_null(spark):
     t = tables(spark, dark_stores=STORES, inventory=[snapshot(1, 1, "2024-01-01")])
     assert rows(kpi.fill_rate(t)) == [(1, "S1", 0, 0, None)]
