@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import shift
+from ..functions.calendar import plus_seconds
 from ..functions.exact import cents, count_where
 from ..schemas import COLUMN_DEFAULTS, DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, RANGES, UNIQUE_KEYS
 from ..sources.tables import Tables
@@ -176,7 +176,7 @@ def delivery_status(t: Tables) -> DataFrame:
 
 def delivery_clock(t: Tables) -> DataFrame:
     """The delivery time must be the dispatch time plus the actual minutes."""
-    arrived = shift(F.col("dispatched_at"), seconds=F.col("actual_time_mins").cast("bigint") * 60)
+    arrived = plus_seconds(F.col("dispatched_at"), F.col("actual_time_mins").cast("bigint") * 60)
     return t["deliveries"].filter(~F.col("delivered_at").eqNullSafe(arrived))
 
 

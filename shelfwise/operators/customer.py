@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import days_between, year_month
+from ..functions.calendar import days_between, month_start, year_month
 from ..functions.exact import count_where, mean_money, money, ratio
 from ..functions.ordering import HOT_KEY_ROWS, number_rows, percent_rank, previous_value, rank_rows, tile
 from ..sources.tables import Tables
@@ -110,17 +110,18 @@ def new_vs_returning(t: Tables) -> DataFrame:
     """
     monthly = (
         delivered_orders(t)
-        .groupBy("customer_id", year_month(F.col("order_datetime")).alias("order_month"))
+        .groupBy("customer_id", month_start(F.col("order_datetime")).alias("month"))
         .agg(F.count(F.lit(1)).alias("orders"))
-        .withColumn("first_month", F.min("order_month").over(Window.partitionBy("customer_id")))
+        .withColumn("first_month", F.min("month").over(Window.partitionBy("customer_id")))
     )
-    is_first = F.col("order_month") == F.col("first_month")
+    is_first = F.col("month") == F.col("first_month")
     return (
-        monthly.groupBy("order_month")
+        monthly.groupBy("month")
         .agg(
             F.sum(F.when(is_first, F.col("orders")).otherwise(0)).alias("new_customers"),
             F.sum(F.when(~is_first, F.col("orders")).otherwise(0)).alias("returning_orders"),
         )
+        .select(year_month(F.col("month")).alias("order_month"), "new_customers", "returning_orders")
         .orderBy("order_month")
     )
 

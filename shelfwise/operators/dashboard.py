@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import year_month
+from ..functions.calendar import month_start, year_month
 from ..functions.exact import cents, count_where, mean_money, money, percent, share, sum_where
 from ..plans.views import product_inventory_health
 from ..sources.tables import Tables
@@ -53,7 +53,7 @@ def cancellation_rate(t: Tables) -> DataFrame:
 
 def mom_growth(t: Tables) -> DataFrame:
     """Revenue growth over the calendar month before; blank when that month has no orders."""
-    months = t["orders"].groupBy(F.trunc(F.to_date("order_datetime"), "month").alias("first_day")).agg(
+    months = t["orders"].groupBy(month_start(F.col("order_datetime")).alias("first_day")).agg(
         F.sum("total_amount").alias("revenue")
     )
     before = months.select(

@@ -22,9 +22,9 @@ def series() -> WindowSpec:
     return Window.partitionBy("store_id", "product_id").orderBy("stock_date")
 
 
-def _sorted(df: DataFrame, sort: bool) -> DataFrame:
-    """Sorting every snapshot is a full shuffle that changes no row, so it is left to the caller."""
-    return df.orderBy("store_id", "product_id", "stock_date") if sort else df
+def _sorted(df: DataFrame, sort: bool, *keys: str) -> DataFrame:
+    """Sorting a row per snapshot or day is a full shuffle that changes no row, so it is left to the caller."""
+    return df.orderBy(*keys) if sort else df
 
 
 def stockout_risk(t: Tables) -> DataFrame:
@@ -86,7 +86,7 @@ def stock_movement(t: Tables, sort: bool = False) -> DataFrame:
         F.lead("closing_stock").over(series()).alias("next_closing_stock"),
         (F.col("closing_stock") - before).alias("stock_change"),
     )
-    return _sorted(out, sort)
+    return _sorted(out, sort, "store_id", "product_id", "stock_date")
 
 
 def rolling_avg(t: Tables, sort: bool = False) -> DataFrame:
@@ -98,18 +98,18 @@ def rolling_avg(t: Tables, sort: bool = False) -> DataFrame:
     )
     # Four snapshots' sales stay far inside a long even times 200.
     mean = ratio(F.col("total"), F.col("n"), kind="bigint").alias("rolling_4period_avg_sold")
-    return _sorted(out.select("store_id", "product_id", "stock_date", "units_sold", mean), sort)
+    out = out.select("store_id", "product_id", "stock_date", "units_sold", mean)
+    return _sorted(out, sort, "store_id", "product_id", "stock_date")
 
 
-def running_received(t: Tables) -> DataFrame:
+def running_received(t: Tables, sort: bool = False) -> DataFrame:
     """Units each store received per date and in total so far; the window holds one row per date."""
     daily = t["inventory"].groupBy("store_id", "stock_date").agg(
         F.sum("units_received").alias("units_received_that_day")
     )
     so_far = Window.partitionBy("store_id").orderBy("stock_date")
-    return daily.withColumn("running_total_received", F.sum("units_received_that_day").over(so_far)).orderBy(
-        "store_id", "stock_date"
-    )
+    out = daily.withColumn("running_total_received", F.sum("units_received_that_day").over(so_far))
+    return _sorted(out, sort, "store_id", "stock_date")
 
 
 def demand_tiers(t: Tables) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import day_type, year_month
+from ..functions.calendar import day_type, month_start, year_month
 from ..functions.exact import cents, count_where, mean_money, money, percent
 from ..functions.ordering import running_totals
 from ..session import cut_lineage
@@ -78,15 +78,16 @@ def weekday_weekend(t: Tables) -> DataFrame:
 
 def monthly_mom(t: Tables) -> DataFrame:
     """Delivered revenue per month and its growth over the previous month that has orders."""
-    months = delivered_orders(t).groupBy(year_month(F.col("order_datetime")).alias("order_month")).agg(
+    months = delivered_orders(t).groupBy(month_start(F.col("order_datetime")).alias("month")).agg(
         F.sum("total_amount").alias("revenue")
     )
     # One row per calendar month.
-    before = F.lag("revenue").over(Window.orderBy("order_month"))
+    before = F.lag("revenue").over(Window.orderBy("month"))
     return (
         months.withColumn("before", before)
         .select(
-            "order_month", money(F.col("revenue")).alias("revenue"), money(F.col("before")).alias("prev_month_revenue"),
+            year_month(F.col("month")).alias("order_month"), money(F.col("revenue")).alias("revenue"),
+            money(F.col("before")).alias("prev_month_revenue"),
             percent(cents(F.col("revenue") - F.col("before")), cents(F.col("before"))).alias("mom_growth_pct"),
         )
         .orderBy("order_month")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import year_month
+from ..functions.calendar import month_start, year_month
 from ..functions.exact import count_where, mean, mean_money, money, sum_where
 from ..operators.common import (
     COMPLETED, delay, delivered_orders, latest_stock, product_names, store_names, stores_with_city,
@@ -68,15 +68,16 @@ def monthly_city_revenue(t: Tables, months: list[str] | None = None) -> DataFram
     if months is not None:
         wanted = [_in_month(F.col("order_datetime"), month) for month in months]
         orders = orders.filter(reduce(Column.__or__, wanted, F.lit(False)))
-    per_store = orders.groupBy("store_id", year_month(F.col("order_datetime")).alias("order_month")).agg(
+    per_store = orders.groupBy("store_id", month_start(F.col("order_datetime")).alias("month")).agg(
         F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("revenue")
     )
     return (
         per_store.join(stores_with_city(t), "store_id")
-        .groupBy("city_id", "city_name", "order_month")
+        .groupBy("city_id", "city_name", "month")
         .agg(F.sum("orders").alias("total_orders"), F.sum("revenue").alias("revenue"))
         .select(
-            "city_id", "city_name", "order_month", "total_orders", money(F.col("revenue")).alias("total_revenue"),
+            "city_id", "city_name", year_month(F.col("month")).alias("order_month"), "total_orders",
+            money(F.col("revenue")).alias("total_revenue"),
             mean_money(F.col("revenue"), F.col("total_orders")).alias("avg_order_value"),
         )
     )

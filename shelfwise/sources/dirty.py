@@ -11,7 +11,7 @@ from .tables import Tables
 def dirty_orders(t: Tables) -> DataFrame:
     """Every tenth order twice, some statuses missing, some dates not dates."""
     orders, key = t["orders"], F.col("order_id")
-    text = F.date_format("order_datetime", "yyyy-MM-dd HH:mm:ss")
+    text = F.col("order_datetime").cast("string")
     return (
         orders.unionByName(orders.filter(key % 10 == 0))
         .withColumn("order_datetime", F.when(key % 50 == 0, "not a date").otherwise(text))
@@ -25,7 +25,7 @@ def dirty_customers(t: Tables) -> DataFrame:
         t["customers"]
         .withColumn("full_name", F.concat(F.lit("  "), "full_name", F.lit("\t ")))
         .withColumn("email", F.when(F.col("customer_id") % 41 != 0, F.upper("email")))
-        .withColumn("signup_date", F.date_format("signup_date", "yyyy-MM-dd"))
+        .withColumn("signup_date", F.col("signup_date").cast("string"))
     )
 
 
@@ -36,7 +36,7 @@ def dirty_inventory(t: Tables) -> DataFrame:
     bad = (F.col("product_id") == 7) & (F.col("store_id") % 5 == 0)
     return (
         stock.unionByName(copies)
-        .withColumn("stock_date", F.when(bad, "bad").otherwise(F.date_format("stock_date", "yyyy-MM-dd")))
+        .withColumn("stock_date", F.when(bad, "bad").otherwise(F.col("stock_date").cast("string")))
         .withColumn("units_wasted", F.when(F.col("units_wasted") != 0, F.col("units_wasted")))
     )
 

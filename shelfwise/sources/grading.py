@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import shift
+from ..functions.calendar import plus_seconds
 from ..functions.exact import cents
 from ..schemas import MONEY, SCHEMAS
 from .tables import Tables
@@ -165,7 +165,7 @@ def _orders(t: Tables) -> DataFrame:
             key.alias("order_id"), F.col("o_custkey").alias("customer_id"),
             ((key * 7 + F.col("o_custkey")) % _supplier_count(t)).alias("store_id"),
             F.when(key % 4 == 0, key % 5 + 1).alias("promo_id"),
-            shift(F.col("o_orderdate"), seconds=key * 7919 % 61200 + 25200).alias("order_datetime"),
+            plus_seconds(F.col("o_orderdate"), key * 7919 % 61200 + 25200).alias("order_datetime"),
             status.alias("order_status"), F.col("o_totalprice").alias("total_amount"), "o_orderpriority",
         ),
         "orders",
@@ -206,7 +206,7 @@ def _deliveries(t: Tables) -> DataFrame:
     )
     minutes = F.greatest(F.lit(4), F.col("promised_time_mins") + key * 31 % 29 - 14)
     actual = F.when(F.col("order_status") != "Cancelled", minutes)
-    dispatched = shift(F.col("order_datetime"), seconds=(key % 4 + 1) * 60)
+    dispatched = plus_seconds(F.col("order_datetime"), (key % 4 + 1) * 60)
     status = (
         F.when(F.col("order_status") == "Cancelled", "Cancelled")
         .when(F.col("order_status") == "Returned", "Delayed")
@@ -216,7 +216,7 @@ def _deliveries(t: Tables) -> DataFrame:
     return _typed(
         sent.select(
             key.alias("delivery_id"), key, "partner_id", "promised_time_mins", actual.alias("actual_time_mins"),
-            dispatched.alias("dispatched_at"), shift(dispatched, seconds=actual * 60).alias("delivered_at"),
+            dispatched.alias("dispatched_at"), plus_seconds(dispatched, actual * 60).alias("delivered_at"),
             status.alias("delivery_status"),
         ),
         "deliveries",
@@ -234,7 +234,7 @@ def _payments(t: Tables) -> DataFrame:
             _pick(PAYMENT_METHODS, F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("payment_method"),
             status.alias("payment_status"),
             F.when(F.col("order_status") != "Cancelled", F.col("total_amount")).otherwise(0).alias("paid_amount"),
-            shift(F.col("order_datetime"), seconds=(key % 5 + 1) * 60).alias("paid_at"),
+            plus_seconds(F.col("order_datetime"), (key % 5 + 1) * 60).alias("paid_at"),
         ),
         "payments",
     )

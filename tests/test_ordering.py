@@ -95,6 +95,11 @@ def test_only_large_keys_are_hot(spark):
     assert rows(hot_keys(df, "k", 5)) == [(1,)]
 
 
+def test_hot_keys_are_found_without_counting_all_rows(spark):
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    assert rows(hot_keys(df, "k", 20_000)) == [(0,)]
+
+
 def test_numbers_survive_a_second_read(spark):
     """Positions are stored values: reading twice gives the same ones."""
     numbered = number_rows(spark.range(1000).withColumn("v", F.col("id") % 7), [F.col("v"), F.col("id")])

@@ -44,6 +44,19 @@ def test_plan_scales(spark, name):
         assert parent in {"HashAggregate", "LocalLimit", "Project"}, parent
 
 
+ZONED = ["delivery_peak_hour", "customer_order_gaps", "view_store_daily_performance", "mv_monthly_city_revenue",
+         "clean_table_orders", "sales_weekday_weekend", "source_csv_deliveries", "audit_delivery_clock"]
+
+
+@pytest.mark.parametrize("name", ZONED)
+def test_no_result_depends_on_the_session_time_zone(spark, connection, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert check_oracle.compare(spark, connection, FOLDER, name) == ""
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_entry(spark):
     df = registry.entry(spark)
     assert df.columns == ["store_id", "store_name", "total_revenue", "fill_rate_pct", "sla_pct", "cancellation_rate_pct"]
