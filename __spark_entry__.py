@@ -112,6 +112,11 @@ def _through_parquet(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, target, "inventory").drop("inventory_id")
 
 
+def _audit_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    path = jobs.flag_low_stock(grading_tables(spark, folder), _scratch(spark))
+    return audits.primary_keys(Tables.of(low_stock_alerts=jobs.read_alerts(spark, path)))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The store scorecard: four measures from orders, deliveries and stock for every store."""
     return dashboard.store_scorecard(grading_tables(spark, "/root/testdata/sf0.001"))
@@ -128,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "job_refresh_dashboard": _refresh_dashboard,
         "job_refresh_months": _refresh_months,
         "job_flag_low_stock": _flag_low_stock,
+        "audit_pk_alerts": _audit_alerts,
     }
 
 

@@ -558,6 +558,11 @@ def _audits() -> dict[str, str]:
     return {
         "audit_pk": primary("c_orders"),
         "audit_pk_dirty": primary("c_dirty_orders"),
+        "audit_pk_alerts": _count(
+            "primary key store_id, product_id, flagged_at", "low_stock_alerts",
+            "count(*) - count(DISTINCT (store_id, product_id))",
+            f"(SELECT store_id, product_id FROM ({_LATEST}) WHERE closing_stock <= reorder_level)",
+        ),
         "audit_fk": foreign("c_orders"),
         "audit_fk_dirty": foreign("c_dirty_refs"),
         "audit_unique": unique("c_customers", "c_inventory"),

@@ -73,12 +73,13 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -
 
 def rank_rows(
     df: DataFrame, by: str, tie_break: str, *, within: str | None = None, descending: bool = False,
-    rank: str = "rank",
+    rank: str = "rank", keep: Column | None = None,
 ) -> DataFrame:
     """Add RANK (ties share the lowest place) by ``by``, over all rows or ``within`` a column's groups.
 
     Also adds ``position`` and ``rows`` of the whole order.  Groups and ties of any size are spread over blocks;
-    only the first position of each tie is looked up, in a table with one row per distinct value.
+    only the first position of each tie is looked up, in a table with one row per distinct value.  ``keep`` is a
+    condition on ``position`` and ``rows`` that every wanted row meets; others are not looked up.
     """
     leading = [F.col(within)] if within else []
     value = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
@@ -88,7 +89,7 @@ def rank_rows(
     if within:
         groups = ties.groupBy(within).agg(F.min(rank).alias("_start"))
         ties = _join_null_safe(ties, groups, [within]).withColumn(rank, F.col(rank) - F.col("_start") + 1).drop("_start")
-    return _join_null_safe(numbered, ties, key)
+    return _join_null_safe(numbered if keep is None else numbered.filter(keep), ties, key)
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

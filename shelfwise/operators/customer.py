@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import days_between, month_start, year_month
@@ -129,11 +129,15 @@ def new_vs_returning(t: Tables) -> DataFrame:
 def high_value(t: Tables) -> DataFrame:
     """The customers in the top 5% by spend."""
     spend = delivered_orders(t).groupBy("customer_id").agg(F.sum("total_amount").alias("spend"))
-    ranked = rank_rows(spend, by="spend", tie_break="customer_id")
-    # (rank - 1) / (rows - 1) >= 0.95, in whole numbers.
-    top = ((F.col("rank") - 1) * 20 >= (F.col("rows") - 1) * 19) & (F.col("rows") > 1)
+
+    def in_top(place: str) -> Column:
+        # (place - 1) / (rows - 1) >= 0.95, in whole numbers.
+        return ((F.col(place) - 1) * 20 >= (F.col("rows") - 1) * 19) & (F.col("rows") > 1)
+
+    # A rank is never above the position, so the rows that may qualify are known before ties are looked up.
+    ranked = rank_rows(spend, by="spend", tie_break="customer_id", keep=in_top("position"))
     return (
-        ranked.filter(top)
+        ranked.filter(in_top("rank"))
         .join(t["customers"].select("customer_id", "full_name"), "customer_id")
         .orderBy(F.desc_nulls_last("spend"), "customer_id")
         .select(

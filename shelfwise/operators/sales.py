@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.calendar import day_type, month_start, year_month
 from ..functions.exact import cents, count_where, mean_money, money, percent
 from ..functions.ordering import running_totals
-from ..session import cut_lineage
 from ..sources.tables import Tables
 from .common import delivered_orders, product_names, sales_by_product, store_names
 
@@ -44,21 +43,21 @@ def category_revenue(t: Tables) -> DataFrame:
 
 def category_share(t: Tables) -> DataFrame:
     """Categories ranked by revenue, with the running share of the total; equal revenues share both."""
-    # Stored once: the ranking and the final join both start from one row per category.
-    categories = cut_lineage(category_revenue(t))
-    levels = categories.groupBy("revenue").agg(
-        F.count(F.lit(1)).alias("members"), F.sum("revenue").alias("level_revenue")
-    )
     placed = running_totals(
-        levels, [F.desc_nulls_last("revenue")], {"up_to": "members", "cumulative": "level_revenue"}
-    ).select(
-        "revenue",
-        (F.col("up_to") - F.col("members") + 1).alias("revenue_rank"),
-        percent(cents(F.col("cumulative")), cents(F.col("cumulative_all"))).alias("cumulative_pct_of_revenue"),
+        category_revenue(t).withColumn("one", F.lit(1)),
+        [F.desc_nulls_last("revenue"), F.col("category_id")],
+        {"place": "one", "cumulative": "revenue"},
+    )
+    ties = placed.groupBy("revenue").agg(
+        F.min("place").alias("revenue_rank"), F.max_by("cumulative", "place").alias("up_to_last")
     )
+    share = percent(cents(F.col("up_to_last")), cents(F.col("cumulative_all")))
     return (
-        categories.join(placed, "revenue")
-        .select("category_name", money(F.col("revenue")).alias("revenue"), "revenue_rank", "cumulative_pct_of_revenue")
+        placed.join(ties, "revenue")
+        .select(
+            "category_name", money(F.col("revenue")).alias("revenue"), "revenue_rank",
+            share.alias("cumulative_pct_of_revenue"),
+        )
         .orderBy("revenue_rank", "category_name")
     )
 
