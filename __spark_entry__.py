@@ -40,7 +40,7 @@ DIRTY: dict[str, Question] = {
     "clean_defaults": lambda t: cleaning.fill_defaults(dirty.dirty_inventory(t)).select(
         "store_id", "product_id", "stock_date", "closing_stock", "units_received", "units_sold", "units_wasted"
     ),
-    "clean_table_orders": lambda t: _plain_money(cleaning.clean_table(dirty.dirty_orders(t), "orders")),
+    "clean_table": lambda t: _plain_money(cleaning.clean_table(dirty.dirty_orders(t), "orders")),
     "clean_table_customers": lambda t: cleaning.clean_table(dirty.dirty_customers(t), "customers"),
     "clean_table_inventory": lambda t: cleaning.clean_table(dirty.dirty_inventory(t), "inventory"),
     "clean_report": lambda t: cleaning.report(_all_dirty(t), BASE_TABLES),

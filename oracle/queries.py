@@ -443,7 +443,7 @@ FROM c_dirty_inventory WHERE try_cast(stock_date AS DATE) IS NOT NULL""",
         "clean_defaults": """
 SELECT store_id, product_id, stock_date, closing_stock, units_received, units_sold,
        coalesce(units_wasted, 0) AS units_wasted FROM c_dirty_inventory""",
-        "clean_table_orders": orders,
+        "clean_table": orders,
         "clean_table_customers": customers,
         "clean_table_inventory": stock,
         "clean_report": " UNION ALL ".join(reports),

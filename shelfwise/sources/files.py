@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,20 +30,25 @@ BUCKETS_OF = {
 def read_csv(spark: SparkSession, folder: str, name: str, dates_as_text: bool = False) -> DataFrame:
     """Read ``folder/name.csv`` with the table's schema, or with dates still as text for the cleaner.
 
-    Nullable whole numbers may be written as ``2.0``.  A column read as a whole number would turn those
-    into NULL without an error, so they are read as double and cast.
+    Nullable whole numbers may be written as ``2.0``.  A column read as a whole number would turn those into
+    NULL without an error, so they are read as text and cast.  Any value that does not fit its column stops the
+    job instead of becoming NULL.
     """
-    text = set(CLEAN_DATES.get(name, [])) if dates_as_text else set()
-
-    def read_type(field: T.StructField) -> T.DataType:
-        if field.name in text:
-            return T.StringType()
-        return T.DoubleType() if isinstance(field.dataType, T.IntegralType) else field.dataType
-
     schema = SCHEMAS[name]
-    read_as = T.StructType([T.StructField(f.name, read_type(f), True) for f in schema])
-    df = spark.read.csv(f"{folder}/{name}.csv", header=True, schema=read_as, escape='"')
-    return df.select([F.col(f.name) if f.name in text else F.col(f.name).cast(f.dataType) for f in schema])
+    dates = set(CLEAN_DATES.get(name, [])) if dates_as_text else set()
+    whole = {f.name for f in schema if isinstance(f.dataType, T.IntegralType)}
+    read_as = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name in dates | whole else f.dataType, True) for f in schema]
+    )
+    df = spark.read.csv(f"{folder}/{name}.csv", header=True, schema=read_as, escape='"', mode="FAILFAST")
+
+    def typed(field: T.StructField) -> Column:
+        if field.name not in whole:
+            return F.col(field.name)
+        plain = F.col(field.name).try_cast(field.dataType)
+        return F.coalesce(plain, F.regexp_replace(field.name, r"\.0*$", "").cast(field.dataType)).alias(field.name)
+
+    return df.select([typed(f) for f in schema])
 
 
 def write_csv(df: DataFrame, folder: str, name: str) -> None:

@@ -1,6 +1,7 @@
 """The cleaning steps, one at a time and together."""
 
 import datetime as dt
+from decimal import Decimal
 
 from conftest import rows
 
@@ -43,6 +44,11 @@ def test_defaults_apply_to_any_table_that_has_the_column(spark):
     assert rows(cleaning.clean_table(df, "promotions")) == [(1, 0), (2, 5)]
 
 
+def test_default_of_a_decimal_column(spark):
+    df = spark.createDataFrame([(1, None), (2, Decimal("5.50"))], "promo_id int, discount_pct decimal(5,2)")
+    assert rows(cleaning.fill_defaults(df)) == [(1, Decimal("0.00")), (2, Decimal("5.50"))]
+
+
 def test_report_counts(spark):
     df = spark.createDataFrame(
         [(1, 1, 1, "Placed"), (1, 1, 1, "Placed"), (1, 1, 1, "Placed"), (2, 1, 1, None), (None, 1, 1, "Placed")],

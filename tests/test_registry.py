@@ -45,7 +45,7 @@ def test_plan_scales(spark, name):
 
 
 ZONED = ["delivery_peak_hour", "customer_order_gaps", "view_store_daily_performance", "mv_monthly_city_revenue",
-         "clean_table_orders", "sales_weekday_weekend", "source_csv_deliveries", "audit_delivery_clock"]
+         "clean_table", "sales_weekday_weekend", "source_csv_deliveries", "audit_delivery_clock"]
 
 
 @pytest.mark.parametrize("name", ZONED)

@@ -32,6 +32,20 @@ def test_booleans_dates_and_money(spark, tmp_path):
     ]
 
 
+def test_large_ids_are_exact_and_bad_values_stop_the_job(spark, tmp_path):
+    (tmp_path / "categories.csv").write_text(
+        f"category_id,category_name,parent_category_id\n{2**62 + 1},Food,\n2,Fruit,{2**53 + 1}.0\n")
+    assert rows(files.read_csv(spark, str(tmp_path), "categories")) == [(2, "Fruit", 2**53 + 1), (2**62 + 1, "Food", None)]
+    for bad in ["x", "1.5", "1e3"]:
+        (tmp_path / "categories.csv").write_text(f"category_id,category_name,parent_category_id\n1,Food,{bad}\n")
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            files.read_csv(spark, str(tmp_path), "categories").collect()
+    (tmp_path / "promotions.csv").write_text(
+        "promo_id,promo_code,description,discount_pct,start_date,end_date\n1,A,,ten,2024-01-01,2024-01-02\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        files.read_csv(spark, str(tmp_path), "promotions").collect()
+
+
 def sample(spark):
     orders, deliveries = trips(1, [10, 12, None])
     deliveries[0]["dispatched_at"] = dt.datetime(2024, 1, 5, 10, 1, 2, 345678)
