@@ -11,6 +11,8 @@ spread over as many blocks as they need.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from .exact import ratio
 
 # monotonically_increasing_id() keeps the partition number above bit 33 and the row number below it.
 _ROW_BITS = 33
-_ROW, _BLOCK, _START = "_row", "_block", "_start"
+_ROW, _BLOCK = "_row", "_block"
 
 # A window task comfortably sorts this many narrow rows; keys with more are split.
 HOT_KEY_ROWS = 5_000_000
@@ -34,23 +36,33 @@ def _blocks(df: DataFrame, order: list[Column]) -> DataFrame:
     return cut_lineage(ordered).withColumn(_BLOCK, F.shiftright(_ROW, _ROW_BITS))
 
 
-def number_rows(df: DataFrame, order: list[Column], position: str = "position", rows: str = "rows") -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column]) -> DataFrame:
     """Add the 1-based ``position`` in ``order`` and the table's row count ``rows``."""
     blocks = _blocks(df, order)
-    sizes = blocks.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per block, at most one block per shuffle partition.
+    return _numbered(blocks, _ends(blocks, [])).drop(_ROW, _BLOCK)
+
+
+def _ends(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Per block the number of rows before it, the number of all rows, and the ``keys`` of its last row.
+
+    One row per block, at most one block per shuffle partition.
+    """
+    ends = blocks.groupBy(_BLOCK).agg(
+        F.count(F.lit(1)).alias("_size"), *[F.max_by(key, _ROW).alias(key) for key in keys]
+    )
     before = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
+    return ends.select(
         _BLOCK,
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias(_START),
-        F.sum("_size").over(Window.partitionBy()).alias(rows),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.sum("_size").over(Window.partitionBy()).alias("rows"),
+        *keys,
     )
+
+
+def _numbered(blocks: DataFrame, ends: DataFrame) -> DataFrame:
     local = F.col(_ROW).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        blocks.join(F.broadcast(starts), _BLOCK)
-        .withColumn(position, F.col(_START) + local + 1)
-        .drop(_ROW, _BLOCK, _START)
-    )
+    starts = F.broadcast(ends.select(_BLOCK, "_start", "rows"))
+    return blocks.join(starts, _BLOCK).withColumn("position", F.col("_start") + local + 1).drop("_start")
 
 
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
@@ -73,31 +85,50 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -
 
 def rank_rows(
     df: DataFrame, by: str, tie_break: str, *, within: str | None = None, descending: bool = False,
-    rank: str = "rank", keep: Column | None = None,
+    rank: str = "rank",
 ) -> DataFrame:
     """Add RANK (ties share the lowest place) by ``by``, over all rows or ``within`` a column's groups.
 
-    Also adds ``position`` and ``rows`` of the whole order.  Groups and ties of any size are spread over blocks;
-    only the first position of each tie is looked up, in a table with one row per distinct value.  ``keep`` is a
-    condition on ``position`` and ``rows`` that every wanted row meets; others are not looked up.
+    Also adds ``position`` and ``rows`` of the whole order.  A rank is the distance between the first position
+    of the row's tie and that of its group.
     """
-    leading = [F.col(within)] if within else []
-    value = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    numbered = number_rows(df, [*leading, value, F.col(tie_break)])
     key = [within, by] if within else [by]
-    ties = numbered.groupBy(*key).agg(F.min("position").alias(rank))
-    if within:
-        groups = ties.groupBy(within).agg(F.min(rank).alias("_start"))
-        ties = _join_null_safe(ties, groups, [within]).withColumn(rank, F.col(rank) - F.col("_start") + 1).drop("_start")
-    return _join_null_safe(numbered if keep is None else numbered.filter(keep), ties, key)
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = right.select([F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    return left.join(renamed, condition).drop(*[f"_k_{key}" for key in keys])
+    value = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    blocks = _blocks(df, [*[F.col(c) for c in key[:-1]], value, F.col(tie_break)])
+    ends = cut_lineage(_ends(blocks, key))
+    numbered = _numbered(blocks, ends)
+    if within is None:
+        return _with_first_position(numbered, numbered, ends, key, rank).drop(_ROW, _BLOCK)
+    ranked = _with_first_position(numbered, numbered, ends, [within], "_group")
+    ranked = _with_first_position(ranked, numbered, ends, key, "_tie")
+    return ranked.withColumn(rank, F.col("_tie") - F.col("_group") + 1).drop("_group", "_tie", _ROW, _BLOCK)
+
+
+def _with_first_position(
+    df: DataFrame, numbered: DataFrame, ends: DataFrame, key: list[str], name: str
+) -> DataFrame:
+    """Add the first position of the row's ``key``, whose rows stand together in the order of ``numbered``.
+
+    Within a block a window finds it.  Only the last key of a block can go on in the next one, so for at most
+    one key per block the first position is looked up over all blocks.  A key of any size is thus spread over
+    its blocks.
+    """
+    last = F.broadcast(ends.select(*key).distinct())
+    firsts = _join_null_safe(numbered.select(*key, "position"), last, key).groupBy(*key).agg(
+        F.min("position").alias("_first")
+    )
+    here = F.min("position").over(Window.partitionBy(_BLOCK, *key))
+    return (
+        _join_null_safe(df.withColumn("_here", here), F.broadcast(firsts), key, "left")
+        .withColumn(name, F.coalesce("_first", "_here"))
+        .drop("_first", "_here")
+    )
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    renamed = right.withColumnsRenamed({key: f"_k_{key}" for key in keys})
+    condition = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
+    return left.join(renamed, condition, how).drop(*[f"_k_{key}" for key in keys])
 
 
 def _div(part: Column, whole: Column | int) -> Column:
