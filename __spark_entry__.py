@@ -25,6 +25,18 @@ from shelfwise.sources.files import (  # noqa: E402
 from shelfwise.sources.grading import grading_tables  # noqa: E402
 from shelfwise.sources.tables import Tables  # noqa: E402
 
+# The operators for training data come as a whole or not at all: the library works without their subpackage.
+try:
+    import corpus_pipeline
+    from shelfwise.llm.queries import QUERIES as _LLM_QUERIES, SQL as _LLM_SQL
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "shelfwise.llm", "shelfwise.llm.queries"):
+        raise
+    _LLM_QUERIES, _LLM_SQL = {}, {}
+else:
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    _LLM_SQL = {**_LLM_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+
 # The cleaner and the audits on deliberately dirty tables.
 DIRTY: dict[str, Question] = {
     "clean_dedup": lambda t: _plain_money(cleaning.drop_duplicates(dirty.dirty_orders(t))),
@@ -134,8 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "job_refresh_months": _refresh_months,
         "job_flag_low_stock": _flag_low_stock,
         "audit_pk_alerts": _audit_alerts,
+        **_LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle_sql()
+    return {**_oracle_sql(), **_LLM_SQL}
