@@ -10,12 +10,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, pii
+from shelfwise.llm import bpe, decontaminate, language, pii
 from shelfwise.llm.frames import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predicted(documents(spark, folder))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -24,9 +28,15 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(documents(spark, folder))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_personal_data": op8_personal_data,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {}
