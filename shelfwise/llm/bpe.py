@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from shelfwise.llm.frames import chunks, table, texts
+from shelfwise.llm.frames import chunks, in_arrow, table, texts
 
 NEVER = np.int32(2**31 - 1)
 #: Documents are encoded in pieces of about this many bytes of text; the words of a piece share one replay.
@@ -217,7 +217,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 rows = list(_digests(encoder, [t or "" for t in batch.column("text").to_pylist()]))
                 yield table(_ARROW, batch.column("doc_id"), *zip(*rows))
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return in_arrow(texts(docs), run, SCHEMA)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -231,7 +231,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
                 yield table(arrow, batch.column("doc_id"), ids)
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return in_arrow(texts(docs), run, "doc_id bigint, ids array<int>")
 
 
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
@@ -245,4 +245,4 @@ def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
                      for ids in batch.column("ids").to_pylist()]
             yield table(arrow, batch.column("doc_id"), found)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return in_arrow(tokens.select("doc_id", "ids"), run, "doc_id bigint, text string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import table, texts
+from shelfwise.llm.frames import in_arrow, table, texts
 
 ERROR_RATE = 0.07
 BLOCK_CHARS = 4_000_000
@@ -156,7 +156,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     """Every document and test item it holds: least distance, the budget, and the place in the document's normal form."""
     rows, found = texts(docs), None
     for block in _blocks(benchmark):
-        part = rows.mapInArrow(_matcher(block, error_rate), SCHEMA)
+        part = in_arrow(rows, _matcher(block, error_rate), SCHEMA)
         found = part if found is None else found.unionAll(part)
     return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
@@ -180,7 +180,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
     """The documents that hold no test item, with all their columns; no shuffle."""
     kept = docs
     for block in _blocks(benchmark):
-        kept = kept.mapInArrow(_cleaner(block, error_rate), docs.schema)
+        kept = in_arrow(kept, _cleaner(block, error_rate), docs.schema)
     return kept
 
 

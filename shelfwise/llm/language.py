@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import table
+from shelfwise.llm.frames import in_arrow, table
 
 PROFILE = 300
 EDGE = 1  # stands for a word's edge
@@ -141,7 +141,7 @@ def learn(labelled: DataFrame) -> Profiles:
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    counts = rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = in_arrow(rows, _count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
     return Profiles([(r["lang"], r["gram"], r["rank"] - 1) for r in ranked.collect()])
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, profiles: Profiles, held_out: Column) -> DataFrame
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    return rows.mapInArrow(run, SCHEMA)
+    return in_arrow(rows, run, SCHEMA)
 
 
 def predicted(docs: DataFrame) -> DataFrame:

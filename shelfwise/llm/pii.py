@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfwise.llm.frames import table, texts
+from shelfwise.llm.frames import in_arrow, table, texts
 
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account")
 BASE = KINDS[:4]
@@ -150,4 +150,4 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, their digest, and all spans of every document; no shuffle."""
-    return texts(docs).mapInArrow(_scan, SCHEMA)
+    return in_arrow(texts(docs), _scan, SCHEMA)
