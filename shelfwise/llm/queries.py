@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import bpe, decontaminate, language, pii
+from shelfwise.llm import bpe, decontaminate, fingerprints, language, pii, toxicity
 from shelfwise.llm.frames import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,10 +21,24 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(documents(spark, folder))
 
 
+def grades(spark: SparkSession, folder: str) -> DataFrame:
+    """The label has two grades of severity: 0, and 1 for toxic."""
+    return spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("toxic").alias("grade"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.scored(docs, toxicity.learn(docs, grades(spark, folder)))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_edits(documents(spark, folder))
+
+
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(documents(spark, folder))
 
@@ -34,7 +49,9 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_fingerprints": op6_fingerprints,
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
 }
