@@ -5,9 +5,10 @@ Severity is an ordered grade, 0 and up.  For every step between grades the model
 ordered.  The expected severity of a text is the sum of these probabilities.  With the two grades of a yes-or-no label
 there is one threshold.
 
-Features are the distinct words of a text, folded to lower case, as 64-bit hashes.  The model is fitted on at most
-``MAX_LABELLED`` labelled documents, those with the smallest hash of their id, and keeps the ``MAX_FEATURES`` words that
-go most clearly with the grade among those in ``LEAST_DOCS`` documents at least.  Both bounds are what lets the fit run on
+Features are the distinct words of a text, folded to lower case, and the first four to six bytes of longer words, so that
+inflected forms share a feature; all as 64-bit hashes.  The model is fitted on at most
+``MAX_LABELLED`` labelled documents, those with the smallest hash of their id, and keeps the ``MAX_FEATURES`` features that
+go most clearly with the grade, in ``LEAST_DOCS`` documents at least and with a chi-square of ``LEAST_CLEAR`` at least.  Both bounds are what lets the fit run on
 the driver; scoring reads all documents and all of their text, without a shuffle.
 
 A document labelled more than once has its highest grade; labels without id or grade are not used; a label without a
@@ -25,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.frames import chunks, in_arrow, table, texts
-from shelfwise.llm.words import scan_words, text_buffers
+from shelfwise.llm.words import heads_of, scan_words, text_buffers
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 1_000
 LEAST_DOCS = 5
+#: Least chi-square (one degree of freedom) of a feature and the grade; noise among a million features stays below.
+LEAST_CLEAR = 25.0
 RIDGE = 1e-4
 STEPS = 400
+HEADS = (4, 5, 6)
 PIECE_BYTES = 1 << 20
 
 SCHEMA = "doc_id bigint, severity double, grade int, toxic boolean"
@@ -58,16 +62,25 @@ class Model:
         return self.lowest + self.beyond(signs[: len(column)]).sum(axis=1)
 
 
+def features_of(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all words and of their heads (0: none), side by side, and where each text's words start."""
+    data, offsets = text_buffers(column)
+    hashes, first, end, starts = scan_words(data, offsets, folded=True)
+    return [hashes, *(heads_of(data, first, end, HEADS) if len(hashes) else [hashes] * len(HEADS))], starts
+
+
 def present(column: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct features: number of the text, number of the feature."""
-    data, offsets = text_buffers(column)
-    hashes, _, _, starts = scan_words(data, offsets, folded=True)
-    if not len(features) or not len(hashes):
+    if not len(features):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.searchsorted(features, hashes)
-    at[at == len(features)] = 0
-    hits = np.flatnonzero(features[at] == hashes)
-    pairs = np.unique((np.searchsorted(starts, hits, side="right") - 1) * len(features) + at[hits])
+    found, starts = features_of(column)
+    pairs = []
+    for hashes in found:
+        at = np.searchsorted(features, hashes)
+        at[at == len(features)] = 0
+        hits = np.flatnonzero(features[at] == hashes)
+        pairs.append((np.searchsorted(starts, hits, side="right") - 1) * len(features) + at[hits])
+    pairs = np.unique(np.concatenate(pairs))
     return pairs // len(features), pairs % len(features)
 
 
@@ -127,7 +140,7 @@ def learn(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED)
     if not overall["variance"]:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), int(overall["low"] or 0))
     clear = F.pow(F.col("total") - F.col("n") * overall["mean"], F.lit(2)) / (F.col("n") * overall["variance"])
-    chosen = counts.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc(clear), "feature").limit(MAX_FEATURES).collect()
+    chosen = counts.where((F.col("n") >= LEAST_DOCS) & (clear >= LEAST_CLEAR)).orderBy(F.desc(clear), "feature").limit(MAX_FEATURES).collect()
     features = np.sort(np.array([r["feature"] for r in chosen], dtype=np.int64).view(np.uint64))
     # Rows of at most MAX_FEATURES numbers each.
     found = in_arrow(rows, _presence(features), "doc_id bigint, grade int, features array<int>").collect()
@@ -141,10 +154,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     arrow = pa.schema([("feature", pa.int64()), ("n", pa.int64()), ("total", pa.int64())])
     for whole in batches:
         for batch in chunks(whole, 8 * PIECE_BYTES):
-            hashes, _, _, starts = scan_words(*text_buffers(batch.column("text")), folded=True)
-            distinct = [np.unique(hashes[low:high]) for low, high in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            if not distinct:
+            found, starts = features_of(batch.column("text"))
+            if not len(batch):
                 continue
+            distinct = []
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                own = np.unique(np.concatenate([hashes[low:high] for hashes in found]))
+                distinct.append(own[own != 0])
             grades = np.repeat(batch.column("grade").to_numpy(zero_copy_only=False), [len(d) for d in distinct])
             features, where = np.unique(np.concatenate(distinct), return_inverse=True)
             yield table(arrow, features.view(np.int64), np.bincount(where, minlength=len(features)),

@@ -123,6 +123,18 @@ def scan_words(data: np.ndarray, offsets: np.ndarray, folded: bool) -> tuple[np.
     return np.concatenate(hashes), first, np.concatenate(ends), np.searchsorted(first, offsets)
 
 
+def heads_of(data: np.ndarray, first: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the first bytes of each folded word, for each of the ascending lengths; 0 for words not longer."""
+    found = []
+    total = np.zeros(len(first), dtype=U64)
+    for j in range(lengths[-1]):
+        inside = np.minimum(first + j, max(len(data) - 1, 0))
+        total += _FOLDED_VALUES[data[inside]] * _FACTORS[j]
+        if j + 1 in lengths:
+            found.append(np.where(end - first > j + 1, mixed(total ^ U64(j + 1)), U64(0)))
+    return found
+
+
 def runs_of(hashes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     """Hash of every ``length`` consecutive words, also across texts (the caller leaves those out)."""
     count = len(hashes) - length + 1
