@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import bpe, decontaminate, fingerprints, language, pii, toxicity
+from shelfwise.llm import bpe, decontaminate, fingerprints, language, pii, substring_dedup, toxicity
 from shelfwise.llm.frames import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,10 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.kept_words(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
