@@ -11,12 +11,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import bpe, decontaminate, fingerprints, language, pii, substring_dedup, toxicity
+from shelfwise.llm import bpe, decontaminate, fingerprints, language, near_dedup, pii, substring_dedup, toxicity
 from shelfwise.llm.frames import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classified(documents(spark, folder))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(documents(spark, folder))
 
@@ -52,6 +56,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
