@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import bpe, decontaminate, fingerprints, language, near_dedup, pii, substring_dedup, toxicity
+from shelfwise.llm import bpe, decontaminate, fingerprints, language, licenses, line_dedup, near_dedup, pii, substring_dedup, toxicity
 from shelfwise.llm.frames import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,10 +39,18 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.found(documents(spark, folder))
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.with_edits(documents(spark, folder))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(documents(spark, folder))
+
+
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(documents(spark, folder))
 
@@ -60,10 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_license_scan": op5_license_scan,
     "op6_fingerprints": op6_fingerprints,
+    "op7_line_dedup": op7_line_dedup,
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_license_scan": licenses.sql(), "op7_line_dedup": line_dedup.sql()}
