@@ -1,15 +1,67 @@
-"""The corpus pipeline: five stages over documents, each the work of one operator."""
+"""The corpus pipeline: five stages over documents, each the work of one operator.
+
+Each stage takes what its predecessor kept, written as Parquet and read again.  All but the last return the columns of
+documents: toxic documents go, repeated chunks of lines are taken out of the texts, one document of each class of near
+copies stays, and documents that hold a benchmark item go.  The last gives each remaining document's tokens.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from shelfwise.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
+from shelfwise.llm.queries import RANKS, grades
+from shelfwise.session import shared_folder
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity is below a half; the model learns from the labels of the documents here."""
+    return toxicity.without_toxic(docs, toxicity.learn(docs, grades(spark, sf_dir)))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the chunks of lines that an earlier place has."""
+    return line_dedup.deduplicated(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each class of near copies."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each document's tokens, and the digest of the decoded tokens."""
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontamination", drop_benchmark),
+    ("byte_bpe", encode),
+]
+
+#: The model, the sampling and the merges have no SQL; the tests compare with a brute-force version instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each one's rows stored in the cluster's shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -70,6 +70,9 @@ class Vocabulary:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == wanted, self.merged[at], NEVER)
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
+
 
 class _Index:
     """Positions by rank, and the ranks that have any in a heap."""
@@ -197,8 +200,7 @@ def _digests(encoder: Encoder, texts: list[str]) -> Iterator[tuple[int, str, str
 
 def written_out(vocabulary: Vocabulary) -> Callable[[list[int]], tuple[int, str, bytes]]:
     """Makes a word's number of ids, the ids in decimal, and their decoded bytes."""
-    bytes_of = vocabulary.bytes_of
-    return lambda ids: (len(ids), ",".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]))
+    return lambda ids: (len(ids), ",".join(map(str, ids)), vocabulary.decode(ids))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -239,9 +241,9 @@ def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = Vocabulary.read(ranks_path).bytes_of
+        vocabulary = Vocabulary.read(ranks_path)
         for batch in batches:
-            found = [None if ids is None else b"".join(map(bytes_of.__getitem__, ids)).decode(errors="replace")
+            found = [None if ids is None else vocabulary.decode(ids).decode(errors="replace")
                      for ids in batch.column("ids").to_pylist()]
             yield table(arrow, batch.column("doc_id"), found)
 

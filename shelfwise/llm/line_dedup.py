@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.frames import free_name
+
 DIVISOR = 4
 # Fixed values of the rolling hash.
 BASE = 31
@@ -45,53 +47,61 @@ def chunks_of(text: Column) -> Column:
     return F.transform(parts, lambda part: F.replace(part, F.lit(_ESCAPED), F.lit(_ESCAPE)))
 
 
+def _version(text: Column) -> Column:
+    """Tells the texts of rows with equal ids apart."""
+    return F.xxhash64(text)
+
+
 def _places(docs: DataFrame) -> DataFrame:
     """Chunks of two lines or more: document, number, text, digest, and the place as one number in order."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.instr("text", "\n") > 0)
-    rows = rows.select("doc_id", F.posexplode(chunks_of(F.col("text"))).alias("number", "chunk")).where(F.instr("chunk", "\n") > 0)
+    rows = rows.select(
+        "doc_id", _version(F.col("text")).alias("version"), F.posexplode(chunks_of(F.col("text"))).alias("number", "chunk")
+    ).where(F.instr("chunk", "\n") > 0)
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("number")
-    return rows.select("doc_id", "number", "chunk", F.sha2("chunk", 256).alias("digest"), place.cast("decimal(38,0)").alias("place"))
+    return rows.select("doc_id", "version", "number", "chunk", F.sha2("chunk", 256).alias("digest"), place.cast("decimal(38,0)").alias("place"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """Numbers of the chunks to take out of each document, as (``doc_id``, ``numbers``)."""
+    """Numbers of the chunks to take out of each document, as (``doc_id``, ``version`` of its text, ``numbers``)."""
     places = _places(docs)
     repeated = (
         places.groupBy("digest", "chunk").agg(F.min("place").alias("first"), F.max("place").alias("last"))
         .groupBy("digest").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("texts"))
         .where("first < last AND texts = 1")
     )
-    later = places.select("doc_id", "number", "digest", "place").join(repeated.select("digest", "first"), "digest")
-    return later.where("place > first").groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
+    later = places.select("doc_id", "version", "number", "digest", "place").join(repeated.select("digest", "first"), "digest")
+    return later.where("place > first").groupBy("doc_id", "version").agg(F.collect_set("number").alias("numbers"))
 
 
-def _cut(docs: DataFrame, chunk_column: str, kept_column: str) -> DataFrame:
-    """``docs`` with the numbers of the chunks that stay (null: all) and the chunks."""
-    gone = removed(docs).select(F.col("doc_id").alias("__gone_id"), F.col("numbers").alias("__numbers"))
+def _cut(docs: DataFrame, chunks: str, kept: str) -> DataFrame:
+    """``docs`` with two more columns: all chunks and the numbers of those that stay, null where all do."""
+    gone_id, version, numbers = (free_name(docs, n) for n in ("gone_id", "gone_version", "gone_numbers"))
+    gone = removed(docs).select(F.col("doc_id").alias(gone_id), F.col("version").alias(version), F.col("numbers").alias(numbers))
     # Rows without an id need no partner and would all meet in one task.
-    known = docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id").cast("bigint") == F.col("__gone_id"), "left").drop("__gone_id")
-    unknown = docs.where("doc_id IS NULL").withColumn("__numbers", F.lit(None).cast("array<int>"))
+    own = (F.col("doc_id").cast("bigint") == F.col(gone_id)) & (_version(F.col("text").cast("string")) == F.col(version))
+    known = docs.where("doc_id IS NOT NULL").join(gone, own, "left").drop(gone_id, version)
+    unknown = docs.where("doc_id IS NULL").withColumn(numbers, F.lit(None).cast("array<int>"))
     rows = known.unionByName(unknown)
     # explode(array(..)) gives a column of its own, which later functions read instead of computing it again.
-    text = F.col("text").cast("string")
-    rows = rows.withColumn(
-        chunk_column, F.explode(F.array(F.when(F.col("__numbers").isNotNull(), chunks_of(text))))
-    )
-    every = F.sequence(F.lit(0), F.size(chunk_column) - 1)
-    return rows.withColumn(kept_column, F.when(F.col("__numbers").isNotNull(), F.array_except(every, "__numbers"))).drop("__numbers")
+    some = F.col(numbers).isNotNull()
+    rows = rows.withColumn(chunks, F.explode(F.array(F.when(some, chunks_of(F.col("text").cast("string"))))))
+    every = F.sequence(F.lit(0), F.size(chunks) - 1)
+    return rows.withColumn(kept, F.when(some, F.array_except(every, numbers))).drop(numbers)
 
 
-def _kept_text(chunk_column: str, kept_column: str) -> Column:
-    kept = F.array_join(F.transform(kept_column, lambda number: F.get(F.col(chunk_column), number)), "\n")
-    return F.when(F.col(kept_column).isNull(), F.col("text").cast("string")).otherwise(kept)
+def _kept_text(chunks: str, kept: str) -> Column:
+    left = F.array_join(F.transform(kept, lambda number: F.get(F.col(chunks), number)), "\n")
+    return F.when(F.col(kept).isNull(), F.col("text").cast("string")).otherwise(left)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with repeated chunks taken out of ``text``; ``n_chars``, if there, follows."""
-    rows = _cut(docs, "__chunks", "__kept").withColumn("text", _kept_text("__chunks", "__kept"))
+    chunks, kept = free_name(docs, "chunks"), free_name(docs, "kept")
+    rows = _cut(docs, chunks, kept).withColumn("text", _kept_text(chunks, kept))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        changed = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text"))
         rows = rows.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
     return rows.select(docs.columns)
 
@@ -102,11 +112,11 @@ def _line_count(text: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document the number of lines, of removed lines, and the digest of the text that is left (null text: empty)."""
-    rows = _cut(docs.select("doc_id", "text"), "__chunks", "__kept")
+    rows = _cut(docs.select("doc_id", "text"), "chunks", "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = rows.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), _line_count(text).cast("bigint").alias("n_lines"),
-        F.coalesce(_kept_text("__chunks", "__kept"), F.lit("")).alias("left"), F.size("__kept").alias("chunks_left"),
+        F.coalesce(_kept_text("chunks", "kept"), F.lit("")).alias("left"), F.size("kept").alias("chunks_left"),
     )
     lines_left = F.when(F.col("chunks_left") == 0, F.lit(0)).otherwise(_line_count(F.col("left")))
     return rows.select(

@@ -1,0 +1,456 @@
+"""The other operators against brute-force versions on small tables, with nulls, repeated rows and long texts."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+import tiktoken
+
+from shelfwise.llm import bpe, decontaminate, fingerprints, language, pii, substring_dedup, toxicity
+from shelfwise.llm.words import bytes_buffers, scan_words
+
+SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, block int, place int, key string, id long, "
+          "band long, digest string, class_id int, held_out string, n int, feature int, `text_a` string")
+LONG = "long text, with words 12 ab-cd\n" * 20_000
+
+
+def frame(spark, rows, lang=None):
+    return spark.createDataFrame(
+        [(i, t, lang[k] if lang else "en", "s", 0, 1, 1, "k", 1, 1, "d", 1, "h", 1, 1, "t") for k, (i, t) in enumerate(rows)], SCHEMA
+    )
+
+
+def by_id(df):
+    found = collections.defaultdict(list)
+    for r in df.collect():
+        found[r["doc_id"]].append(r)
+    return found
+
+
+EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "Ünïcode  日本語 text with odd spaces"), (5, LONG), (5, LONG), (6, LONG),
+         (None, "no id here, none at all"), (None, None), (7, "one"), (8, "one"), (9, "\x00\x1f nul"), (10, "😀 emoji 😀")]
+
+
+# Words -------------------------------------------------------------------------------------------------------------
+
+def test_words_and_their_hashes():
+    texts = ["a b", "", "b a", "  x\ty\x0bz ", "é é", "x" * 700_000 + " y", "word " * 100_000]
+    hashes, first, end, starts = scan_words(*bytes_buffers([t.encode() for t in texts]), folded=False)
+    data = "".join(texts).encode()
+    words = [data[a:b] for a, b in zip(first.tolist(), end.tolist())]
+    expected = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    assert [w.decode() for w in words] == list(itertools.chain(*expected))
+    assert np.diff(starts).tolist() == [len(w) for w in expected]
+    known = {}
+    for word, h in zip(words, hashes.tolist()):
+        assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+# Byte-level BPE ----------------------------------------------------------------------------------------------------
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.Vocabulary.read(RANKS)
+
+
+@pytest.fixture(scope="module")
+def reference(vocabulary):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+
+def test_encoding_equals_tiktoken(vocabulary, reference):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aab  é日本\n\t1234.,!'s tl😀ththßü\x00²") for _ in range(rng.randint(0, 120))) for _ in range(800)]
+    texts += ["a" * 3_000, " " * 3_000, "ab" * 2_000, "=-" * 500, "the" * 700, "", "<|endoftext|>"]
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+    encoded = encoder.encode(texts)
+    assert encoded == [reference.encode_ordinary(t) for t in texts]
+    assert [vocabulary.decode(ids).decode() for ids in encoded] == texts
+
+
+def test_memory_of_words_is_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 3)
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+    for text in ["ab cd ef gh ij", "kl mn op", "qr"]:
+        assert vocabulary.decode(encoder.encode([text])[0]).decode() == text
+    assert len(encoder.known) < 6
+
+
+def test_digests(spark, reference):
+    found = by_id(bpe.digests(frame(spark, EDGES), RANKS, public_tokenizers.PATTERN))
+    assert sum(map(len, found.values())) == len(EDGES)
+    for doc_id, text in EDGES:
+        ids = reference.encode_ordinary(text or "")
+        expected = (doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                    hashlib.sha256((text or "").encode()).hexdigest())
+        assert expected in {tuple(r) for r in found[doc_id]}
+    assert bpe.digests(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_encoded_and_decoded_round_trip(spark):
+    df = bpe.decoded(bpe.encoded(frame(spark, EDGES), RANKS, public_tokenizers.PATTERN), RANKS)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in df.collect()) == sorted((str(i), t or "") for i, t in EDGES)
+
+
+# Personal data -----------------------------------------------------------------------------------------------------
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    found = {}
+    for kind, pattern in PATTERNS.items():
+        found[kind] = []
+        for match in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", match.group())
+            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p[-4:]) > 255 for p in match.group().split(".")):
+                continue
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(digits[::-1])]
+            if kind == "card" and not (16 <= len(digits) <= 19 and sum(x - 9 * (x > 9) for x in doubled) % 10 == 0):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            found[kind].append(match.span())
+    return found
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(8)
+    automaton = pii.anchors()
+    texts = ["".join(rng.choice("a1.@+- 2(9é)b3") for _ in range(rng.randint(0, 45))) for _ in range(30_000)]
+    texts += ["4111 1111 1111 1111 and 4111-1111-1111-1112", "call +49 (30) 1234-567.", "a@b.c@d.e", "1.2.3.4.5.6.7.8 999.1.1.1",
+              "0" * 6_000 + "1.2.3.4"]
+    for text in texts:
+        found = pii.find(text, automaton)
+        for kind, spans in plain_spans(text).items():
+            assert found[kind] == spans, (text, kind)
+
+
+def test_added_spans():
+    automaton = pii.anchors()
+    text = "see https://example.org/a?b=1, IBAN: DE89 3704 0044 0532 0130 00. SSN 123-45-6789 account number: 12345678"
+    found = pii.find(text, automaton)
+    assert [text[a:b] for kind in pii.KINDS[4:] for a, b in found[kind]] == [
+        "https://example.org/a?b=1", "DE89 3704 0044 0532 0130 00", "123-45-6789", "12345678"
+    ]
+    assert pii.find("IBAN: DE88 3704 0044 0532 0130 00", automaton)["iban"] == []
+
+
+def test_personal_data_rows(spark):
+    rows = EDGES + [(20, "é a@b.co 1.2.3.4 +12 345 678 90"), (20, "é a@b.co 1.2.3.4 +12 345 678 90")]
+    found = by_id(pii.personal_data(frame(spark, rows)))
+    assert sum(map(len, found.values())) == len(rows) and len(found[20]) == 2
+    row = found[20][0]
+    assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 1, 0, 1)
+    assert row["spans"] == "email:2:8,ip:9:16,phone:17:31"
+    assert row["base_sha256"] == hashlib.sha256(row["spans"].encode()).hexdigest()
+    assert pii.personal_data(frame(spark, [])).count() == 0
+
+
+# Substring dedup ---------------------------------------------------------------------------------------------------
+
+def plain_kept(rows):
+    """By the rule itself: windows by their words, and the least id that has each."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in rows]
+    least = {}
+    for (doc_id, _), own in zip(rows, words):
+        if doc_id is not None:
+            for i in range(len(own) - 12):
+                window = tuple(own[i : i + 13])
+                least[window] = min(least.get(window, doc_id), doc_id)
+    out = []
+    for (doc_id, _), own in zip(rows, words):
+        kept = [True] * len(own)
+        for i in range(len(own) - 12):
+            if doc_id is not None and least[tuple(own[i : i + 13])] < doc_id:
+                kept[i : i + 13] = [False] * 13
+        left = [w for w, k in zip(own, kept) if k]
+        out.append((doc_id, len(own), len(own) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def shuffled_passages(seed):
+    rng = random.Random(seed)
+    sources = [[rng.choice("abcdefg") + str(rng.randint(0, 4)) for _ in range(60)] for _ in range(5)]
+    rows = []
+    for i in rng.sample(range(1000), 80):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            own, low = rng.choice(sources), rng.randint(0, 50)
+            parts += own[low : low + rng.randint(1, 30)]
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [EDGES, shuffled_passages(1), shuffled_passages(2), [(9, "x " * 40), (3, "x " * 12), (4, "x " * 13)]])
+def test_substring_dedup_equals_the_rule(spark, rows):
+    assert sorted((tuple(r) for r in substring_dedup.kept_words(frame(spark, rows)).collect()), key=str) == plain_kept(rows)
+
+
+def test_substring_dedup_of_nothing(spark):
+    assert substring_dedup.kept_words(frame(spark, [])).count() == 0
+
+
+# Fingerprints ------------------------------------------------------------------------------------------------------
+
+def test_fingerprints_of_edits(spark):
+    rng = random.Random(3)
+    rows = [(i * 7 - 50, " ".join(f"w{rng.randint(0, 300)}é" for _ in range(rng.randint(0, 400)))) for i in range(60)]
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1])]
+    rng.shuffle(rows)
+    found = by_id(fingerprints.with_edits(frame(spark, rows)))
+    ordered = sorted(rows, key=lambda r: -r[0])
+    shingled = lambda text: {tuple(w[i : i + 5]) for w in [text.split()] for i in range(max(1, len(w) - 4)) if w}
+    assert sum(map(len, found.values())) == len(rows)
+    for (doc_id, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        text, following = text or "", following or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + following[:cut]
+        row = found[doc_id][0]
+        assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert row["edited_fingerprint"] == fingerprints._hex(fingerprints.signatures([edited.encode()])[0])
+        a, b, c = shingled(text), shingled(edited), shingled(following)
+        for near, other in ((row["near_edited"], b), (row["near_next"], c)):
+            assert abs(near - (len(a & other) / len(a | other) if a | other else 1.0)) < 0.2
+    assert found[1002][0]["fingerprint"] == found[rows[[r[0] for r in rows].index(-50)][0]][0]["fingerprint"]
+
+
+def test_fingerprints_of_few_and_odd_rows(spark):
+    assert fingerprints.with_edits(frame(spark, [])).count() == 0
+    only = fingerprints.with_edits(frame(spark, [(1, "abcdef")])).collect()
+    assert [r["edited_sha256"] for r in only] == [hashlib.sha256(b"abcdab").hexdigest()] and only[0]["near_next"] == 1.0
+    found = by_id(fingerprints.with_edits(frame(spark, EDGES)))
+    assert sum(map(len, found.values())) == len(EDGES)
+    assert found[7][0]["fingerprint"] == found[8][0]["fingerprint"]
+
+
+# Language ----------------------------------------------------------------------------------------------------------
+
+VOICES = {"aa": "banana papaya mango cassava", "bb": "schnell strasse grenze pflicht", "cc": "łódź żółw źrebię ćma"}
+
+
+def spoken(seed, count):
+    rng = random.Random(seed)
+    rows, langs = [], []
+    for i in range(count):
+        lang = rng.choice(sorted(VOICES))
+        rows.append((i, " ".join(rng.choice(VOICES[lang].split()) for _ in range(rng.randint(3, 40)))))
+        langs.append(lang)
+    return rows, langs
+
+
+def test_profiles_count_all_letter_grams():
+    grams, counts = language.counted(language.letters("Ab, ab!"))
+    named = {"".join(chr(c) for c in ((g >> 42), (g >> 21) & 0x1FFFFF, g & 0x1FFFFF) if c): n for g, n in zip(grams.tolist(), counts.tolist())}
+    e = chr(language.EDGE)
+    assert named == {"a": 2, "b": 2, e + "a": 2, "ab": 2, "b" + e: 2, e + "ab": 2, "ab" + e: 2}
+
+
+def test_pieces_count_alike(monkeypatch):
+    points = language.letters("some words, and more words; äöü " * 50)
+    whole = language.counted(points)
+    monkeypatch.setattr(language, "PIECE", 7)
+    for a, b in zip(whole, language.counted(points)):
+        assert a.tolist() == b.tolist()
+
+
+def test_languages_of_held_out_documents(spark):
+    rows, langs = spoken(1, 200)
+    rows += [(1000, None), (1001, ""), (1002, "123 !?"), (None, "banana papaya"), (1003, "banana papaya"), (1003, "banana papaya"), (1004, LONG)]
+    langs += [None, "aa", "bb", "aa", None, None, None]
+    found = by_id(language.predicted(frame(spark, rows, langs)))
+    assert sum(map(len, found.values())) == len(rows)
+    for (doc_id, text), lang in zip(rows[:200], langs):
+        row = found[doc_id][0]
+        assert row["held_out"] == (zlib.crc32(str(doc_id).encode()) % 4 == 2) and 0 <= row["score"] <= 1
+        assert row["lang_pred"] == lang
+    assert all(found[i][0]["lang_pred"] == "und" and found[i][0]["score"] == 0 for i in (1000, 1001, 1002))
+    assert found[None][0]["lang_pred"] == "aa" and len(found[1003]) == 2
+
+
+def test_learning_is_from_the_folds_only(spark):
+    rows, langs = spoken(2, 120)
+    plain = by_id(language.predicted(frame(spark, rows, langs)))
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in rows]
+    changed = by_id(language.predicted(frame(spark, rows, ["zz" if h else x for x, h in zip(langs, held)])))
+    assert plain == changed
+
+
+def test_no_language_learned(spark):
+    assert language.predicted(frame(spark, [])).count() == 0
+    found = language.predicted(frame(spark, [(1, "words")], [None])).collect()
+    assert [(r["lang_pred"], r["score"]) for r in found] == [("und", 0.0)]
+
+
+# Toxicity ----------------------------------------------------------------------------------------------------------
+
+def graded(seed, count, grades):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(count):
+        grade = rng.randrange(grades)
+        words = [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(5, 60))] + ["vile"] * (grade > 0) + ["vicious"] * (grade > 1) + ["vilest"] * (grade > 2)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, grade))
+    return rows, labels
+
+
+@pytest.mark.parametrize("grades", [2, 4])
+def test_severity_follows_the_grades(spark, grades):
+    rows, labels = graded(1, 400, grades)
+    train = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id int, grade int")
+    model = toxicity.learn(frame(spark, rows), train)
+    assert len(model.thresholds) == grades - 1 and (np.diff(model.thresholds) >= 0).all()
+    found = by_id(toxicity.scored(frame(spark, rows), model))
+    test = [(found[i][0]["severity"], grade) for i, grade in labels if i % 2 == 0]
+    assert max(abs(s - g) for s, g in test) < 0.75 and sum(abs(s - g) for s, g in test) / len(test) < 0.3
+
+
+def test_gradient_is_the_slope(monkeypatch):
+    """The fit lowers the loss to where no coordinate can lower it much further."""
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(300)]
+    signs = np.array([r.sum() for r in rows]) * 0.3
+    grades = (signs[:, None] + rng.logistic(size=(300, 1)) > np.array([0.0, 1.0, 2.0])).sum(axis=1)
+    model = toxicity.fit(rows, grades, np.arange(6, dtype=np.uint64))
+
+    def loss(weights, thresholds):
+        s = np.array([weights[r].sum() for r in rows])
+        beyond = np.concatenate([np.ones((300, 1)), toxicity._sigmoid(s[:, None] - thresholds), np.zeros((300, 1))], axis=1)
+        at = np.arange(300)
+        return -np.log(beyond[at, grades] - beyond[at, grades + 1]).mean() + toxicity.RIDGE / 2 * (weights**2).sum()
+
+    best = loss(model.weights, model.thresholds)
+    for k in range(6):
+        for step in (-0.05, 0.05):
+            moved = model.weights.copy()
+            moved[k] += step
+            assert loss(moved, model.thresholds) > best - 1e-4
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert loss(model.weights, moved) > best - 1e-4
+
+
+def test_toxic_documents_go_and_columns_stay(spark):
+    rows, labels = graded(3, 300, 2)
+    rows += [(1000, None), (1001, ""), (None, "vile words"), (None, "fine words"), (1002, "vile"), (1002, "vile"), (1003, LONG)]
+    df = frame(spark, rows)
+    train = spark.createDataFrame(labels + [(None, 1), (5, None), (9999, 1), (7, labels[7][1])], "doc_id bigint, grade int")
+    model = toxicity.learn(df, train)
+    kept = toxicity.without_toxic(df, model)
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    left = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert left == sorted((str(i), t) for i, t in rows if "vile" not in (t or "").split())
+
+
+def test_no_labels_and_one_grade(spark):
+    df = frame(spark, EDGES)
+    for labels, severity in (([], 0.0), ([(5, 2), (7, 2)], 2.0)):
+        model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id bigint, grade int"))
+        assert {r["severity"] for r in toxicity.scored(df, model).collect()} == {severity}
+    assert toxicity.scored(frame(spark, []), model).count() == 0
+
+
+def test_heads_of_words_are_features():
+    column = pa.array(["prefixed prefixes pre", "pre", None])
+    found, starts = toxicity.features_of(column)
+    assert starts.tolist() == [0, 3, 4, 4]
+    assert found[1][0] == found[1][1] != 0 and found[1][2] == 0 and found[0][2] == found[0][3]
+
+
+# Benchmark decontamination -----------------------------------------------------------------------------------------
+
+def plain_distance(item, text):
+    """Least edit distance of the item to any substring, by the plain recurrence."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        before, row = row, [i]
+        for j, b in enumerate(text, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+    return min(row)
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(6)
+    for _ in range(400):
+        item = "".join(rng.choice("abc") for _ in range(rng.randint(1, 90)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 120)))
+        assert decontaminate.least_distance(item, decontaminate.masks_of(item), text, 1000)[0] == plain_distance(item, text)
+
+
+def edited_items(seed):
+    rng = random.Random(seed)
+    items = [(k, "".join(rng.choice("abcde ") for _ in range(rng.randint(3, 90)))) for k in range(12)]
+    rows = []
+    for i in range(80):
+        text = [rng.choice("abcde ") for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            part = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 8)):
+                at = rng.randrange(len(part))
+                part[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "ab"])
+                part = part or ["a"]
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        rows.append((i, "".join(text)))
+    return rows, items
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.07, 0.2])
+def test_matches_equal_brute_force(spark, rate):
+    rows, items = edited_items(4)
+    benchmark = spark.createDataFrame([(k, t, 1) for k, t in items] + [(50, None, 1), (51, "", 1), (52, "?!", 1)], "item_id int, text string, doc_id int")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(frame(spark, rows), benchmark, rate).collect()}
+    expected = {}
+    for (i, text), (k, item) in itertools.product(rows, items):
+        item, text = decontaminate.normal(item), decontaminate.normal(text)
+        if item and (distance := plain_distance(item, text)) <= int(len(item) * rate):
+            expected[i, k] = distance
+    assert {pair: r["distance"] for pair, r in found.items()} == expected
+    for (i, k), r in found.items():
+        part = decontaminate.normal(dict(rows)[i])[r["start"] : r["end"]]
+        assert plain_distance(part, decontaminate.normal(dict(items)[k])) <= r["distance"]
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    rows, items = edited_items(5)
+    rows = [(i + 100, t) for i, t in rows] + EDGES
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    df = frame(spark, rows)
+    whole = sorted(map(str, decontaminate.matches(df, benchmark).collect()))
+    kept = sorted(map(str, decontaminate.without_items(df, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    assert sorted(map(str, decontaminate.matches(df, benchmark).collect())) == whole and whole
+    assert sorted(map(str, decontaminate.without_items(df, benchmark).collect())) == kept
+    bad = {r["doc_id"] for r in decontaminate.matches(df, benchmark).collect()}
+    assert len(kept) == sum(i not in bad for i, _ in rows)
+
+
+def test_decontamination_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id int, text string")
+    df = frame(spark, EDGES)
+    assert decontaminate.matches(df, none).count() == 0
+    assert decontaminate.without_items(df, none).count() == len(EDGES)
+    some = spark.createDataFrame([(1, "an item of the benchmark")], "item_id int, text string")
+    assert decontaminate.matches(frame(spark, []), some).count() == 0
+    found = decontaminate.matches(frame(spark, [(1, LONG + "An item -- of the BENCHMARK!")]), some).collect()
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in found] == [(1, 1, 0)]
