@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from oracle.queries import oracle_sql as _oracle_sql  # noqa: E402
 from shelfwise.catalog import CATALOG, Question  # noqa: E402
 from shelfwise.functions.exact import money  # noqa: E402
-from shelfwise.operators import audits, cleaning, dashboard  # noqa: E402
+from shelfwise.operators import audits, cleaning, dashboard, delivery  # noqa: E402
 from shelfwise.plans import jobs, views  # noqa: E402
 from shelfwise.session import shared_folder  # noqa: E402
 from shelfwise.sources import dirty  # noqa: E402
@@ -68,6 +68,11 @@ DIRTY: dict[str, Question] = {
     "audit_domain_dirty": lambda t: audits.domains(_bad_refs(t)),
     "audit_range_dirty": lambda t: audits.ranges(_bad_refs(t)),
     "audit_not_null_dirty": lambda t: audits.not_null(_all_dirty(t)),
+    "dash_store_scorecard_dirty": lambda t: dashboard.store_scorecard(_delivered_again(t)),
+    "dash_store_matrix_by_city_dirty": lambda t: dashboard.store_matrix_by_city(_delivered_again(t)),
+    "view_store_daily_performance_dirty": lambda t: views.store_daily_performance(_delivered_again(t)),
+    "delivery_peak_hour_dirty": lambda t: delivery.peak_hour(_delivered_again(t)),
+    "sample_preview_orphans": lambda t: dashboard.sample_preview(t.replaced(customers=dirty.without_some_customers(t))),
     "audit_stock_balance_dirty": lambda t: audits.count_rule(
         audits.stock_balance(_all_dirty(t)), "stock balance", "inventory"
     ),
@@ -88,6 +93,10 @@ def _bad_refs(t: Tables) -> Tables:
     return t.replaced(orders=dirty.dirty_refs(t))
 
 
+def _delivered_again(t: Tables) -> Tables:
+    return t.replaced(deliveries=dirty.dirty_deliveries(t))
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
@@ -121,12 +130,12 @@ def _through_parquet(spark: SparkSession, folder: str) -> DataFrame:
     target = _scratch(spark)
     stock = grading_tables(spark, folder)["inventory"]
     write_table(stock, target, "inventory")
-    return read_table(spark, target, "inventory").drop("inventory_id")
+    return read_table(spark, target, "inventory")
 
 
 def _audit_alerts(spark: SparkSession, folder: str) -> DataFrame:
     path = jobs.flag_low_stock(grading_tables(spark, folder), _scratch(spark))
-    return audits.primary_keys(Tables.of(low_stock_alerts=jobs.read_alerts(spark, path)))
+    return audits.primary_keys(Tables.of(low_stock_alerts=jobs.read_alerts(spark, path)), ["low_stock_alerts"])
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -399,7 +399,7 @@ SELECT order_id, customer_id, store_id, promo_id, try_cast(order_datetime AS TIM
        order_status, CAST(total_amount AS DOUBLE) AS total_amount
 FROM (SELECT DISTINCT * FROM c_dirty_orders) WHERE order_status IS NOT NULL"""
     stock = """
-SELECT store_id, product_id, try_cast(stock_date AS DATE) AS stock_date, opening_stock, closing_stock, reorder_level,
+SELECT inventory_id, store_id, product_id, try_cast(stock_date AS DATE) AS stock_date, opening_stock, closing_stock, reorder_level,
        units_received, units_sold, coalesce(units_wasted, 0) AS units_wasted
 FROM (SELECT DISTINCT * FROM c_dirty_inventory) WHERE try_cast(stock_date AS DATE) IS NOT NULL"""
     customers = f"""
@@ -471,6 +471,7 @@ def _audits() -> dict[str, str]:
         "cities": "city_id", "categories": "category_id", "dark_stores": "store_id", "products": "product_id",
         "customers": "customer_id", "promotions": "promo_id", "delivery_partners": "partner_id", "orders": "order_id",
         "order_items": "order_item_id", "deliveries": "delivery_id", "payments": "payment_id", "returns": "return_id",
+        "inventory": "inventory_id",
     }
 
     def primary(orders: str) -> str:
@@ -614,6 +615,27 @@ WHERE CAST(order_datetime AS DATE) NOT BETWEEN start_date AND end_date"""),
     }
 
 
+def _dirty() -> dict[str, str]:
+    """The same questions where orders are delivered more than once, or customers are missing."""
+    plain = {**_views(), **_dashboards(), **_delivery()}
+    again = ["dash_store_scorecard", "dash_store_matrix_by_city", "delivery_peak_hour"]
+    once = {f"{name}_dirty": plain[name].replace("c_deliveries", "c_dirty_deliveries") for name in again}
+    return {
+        **once,
+        "view_store_daily_performance_dirty": f"""
+WITH delays AS (SELECT store_id, CAST(order_datetime AS DATE) AS order_date, {_ratio(f"sum({_DELAY})", f"count({_DELAY})")} AS avg_delay_mins
+                FROM c_dirty_deliveries JOIN c_orders USING (order_id) WHERE {_DONE} GROUP BY ALL)
+SELECT store_id, store_name, city_name, order_date, total_orders, total_revenue, cancelled_orders, avg_delay_mins
+FROM (SELECT store_id, CAST(order_datetime AS DATE) AS order_date, count(DISTINCT order_id) AS total_orders,
+             CAST(sum(total_amount) FILTER (WHERE order_status = 'Delivered') AS DOUBLE) AS total_revenue,
+             count(*) FILTER (WHERE order_status = 'Cancelled') AS cancelled_orders FROM c_orders GROUP BY ALL)
+JOIN c_dark_stores USING (store_id) JOIN c_cities USING (city_id) LEFT JOIN delays USING (store_id, order_date)""",
+        "sample_preview_orphans": plain["sample_preview"].replace(
+            "c_customers AS c", "(SELECT * FROM c_customers WHERE customer_id % 10 <> 3) AS c"
+        ),
+    }
+
+
 def _sources() -> dict[str, str]:
     return {
         "source_csv_deliveries": "SELECT * FROM c_deliveries",
@@ -624,6 +646,6 @@ def _sources() -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     bodies = {
         **_kpi(), **_sales(), **_delivery(), **_customer(), **_inventory(), **_views(), **_dashboards(), **_cleaning(),
-        **_audits(), **_sources(),
+        **_audits(), **_dirty(), **_sources(),
     }
     return {name: with_tables(body) for name, body in bodies.items()}

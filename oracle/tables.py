@@ -34,7 +34,9 @@ FROM orders
 """
 
 _INVENTORY = """
-SELECT store_id, product_id, stock_date,
+SELECT CAST((store_id * 20 + product_id) * 10000 + date_diff('day', DATE '1995-01-02', stock_date) // 7 AS BIGINT)
+         AS inventory_id,
+       store_id, product_id, stock_date,
        CAST(k % 61 AS BIGINT) AS opening_stock,
        CAST(greatest(k % 61 + (k * 13) % 41 - units_sold - CASE WHEN k % 10 = 0 THEN k % 6 ELSE 0 END, 0) AS BIGINT)
          AS closing_stock,
@@ -142,13 +144,18 @@ SELECT customer_id, '  ' || full_name || chr(9) || ' ' AS full_name,
        strftime(signup_date, '%Y-%m-%d') AS signup_date, is_active
 FROM c_customers""",
     "c_dirty_inventory": """
-SELECT store_id, product_id,
+SELECT inventory_id, store_id, product_id,
        CASE WHEN product_id = 7 AND store_id % 5 = 0 THEN 'bad' ELSE strftime(stock_date, '%Y-%m-%d') END
          AS stock_date,
        opening_stock, closing_stock, reorder_level, units_received, units_sold,
        CASE WHEN units_wasted <> 0 THEN units_wasted END AS units_wasted
 FROM (SELECT * FROM c_inventory
       UNION ALL SELECT * REPLACE (closing_stock + 1 AS closing_stock) FROM c_inventory WHERE store_id = 3)""",
+    "c_dirty_deliveries": """
+SELECT * FROM c_deliveries
+UNION ALL SELECT * REPLACE (delivery_id + 1000000000 AS delivery_id) FROM c_deliveries WHERE order_id % 3 <> 0
+UNION ALL SELECT * REPLACE (delivery_id + 2000000000 AS delivery_id, actual_time_mins + 7 AS actual_time_mins)
+FROM c_deliveries WHERE order_id % 9 = 1""",
     "c_dirty_refs": """
 SELECT * REPLACE (
   CASE WHEN order_id % 83 = 0 THEN customer_id + 1000000000 ELSE customer_id END AS customer_id,

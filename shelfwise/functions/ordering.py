@@ -23,9 +23,6 @@ from .exact import ratio
 _ROW_BITS = 33
 _ROW, _BLOCK = "_row", "_block"
 
-# A window task comfortably sorts this many narrow rows; keys with more are split.
-HOT_KEY_ROWS = 5_000_000
-
 
 def _blocks(df: DataFrame, order: list[Column]) -> DataFrame:
     ordered = (
@@ -156,45 +153,19 @@ def percent_rank(rank: Column, rows: Column, digits: int = 3) -> Column:
     return F.coalesce(ratio(rank - 1, rows - 1, digits), F.lit(0.0))
 
 
-def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """Keys with clearly more than ``limit`` rows: at most (rows of the table / limit) of them.
-
-    This only decides which of two exact ways a key's rows take, so it need not count them all: enough rows
-    are looked at that a key at the limit is expected about a thousand times.
-    """
-    looked_at = min(1.0, 1000 / max(limit, 1))
-    keys = df.select(key) if looked_at == 1.0 else df.select(key).sample(looked_at, seed=1)
-    counts = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return cut_lineage(counts.filter(F.col("_n") > limit * looked_at).select(key))
-
-
-def previous_value(
-    df: DataFrame, key: str, order: list[str], value: str, name: str, hot_key_rows: int = HOT_KEY_ROWS
-) -> DataFrame:
-    """LAG of ``value`` per ``key``; ``order`` must be unique within a key.
+def previous_value(df: DataFrame, key: str, block: Column, order: list[str], name: str) -> DataFrame:
+    """LAG of the leading ``order`` column per ``key``; ``order`` must be unique within a key.
 
-    Ordinary keys use a window.  A key with more than ``hot_key_rows`` rows would sit in one task, so the
-    rows of such keys are cut into blocks of the order, and the first row of a block takes the last row of
-    the block before it.
+    ``block`` must not decrease in ``order`` and bounds the rows of one window, such as the day of a time.  Inside a
+    block an ordinary window finds the row before.  The first row of a block takes the greatest value of the key's
+    block before it, found by a window over one aggregated row per key and block.
     """
-    hot = hot_keys(df, key, hot_key_rows)
-    plain = Window.partitionBy(key).orderBy(*order)
-    if hot.isEmpty():
-        return df.withColumn(name, F.lag(value).over(plain))
-    # ``hot`` has one row per hot_key_rows rows of the table at the very most, hence the broadcast.
-    usual = df.join(F.broadcast(hot), key, "left_anti").withColumn(name, F.lag(value).over(plain))
-    return usual.unionByName(_previous_in_blocks(df.join(F.broadcast(hot), key, "left_semi"), key, order, value, name))
-
-
-def _previous_in_blocks(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
-    blocks = _blocks(df, [F.col(c) for c in [key, *order]])
-    entry = F.struct(F.col(key).alias("key"), F.col(value).alias("value"))
-    last = blocks.groupBy(_BLOCK).agg(F.max_by(entry, F.col(_ROW)).alias("_last"))
-    carry = last.select(_BLOCK, F.lag("_last").over(Window.orderBy(_BLOCK)).alias("_carry"))
-    inside = Window.partitionBy(_BLOCK).orderBy(_ROW)
+    rows = df.withColumn(_BLOCK, block)
+    last = rows.groupBy(key, _BLOCK).agg(F.max(order[0]).alias("_last"))
+    carried = last.select(key, _BLOCK, F.lag("_last").over(Window.partitionBy(key).orderBy(_BLOCK)).alias("_carry"))
+    before = F.lag(order[0]).over(Window.partitionBy(key, _BLOCK).orderBy(*order))
     return (
-        blocks.join(F.broadcast(carry), _BLOCK)
-        .withColumn("_before", F.coalesce(F.lag(entry).over(inside), F.col("_carry")))
-        .withColumn(name, F.when(F.col("_before.key") == F.col(key), F.col("_before.value")))
-        .drop(_ROW, _BLOCK, "_carry", "_before")
+        _join_null_safe(rows.withColumn(name, before), carried, [key, _BLOCK], "left")
+        .withColumn(name, F.coalesce(name, "_carry"))
+        .drop(_BLOCK, "_carry")
     )

@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 from ..functions.calendar import plus_seconds
 from ..functions.exact import cents, count_where
 from ..schemas import COLUMN_DEFAULTS, DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, RANGES, UNIQUE_KEYS
+from ..sources.files import BASE_TABLES
 from ..sources.tables import Tables
 from .common import left_lookup
 from .inventory import series
 
 
-def _has(t: Tables, name: str, columns: list[str]) -> bool:
-    return name in t and set(columns) <= set(t[name].columns)
+def _checked(t: Tables, name: str, columns: list[str]) -> DataFrame:
+    """The table, if it can be checked: a rule that finds no table or no column must not pass for a clean one."""
+    if name not in t:
+        raise ValueError(f"not checked: there is no table {name}")
+    if missing := sorted(set(columns) - set(t[name].columns)):
+        raise ValueError(f"not checked: {name} has no column {', '.join(missing)}")
+    return t[name]
 
 
 def _one_row(df: DataFrame, rule: str, name: str, violations: Column) -> DataFrame:
@@ -43,28 +49,28 @@ def _key_is_null(key: list[str]) -> Column:
     return reduce(Column.__or__, [F.col(c).isNull() for c in key])
 
 
-def primary_keys(t: Tables) -> DataFrame:
-    """Rows without a key, and rows beyond the first of each key."""
+def primary_keys(t: Tables, names: list[str] = BASE_TABLES) -> DataFrame:
+    """Rows without a key, and rows beyond the first of each key, in the named tables."""
     parts = [
         _one_row(
-            _repeated(t[name], key), f"primary key {_key_label(key)}", name,
-            F.sum(F.when(_key_is_null(key), F.col("n")).otherwise(F.col("n") - 1)),
+            _repeated(_checked(t, name, PRIMARY_KEYS[name]), PRIMARY_KEYS[name]),
+            f"primary key {_key_label(PRIMARY_KEYS[name])}", name,
+            F.sum(F.when(_key_is_null(PRIMARY_KEYS[name]), F.col("n")).otherwise(F.col("n") - 1)),
         )
-        for name, key in PRIMARY_KEYS.items()
-        if _has(t, name, key)
+        for name in names
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def unique_keys(t: Tables) -> DataFrame:
-    """Rows beyond the first of each key; NULL keys may repeat."""
+def unique_keys(t: Tables, names: list[str] = [*BASE_TABLES, "monthly_city_revenue"]) -> DataFrame:
+    """Rows beyond the first of each key in the named tables; NULL keys may repeat."""
     parts = [
         _one_row(
-            _repeated(t[name], key), f"unique {_key_label(key)}", name,
+            _repeated(_checked(t, name, key), key), f"unique {_key_label(key)}", name,
             F.sum(F.when(~_key_is_null(key), F.col("n") - 1)),
         )
         for name, key in UNIQUE_KEYS
-        if _has(t, name, key)
+        if name in names
     ]
     return reduce(DataFrame.unionByName, parts)
 

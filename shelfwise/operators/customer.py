@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import days_between, month_start, year_month
 from ..functions.exact import count_where, mean_money, money, ratio
-from ..functions.ordering import HOT_KEY_ROWS, number_rows, percent_rank, previous_value, rank_rows, tile
+from ..functions.ordering import number_rows, percent_rank, previous_value, rank_rows, tile
 from ..sources.tables import Tables
 from .common import delivered_orders
 
@@ -61,11 +61,11 @@ def rfm(t: Tables) -> DataFrame:
     )
 
 
-def order_gaps(t: Tables, sort: bool = False, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def order_gaps(t: Tables, sort: bool = False) -> DataFrame:
     """Each delivered order with the customer's previous one and the days between them."""
     orders = delivered_orders(t).select("customer_id", "order_id", "order_datetime")
     gaps = previous_value(
-        orders, "customer_id", ["order_datetime", "order_id"], "order_datetime", "prev_order_datetime", hot_key_rows
+        orders, "customer_id", F.to_date("order_datetime"), ["order_datetime", "order_id"], "prev_order_datetime"
     ).select(
         "customer_id", "order_id", "order_datetime", "prev_order_datetime",
         days_between(F.col("order_datetime"), F.col("prev_order_datetime")).alias("days_since_prev_order"),

@@ -99,12 +99,12 @@ def revenue_by_category(t: Tables) -> DataFrame:
 def _store_metrics(t: Tables, stores: DataFrame) -> DataFrame:
     """``stores`` with their revenue, fill rate, SLA and cancellation rate.
 
-    An order has at most one delivery, so orders and deliveries are joined once and all their measures come
-    from one aggregation; only the stock is a second one.
+    Deliveries are counted per order first, so that an order delivered more than once still counts once; orders and
+    deliveries then meet in one join and one aggregation, on the key that the deliveries were counted by.
     """
     completed = F.col("delivery_status").isin(COMPLETED)
-    deliveries = t["deliveries"].select(
-        "order_id", completed.alias("completed"), (completed & on_time()).alias("punctual")
+    deliveries = t["deliveries"].groupBy("order_id").agg(
+        count_where(completed).alias("completed"), count_where(completed & on_time()).alias("punctual")
     )
     delivered = F.col("order_status") == "Delivered"
     activity = (
@@ -116,8 +116,8 @@ def _store_metrics(t: Tables, stores: DataFrame) -> DataFrame:
             sum_where(delivered, F.col("total_amount")).alias("revenue"),
             F.count(F.lit(1)).alias("orders"),
             count_where(F.col("order_status") == "Cancelled").alias("cancelled"),
-            count_where(F.col("completed")).alias("trips"),
-            count_where(F.col("punctual")).alias("on_time_trips"),
+            F.sum("completed").alias("trips"),
+            F.sum("punctual").alias("on_time_trips"),
         )
     )
     return (
@@ -178,18 +178,14 @@ def dim_date(t: Tables) -> DataFrame:
 
 
 def sample_preview(t: Tables, rows: int = 50) -> DataFrame:
-    """The first orders with the names of their customer and store.
-
-    Every order has a customer and a store (foreign keys, see the audits), so the orders are chosen before the
-    joins and 50 rows are joined instead of all.
-    """
-    first = t["orders"].orderBy("order_id").limit(rows)
+    """The first orders that have a customer and a store, with both names; a top-k, so no full sort."""
     return (
-        first.join(t["customers"].select("customer_id", "full_name", "city_id"), "customer_id")
+        t["orders"].join(t["customers"].select("customer_id", "full_name", "city_id"), "customer_id")
         .join(t["dark_stores"].select("store_id", "store_name"), "store_id")
         .select(
             "order_id", "customer_id", "store_id", "promo_id", "order_datetime", "order_status",
             money(F.col("total_amount")).alias("total_amount"), "full_name", "city_id", "store_name",
         )
         .orderBy("order_id")
+        .limit(rows)
     )

@@ -153,14 +153,14 @@ def bottleneck_stores(t: Tables) -> DataFrame:
 
 
 def peak_hour(t: Tables) -> DataFrame:
-    """Orders and average delay per hour of the day, over all orders."""
-    deliveries = t["deliveries"].select("order_id", delay().alias("delay"))
+    """Orders and average delay per hour of the day, over all orders; deliveries are summed per order first."""
+    deliveries = t["deliveries"].groupBy("order_id").agg(F.sum(delay()).alias("total"), F.count(delay()).alias("n"))
     return (
         t["orders"]
         .select("order_id", F.hour("order_datetime").cast("bigint").alias("order_hour"))
         .join(deliveries, "order_id", "left")
         .groupBy("order_hour")
-        .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("delay").alias("total"), F.count("delay").alias("n"))
+        .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total").alias("total"), F.sum("n").alias("n"))
         .select("order_hour", "total_orders", mean(F.col("total"), F.col("n")).alias("avg_delay_mins"))
         .orderBy("order_hour")
     )

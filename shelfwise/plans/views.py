@@ -18,12 +18,11 @@ from ..sources.tables import Tables
 def store_daily_performance(t: Tables) -> DataFrame:
     """Orders, delivered revenue, cancellations and average delay per store and day.
 
-    Revenue is NULL on a day without a delivered order.  An order has at most one delivery, so the left join
-    repeats no order.
+    Revenue is NULL on a day without a delivered order.  Deliveries are summed per order first, so that the left join
+    repeats no order, however often one was delivered.
     """
-    deliveries = t["deliveries"].select(
-        "order_id", F.when(F.col("delivery_status").isin(COMPLETED), delay()).alias("delay")
-    )
+    done = F.when(F.col("delivery_status").isin(COMPLETED), delay())
+    deliveries = t["deliveries"].groupBy("order_id").agg(F.sum(done).alias("delay_sum"), F.count(done).alias("delay_count"))
     daily = (
         t["orders"]
         .join(deliveries, "order_id", "left")
@@ -32,8 +31,8 @@ def store_daily_performance(t: Tables) -> DataFrame:
             F.count(F.lit(1)).alias("total_orders"),
             sum_where(F.col("order_status") == "Delivered", F.col("total_amount")).alias("revenue"),
             count_where(F.col("order_status") == "Cancelled").alias("cancelled_orders"),
-            F.sum("delay").alias("delay_sum"),
-            F.count("delay").alias("delay_count"),
+            F.sum("delay_sum").alias("delay_sum"),
+            F.sum("delay_count").alias("delay_count"),
         )
     )
     return daily.join(stores_with_city(t), "store_id").select(

@@ -50,3 +50,17 @@ def dirty_refs(t: Tables) -> DataFrame:
         .withColumn("order_status", F.when(key % 89 == 0, "Lost").otherwise(F.col("order_status")))
         .withColumn("total_amount", F.when(key % 101 == 0, -F.col("total_amount")).otherwise(F.col("total_amount")))
     )
+
+
+def dirty_deliveries(t: Tables) -> DataFrame:
+    """Two of three orders delivered twice, some a third time and later."""
+    deliveries, key = t["deliveries"], F.col("order_id")
+    again = deliveries.filter(key % 3 != 0).withColumn("delivery_id", F.col("delivery_id") + 1_000_000_000)
+    late = deliveries.filter(key % 9 == 1).withColumns(
+        {"delivery_id": F.col("delivery_id") + 2_000_000_000, "actual_time_mins": F.col("actual_time_mins") + 7}
+    )
+    return deliveries.unionByName(again).unionByName(late)
+
+
+def without_some_customers(t: Tables) -> DataFrame:
+    return t["customers"].filter(F.col("customer_id") % 10 != 3)

@@ -267,6 +267,7 @@ def _inventory(t: Tables) -> DataFrame:
     k = F.col("k")
     stocked = (
         weekly.withColumn("k", F.col("store_id") * 37 + F.col("product_id") * 101 + week * 17)
+        .withColumn("inventory_id", (F.col("store_id") * 20 + F.col("product_id")) * 10_000 + week)
         .withColumn("opening_stock", k % 61)
         .withColumn("units_received", k * 13 % 41)
         .withColumn("units_wasted", F.when(k % 10 == 0, k % 6).otherwise(0))

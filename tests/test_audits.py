@@ -8,6 +8,8 @@ from conftest import rows
 from test_operators import CITIES, STORES, items, order, snapshot, tables
 
 from shelfwise.operators import audits
+from shelfwise.sources.files import BASE_TABLES
+from shelfwise.sources.tables import Tables
 
 
 def broken(df):
@@ -18,16 +20,25 @@ def broken(df):
 def test_primary_keys(spark):
     t = tables(spark, orders=[order(1), order(1), order(1), order(None), order(2)],
                low_stock_alerts=[dict(store_id=1, product_id=1, flagged_at=dt.datetime(2024, 1, 1))] * 2)
-    found = audits.primary_keys(t)
+    found = audits.primary_keys(t, [*BASE_TABLES, "low_stock_alerts"])
     assert found.count() == 14
     assert broken(found) == {
         ("primary key order_id", "orders"): 3, ("primary key store_id, product_id, flagged_at", "low_stock_alerts"): 1}
 
 
+def test_a_rule_that_cannot_be_checked_does_not_pass(spark):
+    t = tables(spark, orders=[order(1)])
+    for check in (audits.primary_keys, audits.unique_keys):
+        with pytest.raises(ValueError, match="not checked: orders has no column order_id|not checked: customers has no column email"):
+            check(t.replaced(orders=t["orders"].drop("order_id"), customers=t["customers"].drop("email")))
+    with pytest.raises(ValueError, match="not checked: there is no table cities"):
+        audits.primary_keys(Tables.of(orders=t["orders"]), ["orders", "cities"])
+
+
 def test_unique_keys_allow_missing_values(spark):
     people = [dict(customer_id=i, email=e) for i, e in enumerate(["a", "a", None, None, "b"])]
     t = tables(spark, customers=people, inventory=[snapshot(1, 1, "2024-01-01"), snapshot(1, 1, "2024-01-01")])
-    assert broken(audits.unique_keys(t)) == {
+    assert broken(audits.unique_keys(t, BASE_TABLES)) == {
         ("unique email", "customers"): 1, ("unique store_id, product_id, stock_date", "inventory"): 1}
 
 

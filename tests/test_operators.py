@@ -299,12 +299,12 @@ def test_rfm_with_fewer_customers_than_quartiles(spark):
     assert got == [(1, 2, 2, 1), (2, 1, 3, 2), (3, 3, 1, 3)]
 
 
-@pytest.mark.parametrize("hot_key_rows", [1, 1000])
-def test_order_gaps(spark, hot_key_rows):
+def test_order_gaps(spark):
     t = tables(spark, orders=[order(1, when="2024-01-01 00:00:00"), order(3, when="2024-01-02 12:00:00"),
-                              order(2, when="2024-01-02 12:00:00"), order(4, customer_id=2)])
-    got = rows(customer.order_gaps(t, hot_key_rows=hot_key_rows).select("order_id", "days_since_prev_order"))
-    assert got == [(1, None), (2, 1.5), (3, 0.0), (4, None)]
+                              order(2, when="2024-01-02 12:00:00"), order(4, customer_id=2),
+                              order(5, when="2024-03-02 12:00:00")])
+    got = rows(customer.order_gaps(t).select("order_id", "days_since_prev_order"))
+    assert got == [(1, None), (2, 1.5), (3, 0.0), (4, None), (5, 60.0)]
 
 
 def test_top_five_percent_includes_ties(spark):
@@ -328,6 +328,14 @@ def test_store_without_activity_is_on_the_scorecard(spark):
     assert rows(dashboard.store_matrix_by_city(t).select("city_name", "store_id")) == [("A", 1), ("A", 2), ("B", 3)]
 
 
+def test_repeated_deliveries_repeat_no_order(spark):
+    orders, deliveries = trips(1, [10, 11])
+    once = tables(spark, dark_stores=STORES, cities=CITIES, orders=orders, deliveries=deliveries)
+    twice = tables(spark, dark_stores=STORES, cities=CITIES, orders=orders, deliveries=deliveries * 2)
+    for question in (dashboard.store_scorecard, dashboard.store_matrix_by_city, views.store_daily_performance, delivery.peak_hour):
+        assert rows(question(once)) == rows(question(twice))
+
+
 def test_exec_row(spark):
     orders, deliveries = trips(1, [10, None])
     t = tables(spark, orders=orders, deliveries=deliveries, inventory=[snapshot(1, 1, "2024-01-01", opening=8, sold=2)])
@@ -340,6 +348,12 @@ def test_date_table_has_no_gaps(spark):
         (dt.date(2024, 2, 28), "2024-02"), (dt.date(2024, 2, 29), "2024-02"), (dt.date(2024, 3, 1), "2024-03")]
 
 
+def test_preview_is_full_although_some_orders_have_no_customer(spark):
+    t = tables(spark, orders=[order(i, customer_id=i % 3) for i in range(120)], dark_stores=STORES,
+               customers=[dict(customer_id=i, full_name="F", city_id=9) for i in (0, 1)])
+    assert [r["order_id"] for r in dashboard.sample_preview(t).collect()] == [i for i in range(75) if i % 3 < 2]
+
+
 def test_preview_has_the_customers_city(spark):
     t = tables(spark, orders=[order(i) for i in range(60)], dark_stores=STORES,
                customers=[dict(customer_id=1, full_name="F", city_id=9)])

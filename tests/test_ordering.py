@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordering import (
-    hot_keys, number_rows, percent_rank, previous_value, rank_rows, running_totals, tile, tile_end,
+    number_rows, percent_rank, previous_value, rank_rows, running_totals, tile, tile_end,
 )
 
 
@@ -82,24 +82,15 @@ def test_running_totals(spark, seed):
     assert rows(got.select("id", "total", "total_all")) == rows(expected)
 
 
-@pytest.mark.parametrize("limit", [0, 5, 60, 10**6])
-def test_previous_value_is_the_same_however_keys_are_split(spark, limit):
+@pytest.mark.parametrize("width", [1, 7, 50, 10**6])
+def test_previous_value_is_the_same_however_wide_the_blocks(spark, width):
     df = values(spark, 500, 1000, 7)
+    df = df.withColumn("v", F.when(F.col("id") % 9 != 0, F.col("v"))).withColumn("g", F.when(F.col("g") != 1, F.col("g")))
     expected = df.select("id", F.lag("v").over(Window.partitionBy("g").orderBy("v", "id")))
-    got = previous_value(df, "g", ["v", "id"], "v", "before", hot_key_rows=limit)
+    got = previous_value(df, "g", F.floor(F.col("v") / width), ["v", "id"], "before")
     assert rows(got.select("id", "before")) == rows(expected)
 
 
-def test_only_large_keys_are_hot(spark):
-    df = spark.createDataFrame([(1,)] * 10 + [(2,)] * 3, "k int")
-    assert rows(hot_keys(df, "k", 5)) == [(1,)]
-
-
-def test_hot_keys_are_found_without_counting_all_rows(spark):
-    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    assert rows(hot_keys(df, "k", 20_000)) == [(0,)]
-
-
 def test_numbers_survive_a_second_read(spark):
     """Positions are stored values: reading twice gives the same ones."""
     numbered = number_rows(spark.range(1000).withColumn("v", F.col("id") % 7), [F.col("v"), F.col("id")])

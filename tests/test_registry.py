@@ -9,7 +9,9 @@ import __spark_entry__ as registry
 import check_oracle
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = list(registry.queries())
+SQL = registry.oracle_sql()
+NAMES = [name for name in registry.queries() if name in SQL]
+TABULAR = [name for name in NAMES if not re.match(r"op\d+_|pipeline", name)]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
@@ -20,7 +22,8 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(NAMES) == set(registry.oracle_sql())
+    assert set(SQL) <= set(registry.queries())
+    assert all(re.match(r"op\d+_|pipeline", name) for name in set(registry.queries()) - set(SQL))
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -28,7 +31,7 @@ def test_same_rows_as_duckdb(spark, connection, name):
     assert check_oracle.compare(spark, connection, FOLDER, name) == ""
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", TABULAR)
 def test_plan_scales(spark, name):
     """Even when no side is small enough to broadcast, nothing is paired with everything or run in Python."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
