@@ -103,14 +103,16 @@ def _scratch(spark: SparkSession) -> str:
 
 def _refresh_dashboard(spark: SparkSession, folder: str) -> DataFrame:
     path = jobs.refresh_monthly_city_revenue(spark, grading_tables(spark, folder), _scratch(spark))
-    return spark.read.parquet(path)
+    return views.shown(spark.read.parquet(path))
 
 
 def _refresh_months(spark: SparkSession, folder: str) -> DataFrame:
     t, target = grading_tables(spark, folder), _scratch(spark)
+    for name in ["cities", "dark_stores", "orders"]:
+        write_table(t[name], f"{target}/stored", name)
     first = jobs.refresh_monthly_city_revenue(spark, t, target)
-    path = jobs.refresh_monthly_city_revenue(spark, t, target, months=["1997-03", "1998-11"], previous=first)
-    return spark.read.parquet(path)
+    path = jobs.refresh_stored_months(spark, f"{target}/stored", target, ["1997-03", "1998-11"], first)
+    return views.shown(spark.read.parquet(path))
 
 
 def _flag_low_stock(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,6 +128,34 @@ def _through_csv(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _clean_messy_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    source, target = _scratch(spark), _scratch(spark)
+    dirty.messy_orders(grading_tables(spark, folder)).write.csv(f"{source}/orders.csv", header=True, escape='"')
+    dirty.messy_cities(grading_tables(spark, folder)).write.csv(f"{source}/cities.csv", header=True, escape='"')
+    return cleaning.clean_csv_folder(spark, source, target), target
+
+
+def _cleaned_orders(spark: SparkSession, folder: str) -> DataFrame:
+    _, target = _clean_messy_orders(spark, folder)
+    return _plain_money(read_table(spark, target, "orders"))
+
+
+def _clean_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    _, target = _clean_messy_orders(spark, folder)
+    return cleaning.rejected(spark, target, "orders").select("order_id", F.col(cleaning.REJECTED).alias("reason"))
+
+
+def _clean_folder_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _clean_messy_orders(spark, folder)[0]
+
+
+def _through_reordered_csv(spark: SparkSession, folder: str) -> DataFrame:
+    target = _scratch(spark)
+    products = grading_tables(spark, folder)["products"]
+    write_csv(products.select(*reversed(products.columns)), target, "products")
+    return read_csv(spark, target, "products").withColumns({c: money(F.col(c)) for c in ["unit_price", "unit_cost"]})
+
+
 def _through_parquet(spark: SparkSession, folder: str) -> DataFrame:
     target = _scratch(spark)
     stock = grading_tables(spark, folder)["inventory"]
@@ -150,7 +180,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **{name: bound(question) for name, question in {**CATALOG, **DIRTY}.items()},
         "source_csv_deliveries": _through_csv,
+        "source_csv_reordered": _through_reordered_csv,
         "source_parquet_inventory": _through_parquet,
+        "source_clean_folder": _cleaned_orders,
+        "clean_rejects": _clean_rejects,
+        "clean_folder_report": _clean_folder_report,
         "job_refresh_dashboard": _refresh_dashboard,
         "job_refresh_months": _refresh_months,
         "job_flag_low_stock": _flag_low_stock,

@@ -639,7 +639,22 @@ JOIN c_dark_stores USING (store_id) JOIN c_cities USING (city_id) LEFT JOIN dela
 def _sources() -> dict[str, str]:
     return {
         "source_csv_deliveries": "SELECT * FROM c_deliveries",
+        "source_csv_reordered": """
+SELECT * EXCLUDE (unit_price, unit_cost) REPLACE (CAST(shelf_life_days AS INTEGER) AS shelf_life_days), CAST(unit_price AS DOUBLE) AS unit_price,
+       CAST(unit_cost AS DOUBLE) AS unit_cost FROM c_products""",
         "source_parquet_inventory": "SELECT * FROM c_inventory",
+        "source_clean_folder": """
+SELECT order_id, customer_id, store_id, promo_id, order_datetime, order_status,
+       CASE WHEN order_id % 11 <> 0 THEN CAST(total_amount AS DOUBLE) END AS total_amount
+FROM c_orders WHERE order_id % 13 <> 0""",
+        "clean_rejects": "SELECT order_id, 'total_amount: a lot' AS reason FROM c_orders WHERE order_id % 13 = 0",
+        "clean_folder_report": """
+SELECT 'orders' AS table_name, count(*) + count(*) FILTER (WHERE order_id % 10 = 0) AS rows_in,
+       count(*) FILTER (WHERE order_id % 10 = 0) AS duplicates_removed,
+       count(*) FILTER (WHERE order_id % 13 = 0) AS rows_rejected, CAST(0 AS BIGINT) AS rows_dropped_missing_required,
+       count(*) FILTER (WHERE order_id % 13 <> 0) AS rows_out FROM c_orders
+UNION ALL
+SELECT 'cities', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(*) FROM c_cities""",
     }
 
 

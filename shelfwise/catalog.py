@@ -55,7 +55,7 @@ CATALOG: dict[str, Question] = {
     "inventory_category_tree": inventory.category_tree,
     "view_store_daily_performance": views.store_daily_performance,
     "view_product_inventory_health": views.product_inventory_health,
-    "mv_monthly_city_revenue": views.monthly_city_revenue,
+    "mv_monthly_city_revenue": views.monthly_city_revenue_shown,
     "measure_total_revenue": dashboard.total_revenue,
     "measure_sla_pct": dashboard.sla,
     "measure_fill_rate": dashboard.fill_rate,

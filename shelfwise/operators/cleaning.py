@@ -5,20 +5,32 @@ Missing text stays missing, so a row without a required text is dropped.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.calendar import moment_of
 from ..schemas import CLEAN_DATES, CLEAN_REQUIRED, CLEAN_TEXT, CLEAN_ZERO_WHEN_MISSING, SCHEMAS
-from ..sources.files import read_csv, write_csv, write_table
+from ..session import shared_folder
+from ..sources.files import csv_names, read_csv_text, typed_text, write_csv, write_table
 from ..sources.tables import Tables
 
 # Any white space, not only the blank that trim() removes.
 _OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+REJECTED = "_rejected"
+
+# Text that stands for a missing value in CSV files.
+MISSING_MARKERS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
 def _present(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
 
@@ -39,7 +51,7 @@ def parse_dates(df: DataFrame, name: str) -> DataFrame:
     """Turn the table's date columns into dates and timestamps; text that is neither becomes NULL."""
 
     def parsed(column: str) -> Column:
-        moment = F.col(column).try_cast("timestamp_ntz")
+        moment = moment_of(F.col(column))
         return F.to_date(moment) if isinstance(SCHEMAS[name][column].dataType, T.DateType) else moment
 
     dates = {c: parsed(c) for c in _present(df, CLEAN_DATES.get(name, []))}
@@ -88,9 +100,63 @@ def report(t: Tables, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [report_table(t[name], name) for name in names])
 
 
-def clean_csv_folder(spark: SparkSession, source: str, target: str, names: list[str], as_csv: bool = False) -> DataFrame:
-    """Clean the named CSV tables into ``target``; returns the report."""
-    tables = {name: read_csv(spark, source, name, dates_as_text=True) for name in names}
-    for name, df in tables.items():
-        (write_csv if as_csv else write_table)(clean_table(df, name), target, name)
-    return report(Tables.of(**tables), names)
+def typed_leniently(text: DataFrame, name: str) -> DataFrame:
+    """Text columns as the types of the table's columns, dates still as text; values that do not fit are listed in
+    ``REJECTED`` and are NULL.  Markers of missing values are NULL everywhere.  Unknown columns and tables stay text."""
+    types = {f.name: f for f in SCHEMAS.get(name, T.StructType()) if f.name not in CLEAN_DATES.get(name, [])}
+    known = text.select(*[F.when(~F.col(c).isin(MISSING_MARKERS), F.col(c)).alias(c) for c in text.columns])
+    typed = {c: typed_text(types[c], strict=False) if c in types else F.col(c) for c in text.columns}
+    unfit = [
+        F.when(F.col(c).isNotNull() & typed[c].isNull(), F.concat(F.lit(f"{c}: "), F.col(c))) for c in text.columns if c in types
+    ]
+    return known.select(*[typed[c].alias(c) for c in text.columns], F.concat_ws("; ", *unfit).alias(REJECTED))
+
+
+def clean_csv(spark: SparkSession, source: str, target: str, name: str, as_csv: bool = False) -> tuple:
+    """Clean ``source/name.csv`` into ``target`` in one pass over the file; returns the table's line of the report.
+
+    Equal rows are merged and counted, rows are cleaned, and all counts are observed while the result is staged in the
+    shared folder: kept rows, and rejected rows with the reason.  The staged rows are then moved to ``target``, those
+    rejected to ``target/rejected/name``.
+    """
+    text = read_csv_text(spark, f"{source}/{name}.csv")
+    columns = text.columns
+    merged = typed_leniently(text, name).groupBy(*columns, REJECTED).agg(F.count(F.lit(1)).alias("_copies"))
+    checked = parse_dates(clean_text(merged, name), name)
+    missing = reduce(Column.__or__, [F.col(c).isNull() for c in _present(checked, CLEAN_REQUIRED.get(name, []))], F.lit(False))
+    kind = F.when(F.col(REJECTED) != "", "rejected").when(missing, "incomplete").otherwise("kept")
+    seen = Observation()
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+    counted = checked.withColumn("_kind", kind).observe(
+        seen, total(F.col("_copies")).alias("rows_in"), total(F.col("_copies") - 1).alias("duplicates_removed"),
+        *[total((F.col("_kind") == k).cast("int")).alias(k) for k in ("rejected", "incomplete", "kept")],
+    )
+    staged = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    out = counted.filter(F.col("_kind") != "incomplete").drop("_copies")
+    out.write.partitionBy("_kind").parquet(staged)
+    schema = T.StructType([f for f in out.schema if f.name != "_kind"] + [T.StructField("_kind", T.StringType())])
+    rows = spark.read.schema(schema).parquet(staged)
+    kept = fill_defaults(rows.filter("_kind = 'kept'").drop("_kind", REJECTED))
+    (write_csv if as_csv else write_table)(kept, target, name)
+    rows.filter("_kind = 'rejected'").drop("_kind").write.mode("overwrite").parquet(f"{target}/rejected/{name}")
+    counts = seen.get
+    return (name, counts["rows_in"], counts["duplicates_removed"], counts["rejected"], counts["incomplete"], counts["kept"])
+
+
+def clean_csv_folder(
+    spark: SparkSession, source: str, target: str, names: list[str] | None = None, as_csv: bool = False
+) -> DataFrame:
+    """Clean the named CSV tables, or all that ``source`` has, into ``target``; returns the report."""
+    lines = [clean_csv(spark, source, target, name, as_csv) for name in names or csv_names(spark, source)]
+    return spark.createDataFrame(
+        lines, "table_name string, rows_in bigint, duplicates_removed bigint, rows_rejected bigint, "
+        "rows_dropped_missing_required bigint, rows_out bigint",
+    )
+
+
+def rejected(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """Rows that the cleaner could not read as the table's types, with the reason in ``REJECTED``."""
+    return spark.read.parquet(f"{target}/rejected/{name}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMAS
+from ..sources.files import parquet_tables
 from ..sources.tables import Tables
 from . import views
 
@@ -35,6 +36,13 @@ def refresh_monthly_city_revenue(
     return path
 
 
+def refresh_stored_months(
+    spark: SparkSession, stored: str, folder: str, months: list[str], previous: str, view: str = "monthly_city_revenue"
+) -> str:
+    """Refresh some months from the tables stored in a folder; other months' files are not opened."""
+    return refresh_monthly_city_revenue(spark, parquet_tables(spark, stored, months), folder, view, months, previous)
+
+
 def flag_low_stock(t: Tables, folder: str) -> str:
     """Append an alert for every store and product at or below its reorder level; returns the table's path."""
     path = f"{folder}/low_stock_alerts"

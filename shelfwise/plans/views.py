@@ -14,6 +14,8 @@ from ..operators.common import (
 )
 from ..sources.tables import Tables
 
+STORED_MONEY = "decimal(24,2)"
+
 
 def store_daily_performance(t: Tables) -> DataFrame:
     """Orders, delivered revenue, cancellations and average delay per store and day.
@@ -62,7 +64,10 @@ def _in_month(moment: Column, month: str) -> Column:
 
 
 def monthly_city_revenue(t: Tables, months: list[str] | None = None) -> DataFrame:
-    """Delivered orders and revenue per city and month, of all months or of those given (``yyyy-MM``)."""
+    """Delivered orders and revenue per city and month, of all months or of those given (``yyyy-MM``).
+
+    Money stays decimal, so that the stored table can be rolled up exactly.
+    """
     orders = delivered_orders(t)
     if months is not None:
         wanted = [_in_month(F.col("order_datetime"), month) for month in months]
@@ -76,12 +81,21 @@ def monthly_city_revenue(t: Tables, months: list[str] | None = None) -> DataFram
         .agg(F.sum("orders").alias("total_orders"), F.sum("revenue").alias("revenue"))
         .select(
             "city_id", "city_name", year_month(F.col("month")).alias("order_month"), "total_orders",
-            money(F.col("revenue")).alias("total_revenue"),
-            mean_money(F.col("revenue"), F.col("total_orders")).alias("avg_order_value"),
+            F.col("revenue").cast(STORED_MONEY).alias("total_revenue"),
+            mean_money(F.col("revenue"), F.col("total_orders")).cast(STORED_MONEY).alias("avg_order_value"),
         )
     )
 
 
+def monthly_city_revenue_shown(t: Tables) -> DataFrame:
+    """The monthly revenue with money as plain numbers."""
+    return shown(monthly_city_revenue(t))
+
+
+def shown(monthly: DataFrame) -> DataFrame:
+    return monthly.withColumns({c: money(F.col(c)) for c in ["total_revenue", "avg_order_value"]})
+
+
 def register(t: Tables) -> None:
     """Offer the two views to ``spark.sql``."""
     store_daily_performance(t).createOrReplaceTempView("store_daily_performance")

@@ -64,3 +64,28 @@ def dirty_deliveries(t: Tables) -> DataFrame:
 
 def without_some_customers(t: Tables) -> DataFrame:
     return t["customers"].filter(F.col("customer_id") % 10 != 3)
+
+
+def messy_orders(t: Tables) -> DataFrame:
+    """Orders as text: columns in another order, three layouts of dates, markers of missing values, numbers that are
+    none, and every tenth row twice."""
+    orders, key = t["orders"], F.col("order_id")
+    when = F.col("order_datetime")
+    layout = (
+        F.when(key % 3 == 0, F.date_format(when, "MM/dd/yyyy HH:mm:ss"))
+        .when(key % 3 == 1, F.date_format(when, "dd-MMM-yyyy HH:mm:ss"))
+        .otherwise(F.date_format(when, "yyyyMMdd HH:mm:ss"))
+    )
+    text = orders.select(
+        F.col("order_status"),
+        F.when(key % 13 == 0, "a lot").when(key % 11 == 0, "N/A").otherwise(F.col("total_amount").cast("string")).alias("total_amount"),
+        layout.alias("order_datetime"),
+        F.when(F.col("promo_id").isNotNull(), F.concat(F.col("promo_id").cast("string"), F.lit(".0"))).otherwise("NaN").alias("promo_id"),
+        F.col("store_id").cast("string").alias("store_id"), key.cast("string").alias("order_id"),
+        F.col("customer_id").cast("string").alias("customer_id"),
+    )
+    return text.unionByName(text.filter(key % 10 == 0))
+
+
+def messy_cities(t: Tables) -> DataFrame:
+    return t["cities"].select("tier", F.concat(F.lit(" "), "state").alias("state"), "city_id", "city_name")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import CLEAN_DATES, SCHEMAS
+from ..schemas import SCHEMAS
 from .tables import Tables
 
 BASE_TABLES = [name for name in SCHEMAS if name != "low_stock_alerts"]
@@ -27,28 +27,45 @@ BUCKETS_OF = {
 }
 
 
-def read_csv(spark: SparkSession, folder: str, name: str, dates_as_text: bool = False) -> DataFrame:
-    """Read ``folder/name.csv`` with the table's schema, or with dates still as text for the cleaner.
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file, or a folder of parts, with its columns by their names in the header and all values as text.
 
-    Nullable whole numbers may be written as ``2.0``.  A column read as a whole number would turn those into
-    NULL without an error, so they are read as text and cast.  Any value that does not fit its column stops the
-    job instead of becoming NULL.
+    Every part's header is checked against the first one's.
     """
-    schema = SCHEMAS[name]
-    dates = set(CLEAN_DATES.get(name, [])) if dates_as_text else set()
-    whole = {f.name for f in schema if isinstance(f.dataType, T.IntegralType)}
-    read_as = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.name in dates | whole else f.dataType, True) for f in schema]
-    )
-    df = spark.read.csv(f"{folder}/{name}.csv", header=True, schema=read_as, escape='"', mode="FAILFAST")
+    header = spark.read.csv(path, header=True, escape='"').columns
+    schema = T.StructType([T.StructField(name, T.StringType(), True) for name in header])
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, escape='"', mode="FAILFAST")
+
+
+def whole_number_text(column: Column) -> Column:
+    """Whole numbers may be written as ``2.0``."""
+    return F.regexp_replace(column, r"^(\s*[+-]?[0-9]+)\.0*(\s*)$", "$1$2")
+
+
+def typed_text(field: T.StructField, strict: bool = True) -> Column:
+    """The text column of a field as its type; a value that does not fit stops the job, or is NULL if not ``strict``."""
+    text = F.col(field.name)
+    if isinstance(field.dataType, T.IntegralType):
+        text = whole_number_text(text)
+    return (text.cast(field.dataType) if strict else text.try_cast(field.dataType)).alias(field.name)
+
 
-    def typed(field: T.StructField) -> Column:
-        if field.name not in whole:
-            return F.col(field.name)
-        plain = F.col(field.name).try_cast(field.dataType)
-        return F.coalesce(plain, F.regexp_replace(field.name, r"\.0*$", "").cast(field.dataType)).alias(field.name)
+def read_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Read ``folder/name.csv`` with the table's schema, its columns found by name in any order.
 
-    return df.select([typed(f) for f in schema])
+    A missing column, or a value that does not fit its column, stops the job; further columns are not read.
+    """
+    df = read_csv_text(spark, f"{folder}/{name}.csv")
+    if missing := [c for c in SCHEMAS[name].fieldNames() if c not in df.columns]:
+        raise ValueError(f"{folder}/{name}.csv has no column {', '.join(missing)}")
+    return df.select([typed_text(f) for f in SCHEMAS[name]])
+
+
+def csv_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the CSV files, or folders of parts, in a folder that any of Spark's file systems holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.csv")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(status.getPath().getName().removesuffix(".csv") for status in found)
 
 
 def write_csv(df: DataFrame, folder: str, name: str) -> None:
@@ -75,23 +92,31 @@ def write_table(df: DataFrame, folder: str, name: str) -> None:
     writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, name: str, months: list[str] | None = None) -> DataFrame:
+    """A stored table; of one that is split by month only the given ``months`` (``yyyy-MM``), if any are."""
     schema = SCHEMAS[name]
-    if name in MONTH_OF:
-        schema = T.StructType([*schema.fields, T.StructField("month", T.StringType(), True)])
-    return spark.read.schema(schema).parquet(f"{folder}/{name}").select(SCHEMAS[name].fieldNames())
-
-
-def load_csv_folder(spark: SparkSession, csv_folder: str, folder: str, names: Iterable[str] = BASE_TABLES) -> None:
-    """Bulk load: parents before children, each table replaced as a whole."""
-    wanted = set(names)
+    if name not in MONTH_OF:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("month", T.StringType(), True)]))
+    df = stored.parquet(f"{folder}/{name}")
+    if months is not None:
+        df = df.filter(F.col("month").isin(months))  # a filter on folders: other months are not opened
+    return df.select(schema.fieldNames())
+
+
+def load_csv_folder(spark: SparkSession, csv_folder: str, folder: str, names: Iterable[str] | None = None) -> None:
+    """Bulk load of the named tables, or of those the folder has: parents before children, each replaced as a whole."""
+    wanted = set(csv_names(spark, csv_folder) if names is None else names)
+    if unknown := sorted(wanted - set(BASE_TABLES)):
+        raise ValueError(f"no table for {', '.join(unknown)}")
     for name in BASE_TABLES:
         if name in wanted:
             write_table(read_csv(spark, csv_folder, name), folder, name)
 
 
-def parquet_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables({name: lambda _t, name=name: read_table(spark, folder, name) for name in BASE_TABLES})
+def parquet_tables(spark: SparkSession, folder: str, months: list[str] | None = None) -> Tables:
+    """The stored tables, orders and inventory of the given months only, if any are."""
+    return Tables({name: lambda _t, name=name: read_table(spark, folder, name, months) for name in BASE_TABLES})
 
 
 def csv_tables(spark: SparkSession, folder: str) -> Tables:

@@ -1,5 +1,7 @@
 """The refresh and the alerts."""
 
+from decimal import Decimal
+
 from conftest import rows
 from test_operators import CITIES, PRODUCTS, STORES, order, snapshot, tables
 
@@ -16,9 +18,10 @@ def shop(spark, *more):
 def test_refresh_moves_the_view_and_keeps_the_old_version(spark, tmp_path):
     first = jobs.refresh_monthly_city_revenue(spark, shop(spark), str(tmp_path))
     old = rows(spark.read.parquet(first))
-    assert old == [(1, "A", "2024-01", 1, 10.0, 10.0), (1, "A", "2024-02", 1, 0.01, 0.01), (2, "B", "2024-02", 1, 2.0, 2.0)]
+    ten, cent, two = Decimal("10.00"), Decimal("0.01"), Decimal("2.00")
+    assert old == [(1, "A", "2024-01", 1, ten, ten), (1, "A", "2024-02", 1, cent, cent), (2, "B", "2024-02", 1, two, two)]
     jobs.refresh_monthly_city_revenue(spark, shop(spark, order(4, when="2024-02-02 00:00:00")), str(tmp_path))
-    assert (1, "A", "2024-02", 2, 10.01, 5.01) in rows(spark.table("monthly_city_revenue"))
+    assert (1, "A", "2024-02", 2, Decimal("10.01"), Decimal("5.01")) in rows(spark.table("monthly_city_revenue"))
     assert rows(spark.read.parquet(first)) == old
 
 
