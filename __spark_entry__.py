@@ -73,6 +73,18 @@ DIRTY: dict[str, Question] = {
     "view_store_daily_performance_dirty": lambda t: views.store_daily_performance(_delivered_again(t)),
     "delivery_peak_hour_dirty": lambda t: delivery.peak_hour(_delivered_again(t)),
     "sample_preview_orphans": lambda t: dashboard.sample_preview(t.replaced(customers=dirty.without_some_customers(t))),
+    "audit_delivery_status_dirty": lambda t: audits.count_rule(
+        audits.delivery_status(t.replaced(deliveries=dirty.broken_deliveries(t))), "delivery status", "deliveries"
+    ),
+    "audit_delivery_clock_dirty": lambda t: audits.count_rule(
+        audits.delivery_clock(t.replaced(deliveries=dirty.broken_deliveries(t))), "delivery clock", "deliveries"
+    ),
+    "audit_payment_dirty": lambda t: audits.count_rule(
+        audits.payment(t.replaced(payments=dirty.broken_payments(t))), "payment", "payments"
+    ),
+    "audit_returns_dirty": lambda t: audits.count_rule(
+        audits.returns(t.replaced(returns=dirty.broken_returns(t))), "returns", "returns"
+    ),
     "audit_stock_balance_dirty": lambda t: audits.count_rule(
         audits.stock_balance(_all_dirty(t)), "stock balance", "inventory"
     ),

@@ -620,8 +620,12 @@ def _dirty() -> dict[str, str]:
     plain = {**_views(), **_dashboards(), **_delivery()}
     again = ["dash_store_scorecard", "dash_store_matrix_by_city", "delivery_peak_hour"]
     once = {f"{name}_dirty": plain[name].replace("c_deliveries", "c_dirty_deliveries") for name in again}
+    audits = _audits()
+    broken = {"audit_delivery_status": "deliveries", "audit_delivery_clock": "deliveries", "audit_payment": "payments",
+              "audit_returns": "returns"}
     return {
         **once,
+        **{f"{name}_dirty": audits[name].replace(f"c_{table}", f"c_broken_{table}") for name, table in broken.items()},
         "view_store_daily_performance_dirty": f"""
 WITH delays AS (SELECT store_id, CAST(order_datetime AS DATE) AS order_date, {_ratio(f"sum({_DELAY})", f"count({_DELAY})")} AS avg_delay_mins
                 FROM c_dirty_deliveries JOIN c_orders USING (order_id) WHERE {_DONE} GROUP BY ALL)

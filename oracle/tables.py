@@ -156,6 +156,20 @@ SELECT * FROM c_deliveries
 UNION ALL SELECT * REPLACE (delivery_id + 1000000000 AS delivery_id) FROM c_deliveries WHERE order_id % 3 <> 0
 UNION ALL SELECT * REPLACE (delivery_id + 2000000000 AS delivery_id, actual_time_mins + 7 AS actual_time_mins)
 FROM c_deliveries WHERE order_id % 9 = 1""",
+    "c_broken_deliveries": """
+SELECT * REPLACE (
+  CASE WHEN order_id % 17 <> 0 THEN delivery_status WHEN delivery_status = 'Delivered' THEN 'Delayed' ELSE 'Delivered' END
+    AS delivery_status,
+  CASE WHEN order_id % 19 = 0 THEN delivered_at + INTERVAL 1 MINUTE ELSE delivered_at END AS delivered_at)
+FROM c_deliveries""",
+    "c_broken_payments": """
+SELECT * REPLACE (CASE WHEN order_id % 23 = 0 THEN paid_amount + 1 ELSE paid_amount END AS paid_amount,
+                  CASE WHEN order_id % 29 = 0 THEN 'Success' ELSE payment_status END AS payment_status)
+FROM c_payments""",
+    "c_broken_returns": """
+SELECT * REPLACE (CASE WHEN order_item_id % 5 = 0 THEN refund_amount + 1 ELSE refund_amount END AS refund_amount,
+                  CASE WHEN order_item_id % 7 = 0 THEN return_date + 9 ELSE return_date END AS return_date)
+FROM c_returns""",
     "c_dirty_refs": """
 SELECT * REPLACE (
   CASE WHEN order_id % 83 = 0 THEN customer_id + 1000000000 ELSE customer_id END AS customer_id,

@@ -89,3 +89,32 @@ def messy_orders(t: Tables) -> DataFrame:
 
 def messy_cities(t: Tables) -> DataFrame:
     return t["cities"].select("tier", F.concat(F.lit(" "), "state").alias("state"), "city_id", "city_name")
+
+
+def broken_deliveries(t: Tables) -> DataFrame:
+    """Statuses that do not follow from the times, and arrivals a minute late."""
+    key, status = F.col("order_id"), F.col("delivery_status")
+    swapped = F.when(status == "Delivered", "Delayed").otherwise("Delivered")
+    late = F.timestamp_add("MINUTE", F.lit(1), F.col("delivered_at"))
+    return t["deliveries"].withColumns({
+        "delivery_status": F.when(key % 17 == 0, swapped).otherwise(status),
+        "delivered_at": F.when(key % 19 == 0, late).otherwise(F.col("delivered_at")),
+    })
+
+
+def broken_payments(t: Tables) -> DataFrame:
+    """Amounts that are off by one, and failures that became successes."""
+    key = F.col("order_id")
+    return t["payments"].withColumns({
+        "paid_amount": (F.col("paid_amount") + F.when(key % 23 == 0, 1).otherwise(0)).cast("decimal(12,2)"),
+        "payment_status": F.when(key % 29 == 0, "Success").otherwise(F.col("payment_status")),
+    })
+
+
+def broken_returns(t: Tables) -> DataFrame:
+    """Refunds that are off by one, and returns that come too late."""
+    key = F.col("order_item_id")
+    return t["returns"].withColumns({
+        "refund_amount": (F.col("refund_amount") + F.when(key % 5 == 0, 1).otherwise(0)).cast("decimal(12,2)"),
+        "return_date": F.date_add("return_date", F.when(key % 7 == 0, 9).otherwise(0).cast("int")),
+    })
