@@ -3,8 +3,9 @@
 Units are the lines of a text and, if it has several, the whole text.  Normal form: lower case, everything but ``a-z`` and
 ``0-9`` a space.  A unit's bigrams are its pairs of neighbouring words, with repeats; with x and y bigrams of which s are
 common, Dice is ``2 s / (x + y)``.  For a coefficient of t the sizes must lie within ``x t / (2 - t) <= y <= x (2 - t) / t``,
-so most templates are left out by size, and units that fit no template are left before their words are split.  Each unit
-goes to its best template, the first by name if equal.
+so most templates are left out by size, and units that fit no template are left before their words are split.  A unit that
+reaches t shares at least ``y t / (2 - t)`` of a template's y bigrams, so it has one of any set of the others and one more;
+texts and lines with none of these are left first.  Each unit goes to its best template, the first by name if equal.
 
 A unit of one word has no bigram and matches nothing; null and empty texts have no units.  Rows of equal id, or of null id,
 are reported together.  Texts are scanned whole; further columns are not read.  There is one small shuffle, of the matches.
@@ -12,7 +13,9 @@ are reported together.  Texts are scanned whole; further columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +60,28 @@ def _bigrams(text: str) -> list[str]:
     return [f"{p}#{pairs[:i].count(p)}" for i, p in enumerate(pairs)]
 
 
+def _signs(text: str, least: float) -> list[str]:
+    """Bigrams of a template of which every matching unit has one: as many as it may lack and one more, those with the
+    longest words, which are the rarest."""
+    bigrams = [b.split("#")[0] for b in _bigrams(text)]
+    shared = math.ceil(len(bigrams) * least / (2 - least) - 1e-9)
+    return sorted(bigrams, key=lambda b: (-max(map(len, b.split(" "))), b))[: len(bigrams) - shared + 1]
+
+
+def _has_any(text: Column, parts: set[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(part)) for part in sorted(parts)], F.lit(False))
+
+
+def _may_have(text: Column, signs: set[str]) -> Column:
+    """Whether a text, not yet in normal form, may have one of the signs: has a long word of one, or a sign of short
+    words with anything but letters and digits between them."""
+    long_words = {max(sign.split(" "), key=len) for sign in signs}
+    long_words = {word for word in long_words if len(word) > 5}
+    short = sorted(sign for sign in signs if not long_words & set(sign.split(" ")))
+    pattern = "|".join(sign.replace(" ", "[^a-z0-9]+") for sign in short)
+    return _has_any(text, long_words) | (text.rlike(pattern) if short else F.lit(False))
+
+
 def _fits(size: Column, least: float, templates: list[tuple[str, str]]) -> Column:
     """Whether a unit of ``size`` bigrams has a template within the size bounds."""
     fits = F.lit(False)
@@ -67,16 +92,19 @@ def _fits(size: Column, least: float, templates: list[tuple[str, str]]) -> Colum
 
 def found(docs: DataFrame, least: float = LEAST, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Licences found: ``doc_id``, ``licence``, the best coefficient ``dice`` and the number of matching units."""
-    normal = F.regexp_replace(F.lower("text"), "[^a-z0-9\n]+", " ")
-    lines = F.filter(F.transform(F.split(normal, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    signs = {sign for _, text in templates for sign in _signs(text, least)}
     # explode(array(..)) gives a column of its own, which later functions read instead of computing it again.
-    rows = texts(docs).select("doc_id", F.explode(F.array(lines)).alias("lines"))
+    lower = texts(docs).select("doc_id", F.explode(F.array(F.lower("text"))).alias("lower"))
+    lower = lower.where(_may_have(F.col("lower"), signs))
+    normal = F.regexp_replace("lower", "[^a-z0-9\n]+", " ")
+    lines = F.filter(F.transform(F.split(normal, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    rows = lower.select("doc_id", F.explode(F.array(lines)).alias("lines"))
     size = lambda unit: F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))  # noqa: E731 bigrams, in a normal unit
     whole_size = F.aggregate("lines", F.lit(0), lambda total, line: total + size(line) + 1) - 1
     whole = F.when(
         (F.size("lines") > 1) & _fits(whole_size, least, templates), F.array(F.array_join("lines", " "))
     ).otherwise(F.array().cast("array<string>"))
-    fitting = F.filter("lines", lambda line: (size(line) > 0) & _fits(size(line), least, templates))
+    fitting = F.filter("lines", lambda line: (size(line) > 0) & _fits(size(line), least, templates) & _has_any(line, signs))
     units = rows.select("doc_id", F.explode(F.concat(fitting, whole)).alias("unit"))
     words = units.select("doc_id", F.explode(F.array(F.split("unit", " "))).alias("words"))
     pairs = F.zip_with(
