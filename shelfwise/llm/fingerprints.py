@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm import linking
 from shelfwise.llm.frames import chunks, in_arrow, partitions, ship, table, texts
-from shelfwise.llm.words import bytes_buffers, scan_words, shingles
+from shelfwise.llm.words import bytes_buffers, scan_words, shingles, text_buffers
 
 SHINGLE = 5
 FUNCTIONS = 128
@@ -134,3 +135,45 @@ def with_edits(docs: DataFrame) -> DataFrame:
         F.col("place") % 2, F.desc("key"), F.asc_nulls_first("text")
     )
     return in_arrow(ordered.select("place", "doc_id", "text"), _in_order, SCHEMA)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrow = pa.schema([("id", pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64())), ("samples", pa.binary())])
+    for whole in batches:
+        for batch in chunks(whole, PIECE_BYTES):
+            found = signatures([text.encode("utf-8", "surrogatepass") for text in batch.column("text").to_pylist()])
+            # Four values make the 64 bits of a band; the band's place goes into its key.
+            keys = found[:, :64].copy().view(np.uint64) * _FACTORS[:16] + _OFFSETS[:16]
+            empty = (found == 0xFFFF).all(axis=1)
+            rows = [np.zeros(0, np.int64) if none else key for key, none in zip(keys.view(np.int64), empty)]
+            yield table(arrow, batch.column("id"), batch.column("digest"), rows,
+                        [row.astype(np.uint8).tobytes() for row in found[:, :64]])
+
+
+def _jaccard(least: float):
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sets(column: pa.Array) -> list[set[int]]:
+        hashes, _, _, starts = scan_words(*text_buffers(column), folded=True)
+        return [set(own.tolist()) for own in shingles(hashes, starts, SHINGLE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), 64):
+                batch = whole.slice(low, 64)
+                pairs = zip(sets(batch.column("text_a")), sets(batch.column("text_b")))
+                near = pa.array([len(a & b) >= least * len(a | b) > 0 for a, b in pairs], type=pa.bool_())
+                yield table(arrow, batch.column("a").filter(near), batch.column("b").filter(near))
+
+    return lambda sides: in_arrow(sides, run, "a bigint, b bigint")
+
+
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """Of every known id that shares a class with another id: the least id of the class, as (``id``, ``class_id``).
+
+    Fingerprints are cut into 16 bands of four values, equal bands are joined, and candidates are verified by the Jaccard
+    similarity of their shingle sets (see ``linking``).
+    """
+    known = linking.known_texts(docs)
+    signed = in_arrow(known, _signed, "id bigint, digest string, bands array<bigint>, samples binary")
+    return linking.classes_with_copies(known, signed, _jaccard(least))

@@ -8,7 +8,7 @@ off, and the lesser of the two rows counts.
 
 Improved consistent weighted sampling draws ``SAMPLES`` samples of each text, such that two texts draw the same sample with
 the probability of their weighted Jaccard similarity.  ``ROWS`` samples make a band; texts with an equal band are
-candidates, and candidates are verified by their weighted Jaccard similarity, ``LEAST`` at least.  The classes are the
+candidates (see ``linking``), and candidates are verified by their weighted Jaccard similarity, ``LEAST`` at least.  The classes are the
 connected components of the verified links and of equal texts.
 
 Equal texts are copies of each other, empty ones too.  A null text is like nothing.  A text without a word is like its
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import linking
-from shelfwise.llm.frames import chunks, in_arrow, stored, table, texts
+from shelfwise.llm.frames import chunks, in_arrow, table, texts
 from shelfwise.llm.words import bytes_buffers, scan_words, shingles, text_buffers
 
 SHINGLE = 5
@@ -156,21 +156,22 @@ def bands(drawn: np.ndarray) -> np.ndarray:
 
 
 def _signatures(weigh: Weights):
-    arrow = pa.schema([("id", pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64()))])
+    arrow = pa.schema([("id", pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64())), ("samples", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, PIECE_BYTES):
                 found = _distinct(batch.column("text"))
                 rows = np.flatnonzero([len(s) for s, _ in found])
-                keys: list[np.ndarray | None] = [np.zeros(0, np.int64)] * len(found)
+                keys, bytes_of = [np.zeros(0, np.int64)] * len(found), [b""] * len(found)
                 if len(rows):
                     hashes = np.concatenate([found[i][0] for i in rows])
                     weight = np.concatenate([found[i][1] for i in rows]) * weigh.idf(hashes)
                     starts = np.concatenate([[0], np.cumsum([len(found[i][0]) for i in rows])[:-1]])
-                    for i, key in zip(rows.tolist(), bands(samples(hashes, weight, starts))):
-                        keys[i] = key
-                yield table(arrow, batch.column("id"), batch.column("digest"), keys)
+                    drawn = samples(hashes, weight, starts)
+                    for i, key, byte in zip(rows.tolist(), bands(drawn), (drawn >> np.uint64(23)).astype(np.uint8)):
+                        keys[i], bytes_of[i] = key, byte.tobytes()
+                yield table(arrow, batch.column("id"), batch.column("digest"), keys, bytes_of)
 
     return run
 
@@ -205,20 +206,9 @@ def _verify(weigh: Weights, least: float):
 def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Of every known id that shares a class with another id: the least id of the class, as (``id``, ``class_id``)."""
     weigh = weights(docs)
-    rows = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    known = rows.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"), "text")
-    signed = stored(in_arrow(known, _signatures(weigh), "id bigint, digest string, bands array<bigint>"))
-    # One document of each text goes on; a hot text is one row per task here.
-    texts_once = signed.groupBy("digest").agg(F.min("id").alias("copy_of"), F.max("id").alias("last"))
-    copied = stored(signed.select("id", "digest").join(texts_once.where("copy_of < last").select("digest", "copy_of"), "digest")
-                    .where("id <> copy_of").select("id", "copy_of").distinct())
-    members = signed.join(copied, "id", "left_anti").select("id", F.explode("bands").alias("band")).distinct()
-    near = linking.classes(members, known.select("id", "text"), _verify(weigh, least))
-    near = near.withColumnRenamed("root", "class_id")
-    through = copied.join(near.select(F.col("id").alias("copy_of"), "class_id"), "copy_of", "left").select(
-        "id", F.coalesce("class_id", "copy_of").alias("class_id")
-    )
-    return near.unionAll(through)
+    known = linking.known_texts(docs)
+    signed = in_arrow(known, _signatures(weigh), "id bigint, digest string, bands array<bigint>, samples binary")
+    return linking.classes_with_copies(known, signed, _verify(weigh, least))
 
 
 def classified(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -235,4 +225,4 @@ def classified(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents that stand for their class, with all columns."""
     others = near_classes(docs, least).where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)

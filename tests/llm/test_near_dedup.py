@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import linking, near_dedup
+from shelfwise.llm import fingerprints, linking, near_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, band int, class_id string, digest string"
 
@@ -89,6 +89,26 @@ def test_odd_rows(spark):
     assert found[3] == {(3, True)} and found[4] == {(3, False)} and found[9] == {(8, False)}
 
 
+def test_fingerprint_classes_equal_brute_force(spark):
+    rows = corpus(3) + [(i + 50_000, t) for i, t in ODD if i is not None] + [(None, "one two")]
+    sets = {i: set(shingled(t)) for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+    text = {i: t for i, t in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(sets, 2):
+        near = sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        if near or (text[i] is not None and text[i] == text[j]):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    found = {r["id"]: r["class_id"] for r in fingerprints.near_classes(frame(spark, rows)).collect()}
+    assert {i: found.get(i, i) for i in sets} == {i: find(i) for i in sets}
+
+
 def test_one_of_each_keeps_columns(spark):
     df = frame(spark, ODD)
     kept = near_dedup.one_of_each(df)
@@ -142,12 +162,13 @@ def test_components(spark, seed):
     assert {i: found.get(i, i) for i in root} == root
 
 
-def test_links_are_found_beyond_the_first_pivot(spark):
-    """One band; the pivot is like nothing, the others form two classes, and only one pair joins the second."""
-    members = spark.createDataFrame([(i, 7) for i in range(1, 8)], "id bigint, band bigint")
-    texts = members.select("id", F.col("id").cast("string").alias("text"))
-    near = [(2, 3), (3, 4), (5, 6), (6, 7)]
+def test_links_are_found_beyond_the_pivots(spark):
+    """In the band of all, the pivot is like one text only; the others form classes that neighbours find."""
+    bands = {1: [7, 10], 2: [7, 20], 3: [7, 20], 4: [7, 21], 5: [7, 30], 6: [7, 30], 7: [7, 31], 8: [7, 10]}
+    signed = spark.createDataFrame([(i, b, bytearray(64)) for i, b in bands.items()], "id bigint, bands array<bigint>, samples binary")
+    texts = signed.select("id", F.col("id").cast("string").alias("text"))
+    near = [(1, 8), (2, 3), (3, 4), (5, 6), (6, 7)]
     links = spark.createDataFrame(near, "x bigint, y bigint")
     verify = lambda sides: sides.join(links, (F.greatest("a", "b") == F.col("y")) & (F.least("a", "b") == F.col("x")), "left_semi")
-    found = {r["id"]: r["root"] for r in linking.classes(members, texts, verify).collect()}
-    assert {i: found.get(i, i) for i in range(1, 8)} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5, 7: 5}
+    found = {r["id"]: r["root"] for r in linking.classes(signed, texts, verify).collect()}
+    assert {i: found.get(i, i) for i in bands} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5, 7: 5, 8: 1}
