@@ -76,4 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op5_license_scan": licenses.sql(), "op7_line_dedup": line_dedup.sql()}
+SQL: dict[str, str] = {
+    "op5_license_scan": licenses.sql(),
+    "op7_line_dedup": line_dedup.sql(),
+    "op10_substring_dedup": substring_dedup.sql(),
+}

@@ -262,3 +262,25 @@ def kept_words(docs: DataFrame) -> DataFrame:
     )
     repeated = windows.groupBy("part").applyInArrow(_look_up, "block int, low binary, high binary")
     return rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_cut, SCHEMA)
+
+
+def sql() -> str:
+    """The same rows in DuckDB's SQL, with the windows' words written out."""
+    return rf"""
+WITH source AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT r, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM source),
+windows AS (
+  SELECT *, string_agg(word, ' ') OVER w AS sequence, count(*) OVER w AS size
+  FROM placed WINDOW w AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+judged AS (
+  SELECT *, size = {WINDOW} AND coalesce(doc_id > min(doc_id) FILTER (WHERE size = {WINDOW}) OVER (PARTITION BY sequence), false)
+            AS repeated
+  FROM windows),
+marked AS (
+  SELECT *, coalesce(bool_or(repeated) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), false)
+            AS gone
+  FROM judged)
+SELECT any_value(s.doc_id) AS doc_id, count(word) AS n_words, count(word) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM source AS s LEFT JOIN marked AS m ON m.r = s.r GROUP BY s.r"""
