@@ -76,15 +76,39 @@ def unique_keys(t: Tables, names: list[str] = [*BASE_TABLES, "monthly_city_reven
 
 
 def foreign_keys(t: Tables) -> DataFrame:
-    """Child rows whose parent is missing.  Children are counted per key before they meet the parents."""
-    parts = []
-    for child, column, parent, key in FOREIGN_KEYS:
-        children = t[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(key)).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        orphans = children.join(t[parent].select(key), key, "left_anti")
-        parts.append(_one_row(orphans, f"{column} in {parent}", child, F.sum("n")))
-    return reduce(DataFrame.unionByName, parts)
+    """Child rows whose parent is missing.
+
+    Every table is read once as a child, for all its references, and once as a parent.  Children are counted per
+    reference and key before they meet the parents, all in one join.
+    """
+    links = list(enumerate(FOREIGN_KEYS))
+
+    def keys(name: str, wanted: list[tuple[int, str]]) -> DataFrame:
+        df = _checked(t, name, [column for _, column in wanted])
+        return df.select(F.inline(F.array(*[
+            F.struct(F.lit(link).alias("link"), F.col(column).cast("bigint").alias("key")) for link, column in wanted
+        ])))
+
+    children = [
+        keys(name, [(link, column) for link, (child, column, _, _) in links if child == name])
+        for name in dict.fromkeys(child for child, _, _, _ in FOREIGN_KEYS)
+    ]
+    parents = [
+        keys(name, [(link, key) for link, (_, _, parent, key) in links if parent == name])
+        for name in dict.fromkeys(parent for _, _, parent, _ in FOREIGN_KEYS)
+    ]
+    counted = reduce(DataFrame.unionByName, children).filter(F.col("key").isNotNull()).groupBy("link", "key").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    orphans = counted.join(reduce(DataFrame.unionByName, parents), ["link", "key"], "left_anti")
+    rules = [
+        F.struct(F.lit(link).alias("link"), F.lit(f"{column} in {parent}").alias("rule"), F.lit(child).alias("table_name"))
+        for link, (child, column, parent, _) in links
+    ]
+    listed = counted.sparkSession.range(1).select(F.inline(F.array(*rules)))
+    return listed.join(orphans.groupBy("link").agg(F.sum("n").alias("n")), "link", "left").select(
+        "rule", "table_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations")
+    )
 
 
 def _one_pass(t: Tables, rules: list[tuple[str, str, Column]]) -> DataFrame:
