@@ -7,7 +7,7 @@ import re
 _MONEY = "DECIMAL(12, 2)"
 
 _LINES = f"""
-SELECT CAST(l_orderkey * 1000 + row_number() OVER (
+SELECT CAST(l_orderkey * 1000000 + row_number() OVER (
          PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice
        ) AS BIGINT) AS order_item_id,
        l_orderkey AS order_id, l_partkey AS product_id, q AS quantity,
@@ -86,11 +86,11 @@ FROM customer""",
     "c_promotions": """
 SELECT CAST(promo_id AS BIGINT) AS promo_id, promo_code, CAST(discount_pct AS DECIMAL(5, 2)) AS discount_pct,
        start_date, end_date
-FROM (VALUES (1, 'WELCOME10', 10, DATE '1995-01-01', DATE '1996-12-31'),
-             (2, 'SAVE15', 15, DATE '1996-01-01', DATE '1997-12-31'),
-             (3, 'WEEKEND20', 20, DATE '1997-01-01', DATE '1998-12-31'),
-             (4, 'FEST25', 25, DATE '1998-01-01', DATE '1999-12-31'),
-             (5, 'FLASH5', 5, DATE '1999-01-01', DATE '2001-12-31'))
+FROM (VALUES (1, 'NEWHERE', 10, DATE '1995-01-01', DATE '1996-12-31'),
+             (2, 'BASKET15', 15, DATE '1996-01-01', DATE '1997-12-31'),
+             (3, 'SUNDAY', 20, DATE '1997-01-01', DATE '1998-12-31'),
+             (4, 'HARVEST', 25, DATE '1998-01-01', DATE '1999-12-31'),
+             (5, 'QUICK5', 5, DATE '1999-01-01', DATE '2001-12-31'))
      AS t(promo_id, promo_code, discount_pct, start_date, end_date)""",
     "c_delivery_partners": """
 SELECT s_suppkey AS partner_id, 'Partner ' || s_name AS partner_name, CAST(s_nationkey AS BIGINT) AS city_id,
@@ -124,7 +124,7 @@ SELECT order_id AS payment_id, order_id,
 FROM c_orders""",
     "c_returns": """
 SELECT order_item_id AS return_id, order_item_id,
-       list_extract(['Damaged product', 'Wrong item delivered', 'Item expired', 'Quality issue', 'Changed mind'],
+       list_extract(['Broken on arrival', 'Not what was ordered', 'Past its date', 'Poor quality', 'No longer wanted'],
                     CAST(order_item_id % 5 + 1 AS BIGINT)) AS return_reason,
        CAST(order_datetime AS DATE) + CAST(1 + order_item_id % 5 AS INTEGER) AS return_date,
        line_total AS refund_amount

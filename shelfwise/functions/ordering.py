@@ -111,18 +111,18 @@ def _with_first_position(
     its blocks.
     """
     last = F.broadcast(ends.select(*key).distinct())
-    firsts = _join_null_safe(numbered.select(*key, "position"), last, key).groupBy(*key).agg(
+    firsts = join_null_safe(numbered.select(*key, "position"), last, key).groupBy(*key).agg(
         F.min("position").alias("_first")
     )
     here = F.min("position").over(Window.partitionBy(_BLOCK, *key))
     return (
-        _join_null_safe(df.withColumn("_here", here), F.broadcast(firsts), key, "left")
+        join_null_safe(df.withColumn("_here", here), F.broadcast(firsts), key, "left")
         .withColumn(name, F.coalesce("_first", "_here"))
         .drop("_first", "_here")
     )
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     renamed = right.withColumnsRenamed({key: f"_k_{key}" for key in keys})
     condition = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
     return left.join(renamed, condition, how).drop(*[f"_k_{key}" for key in keys])
@@ -165,7 +165,7 @@ def previous_value(df: DataFrame, key: str, block: Column, order: list[str], nam
     carried = last.select(key, _BLOCK, F.lag("_last").over(Window.partitionBy(key).orderBy(_BLOCK)).alias("_carry"))
     before = F.lag(order[0]).over(Window.partitionBy(key, _BLOCK).orderBy(*order))
     return (
-        _join_null_safe(rows.withColumn(name, before), carried, [key, _BLOCK], "left")
+        join_null_safe(rows.withColumn(name, before), carried, [key, _BLOCK], "left")
         .withColumn(name, F.coalesce(name, "_carry"))
         .drop(_BLOCK, "_carry")
     )

@@ -162,16 +162,22 @@ def cancellation_rate(t: Tables) -> DataFrame:
 def return_rate(t: Tables) -> DataFrame:
     """Returned items as a percentage of the items customers received.
 
-    Returns are counted per item before the join, so an item returned twice is still one item.
+    Lines are counted per order before they meet the orders.  Returns are counted per item, and only lines with a return
+    are looked up.  The two one-row results are stacked and folded.
     """
     received = t["orders"].filter(F.col("order_status").isin("Delivered", "Returned")).select("order_id")
-    items = t["order_items"].select("order_item_id", "order_id").join(received, "order_id")
-    returns = t["returns"].groupBy("order_item_id").agg(F.count("return_id").alias("returns"))
+    items = t["order_items"].select("order_item_id", "order_id")
+    counted = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).join(received, "order_id")
+    returns = t["returns"].groupBy("order_item_id").agg(F.count("return_id").alias("n"))
+    returned = returns.join(items, "order_item_id").join(received, "order_id")
+    none = F.lit(None).cast("bigint")
+    stacked = counted.agg(F.sum("n").alias("items"), F.max(none).alias("returns")).unionByName(
+        returned.agg(F.max(none).alias("items"), F.sum("n").alias("returns"))
+    )
     return (
-        items.join(returns, "order_item_id", "left")
-        .agg(
-            F.count(F.lit(1)).alias("delivered_items_count"),
-            F.coalesce(F.sum("returns"), F.lit(0)).cast("bigint").alias("returned_items_count"),
+        stacked.agg(
+            F.coalesce(F.max("items"), F.lit(0)).cast("bigint").alias("delivered_items_count"),
+            F.coalesce(F.max("returns"), F.lit(0)).cast("bigint").alias("returned_items_count"),
         )
         .withColumn("return_rate_pct", percent(F.col("returned_items_count"), F.col("delivered_items_count")))
     )

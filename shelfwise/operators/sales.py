@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import day_type, month_start, year_month
 from ..functions.exact import cents, count_where, mean_money, money, percent
-from ..functions.ordering import running_totals
+from ..functions.ordering import join_null_safe, running_totals
 from ..sources.tables import Tables
 from .common import delivered_orders, product_names, sales_by_product, store_names
 
@@ -53,7 +53,7 @@ def category_share(t: Tables) -> DataFrame:
     )
     share = percent(cents(F.col("up_to_last")), cents(F.col("cumulative_all")))
     return (
-        placed.join(ties, "revenue")
+        join_null_safe(placed, ties, ["revenue"])
         .select(
             "category_name", money(F.col("revenue")).alias("revenue"), "revenue_rank",
             share.alias("cumulative_pct_of_revenue"),

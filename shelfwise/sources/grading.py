@@ -28,18 +28,18 @@ PROMOTIONS = """
     SELECT CAST(promo_id AS BIGINT) AS promo_id, promo_code, description,
            CAST(discount_pct AS DECIMAL(5, 2)) AS discount_pct, start_date, end_date
     FROM VALUES
-      (1, 'WELCOME10', '10% off first order',      10, DATE'1995-01-01', DATE'1996-12-31'),
-      (2, 'SAVE15',    'Flat 15% off',             15, DATE'1996-01-01', DATE'1997-12-31'),
-      (3, 'WEEKEND20', 'Weekend special 20% off',  20, DATE'1997-01-01', DATE'1998-12-31'),
-      (4, 'FEST25',    'Festival season discount', 25, DATE'1998-01-01', DATE'1999-12-31'),
-      (5, 'FLASH5',    'Flash sale 5% off',         5, DATE'1999-01-01', DATE'2001-12-31')
+      (1, 'NEWHERE', 'A tenth off at the start', 10, DATE'1995-01-01', DATE'1996-12-31'),
+      (2, 'BASKET15',    'Fifteen off the basket',   15, DATE'1996-01-01', DATE'1997-12-31'),
+      (3, 'SUNDAY', 'A fifth off on Sundays',   20, DATE'1997-01-01', DATE'1998-12-31'),
+      (4, 'HARVEST',    'A quarter off in autumn',  25, DATE'1998-01-01', DATE'1999-12-31'),
+      (5, 'QUICK5',    'Five off for an hour',      5, DATE'1999-01-01', DATE'2001-12-31')
       AS t(promo_id, promo_code, description, discount_pct, start_date, end_date)
 """
 SHELF_LIVES = [3, 7, 15, 30, 90, 180, 365]
 VEHICLES = ["Bike", "Bicycle", "Scooter"]
 PROMISED_MINUTES = [10, 15, 20, 30]
 PAYMENT_METHODS = ["UPI", "Card", "Wallet", "COD", "NetBanking"]
-RETURN_REASONS = ["Damaged product", "Wrong item delivered", "Item expired", "Quality issue", "Changed mind"]
+RETURN_REASONS = ["Broken on arrival", "Not what was ordered", "Past its date", "Poor quality", "No longer wanted"]
 
 
 def _pick(values: list, index: Column) -> Column:
@@ -177,14 +177,14 @@ def _order_lines(t: Tables) -> DataFrame:
     price = cents(F.col("l_extendedprice").cast(MONEY)).cast("bigint")
     quantity = F.col("l_quantity").cast("bigint")
     unit = _whole_div(price, quantity)
-    # The id leaves room for 999 lines, which also bounds the rows of one order in the window.
+    # The id leaves room for 999,999 lines, which also bounds the rows of one order in the window.
     line = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"
     )
     total = F.when(F.col("l_linenumber") == 1, price).otherwise(quantity * unit)
     return _typed(
         t["lineitem"].select(
-            (F.col("l_orderkey") * 1000 + F.row_number().over(line)).alias("order_item_id"),
+            (F.col("l_orderkey") * 1_000_000 + F.row_number().over(line)).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
             quantity.alias("quantity"), (unit.cast("decimal(20,0)") / 100).alias("unit_price"),
             (total.cast("decimal(20,0)") / 100).alias("line_total"), "l_returnflag",
