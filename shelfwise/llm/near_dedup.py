@@ -1,8 +1,10 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
 The shingles of a text are its runs of five words (letters and digits, ASCII letters folded; a shorter text with words is
-one shingle).  A shingle weighs its count in the text times ``1 + ln(N / df) / ln(N)``, between 1 and 2 for a count of one:
-what stands in many of the N documents says less about being a copy.  Document frequencies come from a sketch of fixed
+one shingle).  A shingle weighs its count in the text times ``1 + IDF_SHARE ln(N / df) / ln(N)``: what stands in many of the
+N documents says less about being a copy.  The share is small because in a group of thousands of copies the shared text is
+frequent and the edits are rare; with it, a text that differs from another by the same edits is like it in a group of any
+size.  Document frequencies come from a sketch of fixed
 size, two rows of hashed counters over all shingles of all documents; an entry's expected load from other shingles is taken
 off, and the lesser of the two rows counts.
 
@@ -32,6 +34,7 @@ from shelfwise.llm.words import bytes_buffers, scan_words, shingles, text_buffer
 
 SHINGLE = 5
 LEAST = 0.8
+IDF_SHARE = 0.25
 SAMPLES = 64
 ROWS = 4
 #: The document-frequency sketch: rows by counters, 8 bytes each on the driver (8 MB in all).
@@ -105,7 +108,8 @@ class Weights:
 
     def idf(self, hashes: np.ndarray) -> np.ndarray:
         frequency = np.minimum.reduce([row[at] for row, at in zip(self.frequency, _rows_of(hashes))])
-        return 1.0 + np.log(self.documents / np.minimum(frequency, self.documents)) / math.log(self.documents)
+        rarity = np.log(self.documents / np.minimum(frequency, self.documents)) / math.log(self.documents)
+        return 1.0 + IDF_SHARE * rarity
 
 
 def weights(docs: DataFrame) -> Weights:

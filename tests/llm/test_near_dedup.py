@@ -28,7 +28,7 @@ def plain_classes(rows, least=0.8):
     """Least id of each id's class: equal texts, and weighted Jaccard similarity of all pairs with exact frequencies."""
     sets = [shingled(t) for _, t in rows]
     frequency = collections.Counter(s for own in sets for s in own)
-    idf = {s: 1 + math.log(len(rows) / n) / math.log(max(len(rows), 2)) for s, n in frequency.items()}
+    idf = {s: 1 + near_dedup.IDF_SHARE * math.log(len(rows) / n) / math.log(max(len(rows), 2)) for s, n in frequency.items()}
     root = {i: i for i, _ in rows if i is not None}
 
     def find(x):
