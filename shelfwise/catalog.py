@@ -1,4 +1,4 @@
-"""Every question by name: ``CATALOG["kpi_fill_rate"](tables)`` gives a lazy DataFrame."""
+"""Every question by name: ``CATALOG["kpi_fill_rate"](tables)`` gives a DataFrame (ranks store blocks while it is built)."""
 
 from __future__ import annotations
 
