@@ -168,6 +168,12 @@ def _jaccard(least: float):
     return lambda sides: in_arrow(sides, run, "a bigint, b bigint")
 
 
+def _features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    hashes, _, _, starts = scan_words(*text_buffers(column), folded=True)
+    sets = [np.unique(own) for own in shingles(hashes, starts, SHINGLE)]
+    return [(own, np.ones(len(own))) for own in sets]
+
+
 def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Of every known id that shares a class with another id: the least id of the class, as (``id``, ``class_id``).
 
@@ -176,4 +182,4 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """
     known = linking.known_texts(docs)
     signed = in_arrow(known, _signed, "id bigint, digest string, bands array<bigint>, samples binary")
-    return linking.classes_with_copies(known, signed, _jaccard(least))
+    return linking.classes_with_copies(known, signed, _jaccard(least), _features, least)

@@ -1,17 +1,19 @@
 """From banded samples to classes of near-duplicates: candidates, verification in rounds, connected components.
 
-Everything here works on ids, samples and the texts of candidates; nothing reaches the driver but row counts.  Inside a
-bucket of equal band keys no pairs are listed all with all.  In each round a row of a bucket meets a bounded number of
-others, and pairs that are already in one class meet no more:
-
-1. every member with the least of the pivots of its buckets (a bucket's pivot is its least id);
-2. in buckets that still hold several classes, every member with the bucket's own pivot;
-3. there, every member with its ``NEIGHBOURS`` before it in the order of an LSH forest: the buckets' members sorted by
-   their following bands, so that those with the longest common run of bands, the nearest ones, stand side by side.  This
-   is repeated while it joins classes.
-
-A pair's samples are compared first: its texts are only compared when ``AGREE`` of the samples agree, which a pair at the
-threshold of 0.8 does with a probability of 0.98 for 64 samples, and a nearer one practically always.
+Everything here works on ids, samples and the texts of candidates; nothing reaches the driver but row counts.  Pairs that
+are already in one class meet no more:
+
+1. every member of a bucket of equal band keys meets the least of the pivots of its buckets (a bucket's pivot is its least
+   id);
+2. in buckets that still hold several classes, every member meets the bucket's own pivot;
+3. in buckets that then still hold several classes, every member meets every member of another class.
+
+Steps 1 and 2 only join large classes cheaply.  They compare a pair's samples first and its texts only when ``AGREE`` of the
+samples agree, which a pair at the threshold of 0.8 does with a probability of 0.98 for 64 samples; pairs that are left here
+meet in step 3.  Step 3 compares texts without looking at samples and leaves no pair out.  It deals the members of a bucket
+to cells of bounded size, a class that fills more than one cell to cells of its own, and compares cells two by two, all
+pairs of two cells in one matrix product; so no pairs are listed as rows, only the links that join classes.  The cost is that
+a text is sent once to every other cell of its buckets.
 """
 
 from __future__ import annotations
@@ -23,14 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import in_arrow, stored, table, texts
+from shelfwise.llm.frames import in_arrow, ship, stored, table, texts
 
-NEIGHBOURS = 16
 AGREE = 0.7
-ROWS_PER_TASK = 200_000
+#: A cell of step 3 has about so many texts and bytes at most, one text at least.
+CELL_TEXTS = 256
+CELL_BYTES = 8 << 20
+#: Elements of texts that are held against each other at a time.
+COLUMNS = 4096
 
 #: Takes (a, b, text_a, text_b) and gives the (a, b) whose texts are near.
 Verify = Callable[[DataFrame], DataFrame]
+#: Gives of each text its distinct elements in order (uint64) and their weights, which depend on the element alone.  Texts
+#: are near if the weight of the common elements is at least ``least`` of the weight of all elements of the two.
+Features = Callable[[pa.Array], list[tuple[np.ndarray, np.ndarray]]]
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -75,28 +83,74 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table(_PAIRS, batch.column("a").filter(near), batch.column("b").filter(near))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in the forest's order; each meets the rows before it in its bucket."""
-    held = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows = (*(batch.column(c).to_numpy() for c in ("band", "id", "root")), _samples(batch.column("samples")))
-        fresh = 0
-        if held is not None:
-            fresh = len(held[0])
-            rows = tuple(np.concatenate(pair) for pair in zip(held, rows))
-        band, ids, root, samples = rows
+def _shared_weight(rows: list, columns: list) -> np.ndarray:
+    """Weight of the elements that a text of ``rows`` and one of ``columns`` have in common, for all pairs."""
+    sides = []
+    for side in (rows, columns):
+        owner = np.repeat(np.arange(len(side)), [len(e) for e, _ in side])
+        sides.append((owner, np.concatenate([e for e, _ in side]), np.concatenate([w for _, w in side])))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    placed = []
+    for owner, elements, weight in sides:
+        known = np.flatnonzero(np.isin(elements, common))
+        at = np.searchsorted(common, elements[known])
+        order = np.argsort(at, kind="stable")
+        placed.append((owner[known][order], at[order], weight[known][order]))
+    total = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for low in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - low)
+        matrices = []
+        for side, (owner, at, weight) in zip((rows, columns), placed):
+            first, last = np.searchsorted(at, [low, low + width])
+            matrix = np.zeros((len(side), width), dtype=np.float32)
+            matrix[owner[first:last], at[first:last] - low] = weight[first:last] if side is rows else 1
+            matrices.append(matrix)
+            if columns is rows:
+                matrices.append((matrix > 0).astype(np.float32))
+                break
+        total += matrices[0] @ matrices[1].T
+    return total
+
+
+def _is_near(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], least: float) -> bool:
+    both = left[1][np.isin(left[0], right[0], assume_unique=True)].sum()
+    return bool(both >= least * (left[1].sum() + right[1].sum() - both) > 0)
+
+
+def _between_cells(features: Features, least: float):
+    """Links that join the classes of the members of two cells, or of one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        batch = rows.combine_chunks().to_batches()[0]
+        ids, root, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "right"))
+        texts_of = features(batch.column("text"))
+        low, high = np.flatnonzero(~right), np.flatnonzero(right)
+        one = not len(high)
+        side = [texts_of[i] for i in low]
+        both = _shared_weight(side, side if one else [texts_of[i] for i in high])
+        high = low if one else high
+        weight = np.array([w.sum() for _, w in texts_of])
+        # The product is of single precision; what comes near the threshold is computed again below.
+        every = weight[low][:, None] + weight[high][None, :] - both
+        likely = (both > 0) & (both >= (least - 1e-3) * every) & (root[low][:, None] != root[high][None, :])
+        parent = {int(r): int(r) for r in root}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         found = []
-        for back in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-            at = np.arange(max(back, fresh), len(ids))
-            at = at[(band[at] == band[at - back]) & (root[at] != root[at - back])]
-            at = at[_agreeing(samples[at], samples[at - back])] if len(at) else at
-            found.append(np.stack([np.maximum(ids[at], ids[at - back]), np.minimum(ids[at], ids[at - back])]))
-        if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield table(_PAIRS, pairs[0], pairs[1])
-        held = tuple(column[-NEIGHBOURS:] for column in rows)
+        for i, j in zip(*np.nonzero(np.triu(likely) if one else likely)):
+            i, j = low[i], high[j]
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y and _is_near(texts_of[i], texts_of[j], least):
+                parent[max(x, y)] = min(x, y)
+                found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=_PAIRS)
+
+    return run
 
 
 def known_texts(docs: DataFrame) -> DataFrame:
@@ -105,7 +159,7 @@ def known_texts(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"), "text")
 
 
-def classes_with_copies(known: DataFrame, signed: DataFrame, verify: Verify) -> DataFrame:
+def classes_with_copies(known: DataFrame, signed: DataFrame, verify: Verify, features: Features, least: float) -> DataFrame:
     """Of every id that shares a class with another id the least id of the class, as (``id``, ``class_id``).
 
     ``signed`` are (``id``, ``digest``, ``bands``, ``samples``) of the ``known`` texts.  One document of each text goes on
@@ -116,18 +170,21 @@ def classes_with_copies(known: DataFrame, signed: DataFrame, verify: Verify) ->
     copied = stored(signed.select("id", "digest").join(once.select("digest", "copy_of"), "digest")
                     .where("id <> copy_of").select("id", "copy_of").distinct())
     distinct = signed.join(copied, "id", "left_anti").select("id", "bands", "samples")
-    near = classes(distinct, known.select("id", "text"), verify).withColumnRenamed("root", "class_id")
+    near = classes(distinct, known.select("id", "text"), verify, features, least).withColumnRenamed("root", "class_id")
     through = copied.join(near.select(F.col("id").alias("copy_of"), "class_id"), "copy_of", "left").select(
         "id", F.coalesce("class_id", "copy_of").alias("class_id")
     )
     return near.unionAll(through)
 
 
-def classes(signed: DataFrame, bodies: DataFrame, verify: Verify) -> DataFrame:
+def classes(
+    signed: DataFrame, bodies: DataFrame, verify: Verify, features: Features | None = None, least: float = 0.0
+) -> DataFrame:
     """Classes of near texts as (``id``, ``root``), for those ids that are near a smaller one.
 
     ``signed`` are (``id``, ``bands``, ``samples``): texts with an equal band may be near, and ``samples`` holds a byte of
-    each sample.  ``bodies`` are (``id``, ``text``).
+    each sample.  ``bodies`` are (``id``, ``text``).  ``features`` and ``least`` say the same as ``verify`` for step 3; without
+    them its pairs are listed.
     """
     members = signed.select("id", F.explode("bands").alias("band")).distinct()
     crowded = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
@@ -137,7 +194,9 @@ def classes(signed: DataFrame, bodies: DataFrame, verify: Verify) -> DataFrame:
     # Samples and texts of candidates only; the texts are shuffled once and then read from the shared folder.  The hint
     # keeps the plan, and with it the disk a document takes, the same whether the ids could be broadcast or not.
     signed = stored(signed.join(involved, "id", "left_semi"))
-    bodies = stored(bodies.join(involved.hint("merge"), "id", "left_semi"))
+    bodies = stored(
+        bodies.join(involved.hint("merge"), "id", "left_semi").select("id", "text", F.octet_length("text").alias("size"))
+    )
     links = _near(_agree(first, signed), bodies, verify)
     roots = components(links)
 
@@ -145,27 +204,50 @@ def classes(signed: DataFrame, bodies: DataFrame, verify: Verify) -> DataFrame:
     pivots = roots.select(F.col("id").alias("pivot"), F.col("root").alias("home"))
     apart = placed.join(pivots, "pivot", "left").where(F.col("root") != F.coalesce("home", "pivot"))
     found = _near(_agree(apart.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), signed), bodies, verify)
-    while not found.isEmpty():
-        links = links.unionAll(found)
-        roots = components(links)
-        found = _near(_forest(_with_roots(members.select("id", "band"), roots), signed), bodies, verify)
-    return roots
+    links = links.unionAll(found)
+    placed = _several(_with_roots(members.select("id", "band"), components(links)))
+    if features is None:
+        found = _near(_across(placed), bodies, verify)
+    else:
+        found = _in_cells(placed, bodies, features, least)
+    return components(links.unionAll(found))
 
 
-def _forest(placed: DataFrame, signed: DataFrame) -> DataFrame:
-    """Likely pairs across classes, of neighbours in the buckets that hold several classes."""
+def _several(placed: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several classes."""
     several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rows = placed.join(several.select("band"), "band").join(signed, "id")
-    place = F.array_position("bands", F.col("band"))
-    count = F.size("bands")
-    following = [F.element_at("bands", ((place - 1 + k) % count + 1).cast("int")) for k in (1, 2, 3)]
-    order = ["band", *(f"next{k}" for k in (1, 2, 3)), "id"]
-    rows = rows.select("id", "root", "band", "samples", *(c.alias(f"next{k}") for k, c in zip((1, 2, 3), following)))
-    rows = stored(rows)
-    # Rows at the two sides of a partition's border do not meet there; one border in so many rows is made up for by the
-    # other bands of the same texts.
-    rows = rows.repartitionByRange(rows.count() // ROWS_PER_TASK + 1, *order).sortWithinPartitions(*order).select("band", "id", "root", "samples")
-    return in_arrow(rows, _neighbours, "a bigint, b bigint").distinct()
+    return stored(placed.join(several.select("band"), "band"))
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """All pairs of a bucket's members of different classes."""
+    other = placed.select("band", F.col("id").alias("b"), F.col("root").alias("other"))
+    return placed.join(other, "band").where("id > b AND root <> other").select(F.col("id").alias("a"), "b").distinct()
+
+
+def _in_cells(placed: DataFrame, bodies: DataFrame, features: Features, least: float) -> DataFrame:
+    """Links between all members of different classes in a bucket, enough of them to join the classes."""
+    rows = stored(placed.join(bodies.select("id", "size").hint("merge"), "id"))
+    cells = F.ceil(F.greatest(F.sum("n") / CELL_TEXTS, F.sum("bytes") / CELL_BYTES)).cast("bigint")
+    own = rows.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    # The home of a class that fills more than one cell is its root; the others share cells.
+    own = stored(own.withColumn("home", F.expr(f"IF(n > {CELL_TEXTS} OR bytes > {CELL_BYTES}, cast(root AS string), '')")))
+    counted = own.groupBy("band", "home").agg(F.greatest(cells, F.lit(1)).alias("cells"))
+    homes = own.select("band", "root", "home").join(counted, ["band", "home"])
+    cell = F.concat_ws("/", "home", F.pmod(F.xxhash64("id"), "cells").cast("string"))
+    rows = stored(rows.join(homes, ["band", "root"]).select("id", "root", "band", "home", cell.alias("cell")))
+    left = rows.select("band", F.col("cell").alias("a"), F.col("home").alias("home_a")).distinct()
+    right = rows.select("band", F.col("cell").alias("b"), F.col("home").alias("home_b")).distinct()
+    # Cells of one class need not meet, nor a cell of one class itself.
+    pairs = stored(left.join(right, "band").where("a <= b AND (home_a = '' OR home_a <> home_b)").select("band", "a", "b"))
+    tasks = pairs.select("band", F.col("a").alias("cell"), "a", "b", F.lit(False).alias("right")).unionAll(
+        pairs.where("a < b").select("band", F.col("b").alias("cell"), "a", "b", F.lit(True).alias("right"))
+    )
+    dealt = rows.join(tasks, ["band", "cell"]).select("id", "root", "band", "a", "b", "right")
+    sent = dealt.hint("merge").join(bodies.select("id", "text"), "id")
+    ship(placed.sparkSession)
+    found = sent.select("band", "a", "b", "id", "root", "right", "text").groupBy("band", "a", "b")
+    return stored(found.applyInArrow(_between_cells(features, least), "a bigint, b bigint"))
 
 
 def _agree(pairs: DataFrame, signed: DataFrame) -> DataFrame:

@@ -207,12 +207,27 @@ def _verify(weigh: Weights, least: float):
     return lambda sides: in_arrow(sides, run, "a bigint, b bigint")
 
 
+def _features(weigh: Weights) -> linking.Features:
+    """Shingles with their weights; one that a text has several times comes as often, told apart by its number."""
+
+    def run(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = []
+        for hashes, counts in _distinct(column):
+            number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            elements = np.repeat(hashes, counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            order = np.argsort(elements)
+            found.append((elements[order], np.repeat(weigh.idf(hashes).astype(np.float64), counts)[order]))
+        return found
+
+    return run
+
+
 def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Of every known id that shares a class with another id: the least id of the class, as (``id``, ``class_id``)."""
     weigh = weights(docs)
     known = linking.known_texts(docs)
     signed = in_arrow(known, _signatures(weigh), "id bigint, digest string, bands array<bigint>, samples binary")
-    return linking.classes_with_copies(known, signed, _verify(weigh, least))
+    return linking.classes_with_copies(known, signed, _verify(weigh, least), _features(weigh), least)
 
 
 def classified(docs: DataFrame, least: float = LEAST) -> DataFrame:

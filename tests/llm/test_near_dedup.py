@@ -172,3 +172,38 @@ def test_links_are_found_beyond_the_pivots(spark):
     verify = lambda sides: sides.join(links, (F.greatest("a", "b") == F.col("y")) & (F.least("a", "b") == F.col("x")), "left_semi")
     found = {r["id"]: r["root"] for r in linking.classes(signed, texts, verify).collect()}
     assert {i: found.get(i, i) for i in bands} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5, 7: 5, 8: 1}
+
+
+def test_every_member_of_a_bucket_meets_every_other_class(spark):
+    """Between two near texts stand 40 of one class, which are as near in the order of the bands."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(100)]
+    pivot = [f"p{i}" for i in range(100)]
+    crowd = [f"d{i}" for i in range(100)]
+    alike = [f"e{i}" for i in range(100)]
+    rows = [(0, pivot + common)] + [(i, crowd + common + [f"x{rng.random()}"]) for i in range(2, 42)]
+    rows += [(1, alike + common), (99, alike + common + ["more"])]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    bodies = spark.createDataFrame(rows, "id bigint, text string")
+    signed = bodies.select("id", F.array(F.lit(7).cast("bigint")).alias("bands"), F.lit(bytearray(64)).alias("samples"))
+    weigh = near_dedup.weights(frame(spark, rows))
+    expected = plain_classes(rows)
+    assert expected[99] == 1 and expected[41] == 2
+    verify = near_dedup._verify(weigh, 0.8)
+    for features in (near_dedup._features(weigh), None):
+        found = {r["id"]: r["root"] for r in linking.classes(signed, bodies, verify, features, 0.8).collect()}
+        assert {i: found.get(i, i) for i, _ in rows} == expected
+
+
+@pytest.mark.parametrize("texts, size", [(4, 8 << 20), (256, 3_000), (1, 1)])
+def test_small_cells_give_the_same_classes(spark, monkeypatch, texts, size):
+    monkeypatch.setattr(linking, "CELL_TEXTS", texts)
+    monkeypatch.setattr(linking, "CELL_BYTES", size)
+    monkeypatch.setattr(linking, "COLUMNS", 7)
+    rows = corpus(5)
+    bodies = spark.createDataFrame(rows, "id bigint, text string")
+    signed = bodies.select("id", F.array(F.lit(7).cast("bigint")).alias("bands"), F.lit(bytearray(64)).alias("samples"))
+    weigh = near_dedup.weights(frame(spark, rows))
+    none = lambda sides: sides.where("false")
+    found = {r["id"]: r["root"] for r in linking.classes(signed, bodies, none, near_dedup._features(weigh), 0.8).collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == plain_classes(rows)
