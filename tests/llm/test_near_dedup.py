@@ -207,3 +207,12 @@ def test_small_cells_give_the_same_classes(spark, monkeypatch, texts, size):
     none = lambda sides: sides.where("false")
     found = {r["id"]: r["root"] for r in linking.classes(signed, bodies, none, near_dedup._features(weigh), 0.8).collect()}
     assert {i: found.get(i, i) for i, _ in rows} == plain_classes(rows)
+
+
+def test_bucket_members_meet_when_no_member_is_like_its_pivot(spark):
+    """No pair is linked before the last step; it runs all the same."""
+    rows = [(1, "a"), (2, "b"), (3, "b")]
+    signed = spark.createDataFrame([(i, [7], bytearray(64)) for i, _ in rows], "id bigint, bands array<bigint>, samples binary")
+    bodies = spark.createDataFrame(rows, "id bigint, text string")
+    equal = lambda sides: sides.where("text_a = text_b")
+    assert [tuple(r) for r in linking.classes(signed, bodies, equal).collect()] == [(3, 2)]
