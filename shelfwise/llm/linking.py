@@ -168,9 +168,12 @@ def classes_with_copies(known: DataFrame, signed: DataFrame, verify: Verify, fea
     signed = stored(signed)
     once = signed.groupBy("digest").agg(F.min("id").alias("copy_of"), F.max("id").alias("last")).where("copy_of < last")
     copied = stored(signed.select("id", "digest").join(once.select("digest", "copy_of"), "digest")
-                    .where("id <> copy_of").select("id", "copy_of").distinct())
-    distinct = signed.join(copied, "id", "left_anti").select("id", "bands", "samples")
-    near = classes(distinct, known.select("id", "text"), verify, features, least).withColumnRenamed("root", "class_id")
+                    .where("id <> copy_of").select("id", "digest", "copy_of").distinct())
+    distinct = signed.join(copied, ["id", "digest"], "left_anti").select("id", "bands", "samples")
+    # An id with several texts joins the classes of all of them.
+    several = signed.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
+    tied = copied.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("copy_of").alias("b"))
+    near = classes(distinct, known.select("id", "text"), verify, features, least, tied).withColumnRenamed("root", "class_id")
     through = copied.join(near.select(F.col("id").alias("copy_of"), "class_id"), "copy_of", "left").select(
         "id", F.coalesce("class_id", "copy_of").alias("class_id")
     )
@@ -178,13 +181,14 @@ def classes_with_copies(known: DataFrame, signed: DataFrame, verify: Verify, fea
 
 
 def classes(
-    signed: DataFrame, bodies: DataFrame, verify: Verify, features: Features | None = None, least: float = 0.0
+    signed: DataFrame, bodies: DataFrame, verify: Verify, features: Features | None = None, least: float = 0.0,
+    tied: DataFrame | None = None,
 ) -> DataFrame:
     """Classes of near texts as (``id``, ``root``), for those ids that are near a smaller one.
 
     ``signed`` are (``id``, ``bands``, ``samples``): texts with an equal band may be near, and ``samples`` holds a byte of
     each sample.  ``bodies`` are (``id``, ``text``).  ``features`` and ``least`` say the same as ``verify`` for step 3; without
-    them its pairs are listed.
+    them its pairs are listed.  ``tied`` are links (``a``, ``b``) known before.
     """
     members = signed.select("id", F.explode("bands").alias("band")).distinct()
     crowded = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
@@ -198,6 +202,7 @@ def classes(
         bodies.join(involved.hint("merge"), "id", "left_semi").select("id", "text", F.octet_length("text").alias("size"))
     )
     links = _near(_agree(first, signed), bodies, verify)
+    links = links if tied is None else links.unionAll(tied)
     roots = components(links)
 
     placed = _with_roots(members, roots)

@@ -216,3 +216,11 @@ def test_bucket_members_meet_when_no_member_is_like_its_pivot(spark):
     bodies = spark.createDataFrame(rows, "id bigint, text string")
     equal = lambda sides: sides.where("text_a = text_b")
     assert [tuple(r) for r in linking.classes(signed, bodies, equal).collect()] == [(3, 2)]
+
+
+def test_an_id_with_several_texts_joins_the_classes_of_all(spark):
+    rng = random.Random(11)
+    first, second, third = (" ".join(f"w{rng.randint(0, 5_000)}" for _ in range(100)) for _ in range(3))
+    rows = [(1, first), (5, first), (5, second), (9, second + " end"), (20, third), (21, first + " and"), (21, third)]
+    found = {(r["doc_id"], r["class_id"]) for r in near_dedup.classified(frame(spark, rows)).collect()}
+    assert found == {(i, 1) for i, _ in rows}
