@@ -224,3 +224,10 @@ def test_an_id_with_several_texts_joins_the_classes_of_all(spark):
     rows = [(1, first), (5, first), (5, second), (9, second + " end"), (20, third), (21, first + " and"), (21, third)]
     found = {(r["doc_id"], r["class_id"]) for r in near_dedup.classified(frame(spark, rows)).collect()}
     assert found == {(i, 1) for i, _ in rows}
+
+
+def test_a_pair_of_unlike_samples_is_not_lost(spark):
+    signed = spark.createDataFrame([(1, [7], bytearray(64)), (2, [7], bytearray([1] * 64))], "id bigint, bands array<bigint>, samples binary")
+    bodies = spark.createDataFrame([(1, "a"), (2, "a")], "id bigint, text string")
+    equal = lambda sides: sides.where("text_a = text_b")
+    assert [tuple(r) for r in linking.classes(signed, bodies, equal).collect()] == [(2, 1)]
