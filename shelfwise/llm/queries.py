@@ -11,7 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import bpe, decontaminate, fingerprints, language, licenses, line_dedup, near_dedup, pii, substring_dedup, toxicity
+from shelfwise.llm import (
+    bpe, decontaminate, fill_in_middle, fingerprints, language, licenses, line_dedup, near_dedup, pii, substring_dedup,
+    toxicity,
+)
 from shelfwise.llm.frames import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +66,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.kept_words(documents(spark, folder))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transformed(fill_in_middle.framed(documents(spark, folder))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
