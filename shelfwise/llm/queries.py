@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
-    bpe, decontaminate, fill_in_middle, fingerprints, language, licenses, line_dedup, near_dedup, pii, substring_dedup,
-    toxicity,
+    bpe, collocations, decontaminate, fill_in_middle, fingerprints, language, licenses, line_dedup, near_dedup,
+    packing, pii, substring_dedup, toxicity,
 )
 from shelfwise.llm.frames import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PACKED_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +67,14 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.kept_words(documents(spark, folder))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digests(packing.packed(documents(spark, folder), public_tokenizers.path(PACKED_TOKENIZER)))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(fill_in_middle.framed(documents(spark, folder))))
 
@@ -81,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_packing": op11_packing,
+    "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -88,4 +99,5 @@ SQL: dict[str, str] = {
     "op5_license_scan": licenses.sql(),
     "op7_line_dedup": line_dedup.sql(),
     "op10_substring_dedup": substring_dedup.sql(),
+    "op12_collocations": collocations.sql(),
 }
