@@ -39,20 +39,21 @@ LEAST = 100
 TOP = 2_000
 UNKNOWN = "und"
 #: Bytes of text whose words are counted or merged together.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 #: Powers of two: bits of the bitmap of frequent pairs, at most 32 MB; beyond it more infrequent pairs pass and are counted.
 BITMAP = (16, 28)
 BITS_A_PAIR = 16
 #: Leading words are frequent that hold more than this part of a task's share of all words.
 HOT_SHARE = 1 / 8
+#: Parts of at most this many suffixes are sorted at once instead of three ways.
+SMALL = 1 << 14
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 10  # where pieces end
 _FACTORS = np.random.default_rng(5).integers(1, 2**64, LONGEST, dtype=U64) | U64(1)
 
-_COUNTS = pa.schema([("depth", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()),
-                     ("n", pa.int64())])
+_COUNTS = pa.schema([("depth", pa.int32()), ("key", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 _SYMBOLS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _SUFFIXES = pa.schema([*((name, pa.int64()) for name in _SYMBOLS), ("depth", pa.int32()), ("n", pa.int64())])
 _PHRASES = pa.schema([*((name, pa.int64()) for name in _SYMBOLS), ("n", pa.int64())])
@@ -116,7 +117,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def counted(docs: DataFrame, tasks: int) -> DataFrame:
-    """Counts by ``depth``: words (1) with their text, hashes of pairs (2), hashes of three and four leading words.
+    """Counts by ``depth``: words (1) with language and text, hashes of pairs (2), of three and of four leading words.
 
     The last two only where they hold a good part of a block, enough to find those that hold a good part of all.
     """
@@ -125,67 +126,72 @@ def counted(docs: DataFrame, tasks: int) -> DataFrame:
         for block in _blocks(batches, {}):
             if not len(block.symbols):
                 continue
-            found, at, n = np.unique(block.symbols, return_index=True, return_counts=True)
-            # Words that share a symbol within a block are told apart by their first bytes.
-            texts = [block.word(k) for k in at.tolist()]
-            langs = [block.langs[k] for k in block.text_of[at].tolist()]
-            odd = _strangers(block, found, at)
-            for symbol, lang, word, count in odd:
-                k = int(np.searchsorted(found, U64(symbol)))
-                n[k] -= count
-            yield table(_COUNTS, np.ones(len(n), np.int32), _signed(found), langs, [t.decode() for t in texts], n)
-            if odd:
-                symbols, langs, texts, n = zip(*odd)
-                yield table(_COUNTS, [1] * len(odd), _signed(np.array(symbols, dtype=U64)), langs, [t.decode() for t in texts], n)
+            symbols, langs, words, n = counted_words(block)
+            yield table(_COUNTS, np.ones(len(n), np.int32), symbols, [f"{lang}\0{word}" for lang, word in zip(langs, words)], n)
             places = np.flatnonzero(block.follows)
             least = max(2, int(len(block.symbols) * HOT_SHARE / tasks))
             for depth in range(2, LONGEST):
                 keys = block.leading(places, depth)
-                found, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+                found, n = np.unique(keys, return_counts=True)
+                hot = n >= least
                 if depth > 2:
-                    hot = n >= least
-                    yield table(_COUNTS, np.full(int(hot.sum()), depth, np.int32), _signed(found[hot]),
-                                pa.nulls(int(hot.sum()), pa.string()), pa.nulls(int(hot.sum()), pa.string()), n[hot])
-                else:
-                    yield table(_COUNTS, np.full(len(n), depth, np.int32), _signed(found), pa.nulls(len(n), pa.string()),
-                                pa.nulls(len(n), pa.string()), n)
-                places = places[(n >= least)[inverse]]
+                    found, n = found[hot], n[hot]
+                yield table(_COUNTS, np.full(len(n), depth, np.int32), _signed(found), pa.nulls(len(n), pa.string()), n)
+                places = places[np.isin(keys, found[n >= least])]
                 places = places[block.follows[places + depth - 1]]
                 if not len(places):
                     break
 
     counts = in_arrow(_source(docs), run, _ddl(_COUNTS))
-    return counts.groupBy("depth", "key", "lang", "word").agg(F.sum("n").alias("n"))
+    return counts.groupBy("depth", "key", "word").agg(F.sum("n").alias("n"))
+
+
+def counted_words(block: Block) -> tuple[list[int], list[str], list[str], list[int]]:
+    """Symbols, languages, words and counts of a block; words that share a symbol are told apart by comparing them."""
+    order = np.argsort(block.symbols)
+    symbols = block.symbols[order]
+    begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+    counts = np.diff(np.append(begin, len(order)))
+    several = np.unique(np.searchsorted(begin, unlike_neighbours(block, order, symbols), side="right") - 1)
+    alone = np.setdiff1d(np.arange(len(begin)), several, assume_unique=True)
+    firsts, raw = order[begin[alone]], block.data.tobytes()
+    langs = [block.langs[k] for k in block.text_of[firsts].tolist()]
+    words = [raw[low:high].decode() for low, high in zip(block.first[firsts].tolist(), block.end[firsts].tolist())]
+    found = (_signed(symbols[begin[alone]]).tolist(), langs, words, counts[alone].tolist())
+    for group in several.tolist():
+        told: dict[tuple[str, bytes], int] = {}
+        for k in order[begin[group] : begin[group] + counts[group]].tolist():
+            own = (block.langs[block.text_of[k]], block.word(k))
+            told[own] = told.get(own, 0) + 1
+        for (lang, word), n in told.items():
+            for column, value in zip(found, (int(_signed(symbols[begin[group :][:1]])[0]), lang, word.decode(), n)):
+                column.append(value)
+    return found
 
 
-def _strangers(block: Block, found: np.ndarray, at: np.ndarray) -> list[tuple[int, str, bytes, int]]:
-    """Other words of a block that share a symbol with the first word that has it, with their counts.
+def unlike_neighbours(block: Block, order: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Places in ``order`` whose word is not that of the place before, though the symbols are the same.
 
-    Lengths, languages and a second hash of the bytes tell them apart; a block almost never has any.
+    Lengths and languages are compared first, then the bytes, eight at a time.
     """
-    other = _second_hash(block)
-    place = np.searchsorted(found, block.symbols)
-    differs = np.flatnonzero(other != other[at][place])
-    counts: dict[tuple[int, str, bytes], int] = {}
-    for k in differs.tolist():
-        key = (int(block.symbols[k]), block.langs[block.text_of[k]], block.word(k))
-        counts[key] = counts.get(key, 0) + 1
-    return [(*key, n) for key, n in counts.items()]
-
-
-def _second_hash(block: Block) -> np.ndarray:
-    """Sums of the bytes' values and of place-weighted values, with length and language: unlike the symbols' hash."""
-    sums = np.concatenate([[0], np.cumsum(_VALUES[block.data], dtype=U64)]).astype(U64)
-    places = np.arange(len(block.data), dtype=U64)
-    weighted = np.concatenate([np.zeros(1, U64), np.cumsum(_VALUES[block.data] * places, dtype=U64)])
-    first, end = block.first, block.end
-    total = sums[end] - sums[first]
-    turned = weighted[end] - weighted[first] - total * first.astype(U64)
-    salt = block.salts[block.text_of]
-    return total * _FACTORS[0] + turned * _FACTORS[1] + salt * _FACTORS[2] + (end - first).astype(U64) * _FACTORS[3]
-
-
-_VALUES = np.random.default_rng(9).integers(1, 2**64, 256, dtype=U64)
+    here = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1
+    mine, other = order[here], order[here - 1]
+    length = (block.end - block.first).astype(np.int64)
+    in_order, lang_in_order = length[order], block.salts[block.text_of[order]]
+    unlike = (in_order[here] != in_order[here - 1]) | (lang_in_order[here] != lang_in_order[here - 1])
+    found, left = [here[unlike]], ~unlike
+    here, mine, other = here[left], mine[left], other[left]
+    eights = np.ndarray((len(block.data),), "<u8", np.append(block.data, np.zeros(8, np.uint8)), strides=(1,))
+    low_bytes = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+    at = 0
+    while len(here):
+        inside = low_bytes[np.minimum(length[mine] - at, 8)]
+        unlike = ((eights[block.first[mine] + at] ^ eights[block.first[other] + at]) & inside) != 0
+        found.append(here[unlike])
+        at += 8
+        left = ~unlike & (length[mine] > at)
+        here, mine, other = here[left], mine[left], other[left]
+    return np.concatenate(found)
 
 
 class Bitmap:
@@ -264,30 +270,42 @@ def frequent_prefixes(columns: list[np.ndarray], weights: np.ndarray, least: int
     All suffixes that share ``complete`` leading words are here, so from that depth on parts below ``least`` are abandoned;
     phrases of fewer words are given with whatever they count here.
     """
-    stack = [(np.arange(len(weights)), 0)]
+    # Parts hold their pointers, and the symbols at their depth and the weights in the same order.
+    stack = [(np.arange(len(weights)), columns[0], weights, 0)] if len(weights) else []
     while stack:
-        pointers, depth = stack.pop()
-        final = depth + 1 >= complete
-        if not len(pointers) or final and weights[pointers].sum() < least:
+        pointers, symbols, sizes, depth = stack.pop()
+        final, deeper_final = max(2, depth + 1) >= complete, max(2, depth + 2) >= complete  # phrases have two words at least
+        if final and sizes.sum() < least:
             continue
-        symbols = columns[depth][pointers]
-        middle = len(symbols) // 2
-        pivot = sorted((symbols[0], symbols[middle], symbols[-1]))[1]
-        equal = symbols == pivot
-        if not equal.all():
-            lower = symbols < pivot
-            stack.append((pointers[lower], depth))
-            stack.append((pointers[~(lower | equal)], depth))
-            pointers = pointers[equal]
-        if pivot == 0:
-            continue
-        count = int(weights[pointers].sum())
-        if final and count < least:
-            continue
-        if depth:
-            yield int(pointers[0]), depth + 1, count
-        if depth + 1 < len(columns):
-            stack.append((pointers, depth + 1))
+        if len(symbols) > SMALL:
+            pivot = sorted((symbols[0], symbols[len(symbols) // 2], symbols[-1]))[1]
+            equal = symbols == pivot
+            if not equal.all():
+                for part in (symbols < pivot, symbols > pivot):
+                    if part.any():
+                        stack.append((pointers[part], symbols[part], sizes[part], depth))
+            alike = [(pivot, pointers[equal], sizes[equal])]
+        else:
+            alike = _equal_parts(pointers, symbols, sizes, least if final else 0)
+        for symbol, pointers, sizes in alike:
+            count = int(sizes.sum())
+            if symbol == 0 or final and count < least:
+                continue
+            if depth:
+                yield int(pointers[0]), depth + 1, count
+            if depth + 1 < len(columns) and (count >= least or not deeper_final):
+                stack.append((pointers, columns[depth + 1][pointers], sizes, depth + 1))
+
+
+def _equal_parts(pointers: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, least: int) -> Iterator[tuple]:
+    """The parts of equal symbols that weigh ``least`` of a part that is small enough to be sorted at once."""
+    order = np.argsort(symbols)
+    symbols, pointers, sizes = symbols[order], pointers[order], sizes[order]
+    begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+    end = np.append(begin[1:], len(symbols))
+    enough = np.add.reduceat(sizes, begin) >= least
+    for low, high in zip(begin[enough].tolist(), end[enough].tolist()):
+        yield symbols[low], pointers[low:high], sizes[low:high]
 
 
 def phrases(suffixes: DataFrame, tasks: int, least: int) -> DataFrame:
@@ -318,7 +336,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     tasks = partitions(docs.sparkSession)
     counts = counted(docs, tasks)
     kept = stored(counts.where((F.col("depth") != 2) | (F.col("n") >= least)))
-    words, pairs = kept.where("depth = 1"), kept.where("depth = 2")
+    told = F.split("word", "\0", 2)
+    words = kept.where("depth = 1").select("key", told[0].alias("lang"), told[1].alias("word"), "n")
+    pairs = kept.where("depth = 2")
     twins = _twins(words)
     bitmap = bitmap_of(pairs, "key", pairs.count())
     total = words.agg(F.sum("n")).first()[0] or 0

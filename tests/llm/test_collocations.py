@@ -91,7 +91,7 @@ def test_hot_leading_words_are_divided(spark, monkeypatch):
     assert sum(found.column("n").to_pylist()) == 6
 
 
-def test_quicksort_counts_every_prefix():
+def test_quicksort_counts_every_prefix(monkeypatch):
     rng = np.random.default_rng(0)
     rows = rng.integers(1, 6, (4_000, 5)).astype(np.uint64)
     rows[rng.random(4_000) < 0.2, 3:] = 0
@@ -101,7 +101,8 @@ def test_quicksort_counts_every_prefix():
         for m in range(2, 6):
             if 0 not in row[:m]:
                 expected[tuple(row[:m])] += n
-    for least, complete in ((1, 2), (40, 2), (40, 4)):
+    for least, complete, small in ((1, 2, 16), (40, 2, 16), (40, 4, 1), (40, 4, 10_000), (40, 3, 200)):
+        monkeypatch.setattr(collocations, "SMALL", small)
         found = {tuple(rows[p, :m].tolist()): n for p, m, n in collocations.frequent_prefixes(list(rows.T), weights, least, complete)}
         assert found == {p: n for p, n in expected.items() if n >= least or len(p) < complete}
 
@@ -110,7 +111,7 @@ def test_words_that_share_a_symbol_stay_apart(spark, monkeypatch):
     """Symbols of a few bits: many words share one, and the counts are still those of the words."""
     monkeypatch.setattr(collocations, "mixed", lambda h: (h ^ (h >> np.uint64(33))) & np.uint64(0x3F))
     rng = random.Random(3)
-    rows = texts(rng, 40, [f"w{i}" for i in range(90)], 200)
+    rows = texts(rng, 40, [f"w{i}" for i in range(90)] + ["eightlet", "eightlets", "long" * 9 + "a", "long" * 9 + "b", "x" * 5_000], 200)
     import pyarrow as pa
 
     plain = collections.Counter()
@@ -120,19 +121,11 @@ def test_words_that_share_a_symbol_stay_apart(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"lang": [r[2] or "und" for r in rows if r[2] is not None],
                                         "text": [r[1] for r in rows if r[2] is not None]})
     block = collocations.Block(batch, {})
-    found, at, n = np.unique(block.symbols, return_index=True, return_counts=True)
     counted = collections.Counter()
-    odd = collocations._strangers(block, found, at)
-    for symbol, k, count in zip(found.tolist(), at.tolist(), n.tolist()):
-        counted[block.langs[block.text_of[k]], block.word(k).decode()] += count
-        for s, lang, word, extra in odd:
-            if s == symbol:
-                counted[block.langs[block.text_of[k]], block.word(k).decode()] -= extra
-                counted[lang, word.decode()] += extra
-    expected = collections.Counter()
-    for (lang, word), c in plain.items():
-        expected[lang if lang else "", word] += c
-    assert +counted == expected
+    for _, lang, word, n in zip(*collocations.counted_words(block)):
+        counted[lang, word] += n
+    assert counted == plain
+    found = np.unique(block.symbols)
     # Own symbols for words that share one.
     twins = {}
     for symbol in found.tolist():
