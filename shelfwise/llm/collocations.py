@@ -38,8 +38,8 @@ LONGEST = 5
 LEAST = 100
 TOP = 2_000
 UNKNOWN = "und"
-#: Bytes of text whose words are counted or merged together.
-BLOCK_BYTES = 1 << 23
+#: Bytes of text whose words and pairs are counted together, and whose suffixes are merged together.
+COUNTED_BYTES, MERGED_BYTES = 1 << 22, 1 << 21
 #: Powers of two: bits of the bitmap of frequent pairs, at most 32 MB; beyond it more infrequent pairs pass and are counted.
 BITMAP = (16, 28)
 BITS_A_PAIR = 16
@@ -101,9 +101,9 @@ class Block:
         return mixed(total)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], twins: dict) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, twins: dict) -> Iterator[Block]:
     for whole in batches:
-        for batch in chunks(whole, BLOCK_BYTES):
+        for batch in chunks(whole, most_bytes):
             yield Block(batch, twins)
 
 
@@ -123,7 +123,7 @@ def counted(docs: DataFrame, tasks: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, {}):
+        for block in _blocks(batches, COUNTED_BYTES, {}):
             if not len(block.symbols):
                 continue
             symbols, langs, words, n = counted_words(block)
@@ -347,7 +347,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     hot = {depth: keys[depths == depth].view(U64) for depth in range(2, LONGEST)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, twins):
+        for block in _blocks(batches, MERGED_BYTES, twins):
             yield merged_suffixes(block, bitmap, hot)
 
     suffixes = in_arrow(_source(docs), run, _ddl(_SUFFIXES))
