@@ -102,6 +102,12 @@ SELECT city_id, city_name, tier, CAST(sum(total_amount) AS DOUBLE) AS total_reve
        count(DISTINCT order_id) AS total_orders
 FROM c_orders JOIN c_dark_stores USING (store_id) JOIN c_cities USING (city_id)
 WHERE order_status = 'Delivered' GROUP BY city_id, city_name, tier""",
+        "kpi_orders_by_place": """
+SELECT CASE WHEN grouping(store_id) = 0 THEN 'store' WHEN grouping(city_id) = 0 THEN 'city'
+            WHEN grouping(tier) = 0 THEN 'tier' ELSE 'all' END AS level,
+       tier, city_id, store_id, count(DISTINCT order_id) AS total_orders
+FROM c_orders JOIN c_dark_stores USING (store_id) JOIN c_cities USING (city_id)
+WHERE order_status = 'Delivered' GROUP BY ROLLUP (tier, city_id, store_id)""",
         "kpi_cancellation_rate": f"""
 SELECT store_id, store_name, count(*) AS total_orders,
        count(*) FILTER (WHERE order_status = 'Cancelled') AS cancelled_orders,
@@ -338,11 +344,48 @@ SELECT store_id, store_name, product_id, product_name, closing_stock, reorder_le
         "mv_monthly_city_revenue": monthly,
         "job_refresh_dashboard": monthly,
         "job_refresh_months": monthly,
+        "job_refresh_changed": monthly.replace("c_orders", """(SELECT * FROM c_orders UNION ALL
+  SELECT * REPLACE (order_id + 1000000000 AS order_id) FROM c_orders WHERE strftime(order_datetime, '%Y-%m') = '1997-03')"""),
+        "job_flag_low_stock_retried": f"""
+SELECT store_id, product_id, closing_stock, reorder_level FROM ({_LATEST}) CROSS JOIN (VALUES (1), (2)) AS runs(run)
+WHERE closing_stock <= reorder_level""",
         "job_flag_low_stock": f"""
 SELECT store_id, product_id, closing_stock, reorder_level FROM ({_LATEST}) WHERE closing_stock <= reorder_level""",
     }
 
 
+def _in_contexts(keep: str, sets: str) -> str:
+    """The measures from facts stacked under each other, each with the columns it has."""
+    def fraction(part: str, whole: str) -> str:
+        return f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0)"
+
+    return f"""
+WITH o AS (SELECT *, CAST(date_trunc('month', order_datetime) AS DATE) AS m FROM c_orders),
+facts AS (
+  SELECT store_id, m, total_amount AS revenue, 1 AS orders, CAST(order_status = 'Cancelled' AS INT) AS cancelled,
+         NULL AS in_time, NULL AS deliveries, NULL AS sold, NULL AS available, NULL AS prior FROM o
+  UNION ALL
+  SELECT store_id, m, NULL, NULL, NULL, coalesce(CAST(actual_time_mins <= promised_time_mins AS INT), 0), 1, NULL, NULL, NULL
+  FROM c_deliveries AS d LEFT JOIN o ON o.order_id = d.order_id
+  UNION ALL
+  SELECT store_id, CAST(date_trunc('month', stock_date) AS DATE), NULL, NULL, NULL, NULL, NULL, units_sold,
+         opening_stock + units_received, NULL FROM c_inventory
+  UNION ALL
+  SELECT store_id, CAST(m + INTERVAL 1 MONTH AS DATE), NULL, NULL, NULL, NULL, NULL, NULL, NULL, total_amount
+  FROM o WHERE m + INTERVAL 1 MONTH <= (SELECT max(m) FROM o)
+)
+SELECT CASE WHEN grouping(tier) = 1 AND grouping(city_id) = 1 AND grouping(store_id) = 1 AND grouping(m) = 1 THEN 'all'
+            ELSE concat_ws(' ', CASE WHEN grouping(tier) = 0 THEN 'tier' END, CASE WHEN grouping(city_id) = 0 THEN 'city' END,
+                           CASE WHEN grouping(store_id) = 0 THEN 'store' END, CASE WHEN grouping(m) = 0 THEN 'month' END) END AS context,
+       tier, city_id, store_id, strftime(m, '%Y-%m') AS order_month, CAST(sum(revenue) AS DOUBLE) AS total_revenue,
+       {fraction("sum(in_time)", "sum(deliveries)")} AS sla, {fraction("sum(sold)", "sum(available)")} AS fill_rate,
+       {fraction("sum(cancelled)", "sum(orders)")} AS cancellation_rate,
+       {fraction("(coalesce(sum(revenue), 0) - sum(prior)) * 100", "sum(prior) * 100")} AS mom_growth
+FROM facts LEFT JOIN (SELECT store_id, city_id, tier FROM c_dark_stores JOIN c_cities USING (city_id)) USING (store_id)
+WHERE {keep} GROUP BY GROUPING SETS ({sets if "tier" in sets else sets + ", (tier, city_id, store_id, m)"})
+{"" if "tier" in sets else "HAVING grouping(store_id) = 1"}"""
+
+
 def _dashboards() -> dict[str, str]:
     fraction = "CAST({} AS DOUBLE) / nullif(CAST({} AS DOUBLE), 0)"
     sla = fraction.format("count(*) FILTER (WHERE actual_time_mins <= promised_time_mins)", "count(*)")
@@ -360,6 +403,8 @@ WITH months AS (SELECT CAST(date_trunc('month', order_datetime) AS DATE) AS d, s
 SELECT strftime(m.d, '%Y-%m') AS order_month, CAST(m.r AS DOUBLE) AS total_revenue,
        CAST(p.r AS DOUBLE) AS prior_month_revenue, {growth} AS mom_growth
 FROM months AS m LEFT JOIN months AS p ON p.d = CAST(m.d - INTERVAL 1 MONTH AS DATE)""",
+        "measures_by_context": _in_contexts("TRUE", "(), (tier), (city_id), (store_id), (m), (city_id, m)"),
+        "measures_of_a_year": _in_contexts("extract(year FROM m) = 1997", "(), (m)"),
         "dash_exec_kpis": f"""
 SELECT CAST(sum(total_amount) AS DOUBLE) AS total_revenue, count(*) AS total_orders,
        {_mean_money("total_amount", "count(*)")} AS avg_order_value,
@@ -553,10 +598,73 @@ def _audits() -> dict[str, str]:
         "payments": "order_id payment_method payment_status paid_amount",
         "returns": "order_item_id return_date refund_amount",
     }
+    lengths = [
+        (name, c, f"length({c}) > {n}") for name, bounds in {
+            "cities": "city_name 100 state 100 tier 10", "dark_stores": "store_name 150", "categories": "category_name 100",
+            "products": "product_name 200 brand 100", "customers": "full_name 150 email 150 phone 20",
+            "promotions": "promo_code 30 description 200", "delivery_partners": "partner_name 150 vehicle_type 30",
+            "orders": "order_status 20", "deliveries": "delivery_status 20", "payments": "payment_method 20 payment_status 20",
+            "returns": "return_reason 200",
+        }.items() for c, n in zip(bounds.split()[::2], bounds.split()[1::2])
+    ]
     nulls = [(name, c, f"{c} IS NULL") for name, columns in required.items() for c in columns.split()]
     dirty = {"orders": "c_dirty_orders", "customers": "c_dirty_customers", "inventory": "c_dirty_inventory"}
     refs = {"orders": "c_dirty_refs"}
+
+    unique_keys = [("customers", "email"), ("promotions", "promo_code"), ("inventory", "store_id, product_id, stock_date"),
+                   ("deliveries", "order_id"), ("payments", "order_id")]
+
+    def offenders(swapped: dict[str, str], names: list[str]) -> list[tuple[str, str, str, str]]:
+        """Table, rule, source and condition of every constraint of some tables."""
+        source = {name: swapped.get(name, f"c_{name}") for name in keys}
+        found = [
+            (name, f"primary key {key}", source[name],
+             f"{key} IS NULL OR {key} IN (SELECT {key} FROM {source[name]} GROUP BY {key} HAVING count(*) > 1)")
+            for name, key in keys.items()
+        ]
+        found += [
+            (name, f"unique {key}", source[name],
+             f"({key}) IN (SELECT ({key}) FROM {source[name]} "
+             f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in key.split(', '))} GROUP BY {key} HAVING count(*) > 1)")
+            for name, key in unique_keys
+        ]
+        found += [
+            (child, f"{column} in {parent}", source[child],
+             f"{column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {source[parent]} WHERE {key} IS NOT NULL)")
+            for child, column, parent, key in links
+        ]
+        for kind, rules in [("domain", domains), ("range", ranges), ("not null", nulls), ("length", lengths)]:
+            found += [(name, f"{label} {kind}", source[name], bad) for name, label, bad in rules]
+        return [one for one in found if one[0] in names]
+
+    def offending(swapped: dict[str, str], name: str, columns: str, rule: str = "") -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{label}' AS rule, {columns} FROM {source} WHERE {bad}"
+            for _, label, source, bad in offenders(swapped, [name]) if rule in ("", label)
+        )
+
+    def summary(swapped: dict[str, str]) -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, '{label}' AS rule, count(*) AS offending_rows FROM {source} WHERE {bad} HAVING count(*) > 0"
+            for name, label, source, bad in offenders(swapped, list(keys))
+        )
+
+    every_kind = {
+        "orders": "c_dirty_refs", "customers": "(SELECT * FROM c_customers WHERE customer_id % 10 <> 3)",
+        "inventory": "c_dirty_inventory", "deliveries": "c_dirty_deliveries", "order_items": "c_repeated_items",
+        "returns": "c_repeated_returns",
+    }
     return {
+        "audit_rows_orders_dirty": offending(
+            {"orders": "c_dirty_orders"}, "orders", "order_id, customer_id, order_datetime, order_status"),
+        "audit_rows_refs_dirty": offending(refs, "orders", "order_id, customer_id, store_id, promo_id, order_status"),
+        "audit_rows_inventory_dirty": offending(dirty, "inventory", "inventory_id, store_id, product_id, stock_date, closing_stock"),
+        "audit_rows_customers_dirty": offending(
+            {"customers": "c_repeated_customers"}, "customers", "customer_id, city_id, email, is_active"),
+        "audit_rows_quarantine": offending(
+            refs, "orders", "order_id, customer_id, order_status", "customer_id in customers"),
+        "audit_rows_summary": summary({}),
+        "audit_rows_summary_dirty": summary(every_kind),
         "audit_pk": primary("c_orders"),
         "audit_pk_dirty": primary("c_dirty_orders"),
         "audit_pk_alerts": _count(
@@ -572,6 +680,8 @@ def _audits() -> dict[str, str]:
         "audit_domain_dirty": listed(domains, refs, "domain"),
         "audit_range": listed(ranges, {}, "range"),
         "audit_range_dirty": listed(ranges, refs, "range"),
+        "audit_length": listed(lengths, {}, "length"),
+        "audit_length_dirty": listed(lengths, {"customers": "c_long_customers"}, "length"),
         "audit_not_null": listed(nulls, {}, "not null"),
         "audit_not_null_dirty": listed(nulls, dirty, "not null"),
         "audit_stock_balance": _count("stock balance", "inventory", "count(*)", """c_inventory
@@ -617,7 +727,8 @@ WHERE CAST(order_datetime AS DATE) NOT BETWEEN start_date AND end_date"""),
 
 def _dirty() -> dict[str, str]:
     """The same questions where orders are delivered more than once, or customers are missing."""
-    plain = {**_views(), **_dashboards(), **_delivery()}
+    plain = {**_views(), **_dashboards(), **_delivery(), **_inventory()}
+    shelves = ["inventory_wastage_rank", "inventory_demand_tiers"]
     again = ["dash_store_scorecard", "dash_store_matrix_by_city", "delivery_peak_hour"]
     once = {f"{name}_dirty": plain[name].replace("c_deliveries", "c_dirty_deliveries") for name in again}
     audits = _audits()
@@ -625,6 +736,8 @@ def _dirty() -> dict[str, str]:
               "audit_returns": "returns"}
     return {
         **once,
+        **{f"{name}_all_products": plain[name].replace("c_inventory", "c_all_products_stock") for name in shelves},
+        **{f"{name}_lasting": plain[name] for name in ["view_store_daily_performance", "view_product_inventory_health"]},
         **{f"{name}_dirty": audits[name].replace(f"c_{table}", f"c_broken_{table}") for name, table in broken.items()},
         "view_store_daily_performance_dirty": f"""
 WITH delays AS (SELECT store_id, CAST(order_datetime AS DATE) AS order_date, {_ratio(f"sum({_DELAY})", f"count({_DELAY})")} AS avg_delay_mins
@@ -640,12 +753,35 @@ JOIN c_dark_stores USING (store_id) JOIN c_cities USING (city_id) LEFT JOIN dela
     }
 
 
+def _repeated() -> dict[str, str]:
+    """Questions that count distinct ids, where ids repeat."""
+    plain = {**_kpi(), **_sales(), **_delivery(), **_customer(), **_views()}
+    orders = ["kpi_revenue_by_city", "kpi_orders_by_place", "sales_weekday_weekend", "sales_promo_effectiveness",
+              "delivery_peak_hour", "view_store_daily_performance", "mv_monthly_city_revenue"]
+    returns = plain["kpi_return_rate"]
+    for name in ["orders", "order_items", "returns"]:
+        returns = returns.replace(f"c_{name}", f"c_repeated_{name.removeprefix('order_')}")
+    return {
+        **{f"{name}_repeated_orders": plain[name].replace("c_orders", "c_repeated_orders") for name in orders},
+        "kpi_return_rate_repeated_items": returns,
+        "customer_city_engagement_repeated_customers": plain["customer_city_engagement"].replace(
+            "c_customers", "c_repeated_customers"
+        ),
+    }
+
+
 def _sources() -> dict[str, str]:
     return {
         "source_csv_deliveries": "SELECT * FROM c_deliveries",
         "source_csv_reordered": """
 SELECT * EXCLUDE (unit_price, unit_cost) REPLACE (CAST(shelf_life_days AS INTEGER) AS shelf_life_days), CAST(unit_price AS DOUBLE) AS unit_price,
        CAST(unit_cost AS DOUBLE) AS unit_cost FROM c_products""",
+        "source_csv_inferred": """
+SELECT order_id AS number, CAST(total_amount AS DOUBLE) AS amount, order_status AS word, order_id % 2 = 0 AS even,
+       CASE WHEN order_id = 1 THEN 0.5 ELSE CAST(order_id AS DOUBLE) END AS nearly_whole,
+       CASE WHEN order_id = 1 THEN 'none' ELSE CAST(order_id AS VARCHAR) END AS nearly_number,
+       CASE WHEN order_id % 3 <> 0 THEN order_id END AS some_missing, CAST(NULL AS VARCHAR) AS all_missing
+FROM c_orders""",
         "source_parquet_inventory": "SELECT * FROM c_inventory",
         "source_clean_folder": """
 SELECT order_id, customer_id, store_id, promo_id, order_datetime, order_status,
@@ -665,6 +801,6 @@ SELECT 'cities', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGIN
 def oracle_sql() -> dict[str, str]:
     bodies = {
         **_kpi(), **_sales(), **_delivery(), **_customer(), **_inventory(), **_views(), **_dashboards(), **_cleaning(),
-        **_audits(), **_dirty(), **_sources(),
+        **_audits(), **_dirty(), **_repeated(), **_sources(),
     }
     return {name: with_tables(body) for name, body in bodies.items()}

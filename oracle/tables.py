@@ -75,7 +75,7 @@ SELECT leaf_id, p_type || ' ' || p_brand, root_id FROM c_leaves""",
 SELECT p_partkey AS product_id, p_name AS product_name, leaf_id AS category_id, part.p_brand AS brand,
        CAST(p_retailprice AS {_MONEY}) AS unit_price,
        CAST(CAST(floor(p_retailprice * 70) AS DECIMAL(18, 0)) / 100 AS {_MONEY}) AS unit_cost,
-       CAST(list_extract([3, 7, 15, 30, 90, 180, 365], p_size % 7 + 1) AS BIGINT) AS shelf_life_days,
+       CAST(list_extract([2, 5, 12, 24, 60, 150, 400], p_size % 7 + 1) AS BIGINT) AS shelf_life_days,
        p_partkey % 33 <> 0 AS is_active
 FROM part JOIN c_leaves ON part.p_type = c_leaves.p_type AND part.p_brand = c_leaves.p_brand""",
     "c_customers": """
@@ -84,14 +84,14 @@ SELECT c_custkey AS customer_id, c_name AS full_name, lower(c_name) || '@example
        DATE '1993-01-01' + CAST(c_custkey % 730 AS INTEGER) AS signup_date, c_acctbal > 0 AS is_active
 FROM customer""",
     "c_promotions": """
-SELECT CAST(promo_id AS BIGINT) AS promo_id, promo_code, CAST(discount_pct AS DECIMAL(5, 2)) AS discount_pct,
+SELECT CAST(promo_id AS BIGINT) AS promo_id, promo_code, description, CAST(discount_pct AS DECIMAL(5, 2)) AS discount_pct,
        start_date, end_date
-FROM (VALUES (1, 'NEWHERE', 10, DATE '1995-01-01', DATE '1996-12-31'),
-             (2, 'BASKET15', 15, DATE '1996-01-01', DATE '1997-12-31'),
-             (3, 'SUNDAY', 20, DATE '1997-01-01', DATE '1998-12-31'),
-             (4, 'HARVEST', 25, DATE '1998-01-01', DATE '1999-12-31'),
-             (5, 'QUICK5', 5, DATE '1999-01-01', DATE '2001-12-31'))
-     AS t(promo_id, promo_code, discount_pct, start_date, end_date)""",
+FROM (VALUES (1, 'NEWHERE', 'A tenth off at the start', 10, DATE '1995-01-01', DATE '1996-12-31'),
+             (2, 'BASKET15', 'Fifteen off the basket', 15, DATE '1996-01-01', DATE '1997-12-31'),
+             (3, 'SUNDAY', 'A fifth off on Sundays', 20, DATE '1997-01-01', DATE '1998-12-31'),
+             (4, 'HARVEST', 'A quarter off in autumn', 25, DATE '1998-01-01', DATE '1999-12-31'),
+             (5, 'QUICK5', 'Five off for an hour', 5, DATE '1999-01-01', DATE '2001-12-31'))
+     AS t(promo_id, promo_code, description, discount_pct, start_date, end_date)""",
     "c_delivery_partners": """
 SELECT s_suppkey AS partner_id, 'Partner ' || s_name AS partner_name, CAST(s_nationkey AS BIGINT) AS city_id,
        CASE s_suppkey % 3 WHEN 0 THEN 'Bike' WHEN 1 THEN 'Bicycle' ELSE 'Scooter' END AS vehicle_type,
@@ -110,7 +110,7 @@ SELECT order_id AS delivery_id, order_id, partner_id, promised AS promised_time_
 FROM (SELECT *, CASE WHEN order_status <> 'Cancelled'
                      THEN greatest(4, promised + (order_id * 31) % 29 - 14) END AS actual
       FROM (SELECT *, (order_id * 13) % (SELECT count(*) FROM supplier) AS partner_id,
-                   CAST(list_extract([10, 15, 20, 30], CAST(order_id % 4 + 1 AS BIGINT)) AS BIGINT) AS promised,
+                   CAST(list_extract([9, 14, 22, 34], CAST(order_id % 4 + 1 AS BIGINT)) AS BIGINT) AS promised,
                    order_datetime + to_seconds(60 * (1 + order_id % 4)) AS dispatched_at
             FROM c_orders WHERE order_status <> 'Placed'))""",
     "c_payments": """
@@ -170,6 +170,27 @@ FROM c_payments""",
 SELECT * REPLACE (CASE WHEN order_item_id % 5 = 0 THEN refund_amount + 1 ELSE refund_amount END AS refund_amount,
                   CASE WHEN order_item_id % 7 = 0 THEN return_date + 9 ELSE return_date END AS return_date)
 FROM c_returns""",
+    "c_repeated_orders": """
+SELECT * FROM c_orders
+UNION ALL SELECT * FROM c_orders WHERE order_id % 2 = 0
+UNION ALL SELECT * REPLACE (CASE WHEN store_id > 0 THEN store_id - 1 ELSE store_id END AS store_id,
+                            order_datetime + INTERVAL 1 DAY AS order_datetime,
+                            CASE WHEN order_id % 4 = 0 THEN promo_id ELSE 2 END AS promo_id)
+FROM c_orders WHERE order_id % 3 = 0""",
+    "c_repeated_items": """
+SELECT * FROM c_order_items UNION ALL SELECT * FROM c_order_items WHERE order_item_id % 2 = 0""",
+    "c_repeated_returns": """
+SELECT * FROM c_returns UNION ALL SELECT * FROM c_returns WHERE return_id % 3 = 0
+UNION ALL SELECT * FROM c_returns WHERE return_id % 3 = 0""",
+    "c_repeated_customers": """
+SELECT * FROM c_customers
+UNION ALL SELECT * REPLACE ((city_id + 1) % 25 AS city_id, NOT is_active AS is_active) FROM c_customers WHERE customer_id % 2 = 0
+UNION ALL SELECT * FROM c_customers WHERE customer_id % 3 = 0""",
+    "c_long_customers": """
+SELECT * REPLACE (CASE WHEN customer_id % 13 = 0 THEN repeat(full_name, 40) ELSE full_name END AS full_name,
+                  CASE WHEN customer_id % 17 = 0 THEN repeat('9', 21) WHEN customer_id % 19 = 0 THEN repeat('9', 20) ELSE phone END AS phone)
+FROM c_customers""",
+    "c_all_products_stock": "SELECT * REPLACE (product_id + 20 * store_id AS product_id) FROM c_inventory",
     "c_dirty_refs": """
 SELECT * REPLACE (
   CASE WHEN order_id % 83 = 0 THEN customer_id + 1000000000 ELSE customer_id END AS customer_id,

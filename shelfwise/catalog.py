@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import audits, customer, dashboard, delivery, inventory, kpi, sales
+from .operators import audits, customer, dashboard, delivery, inventory, kpi, measures, sales
 from .plans import views
 from .sources.tables import Tables
 
@@ -22,6 +22,7 @@ CATALOG: dict[str, Question] = {
     "kpi_repeat_customer_rate": kpi.repeat_customer_rate,
     "kpi_revenue_by_store": kpi.revenue_by_store_city,
     "kpi_revenue_by_city": kpi.revenue_by_city,
+    "kpi_orders_by_place": kpi.orders_by_place,
     "kpi_cancellation_rate": kpi.cancellation_rate,
     "kpi_return_rate": kpi.return_rate,
     "sales_top_products": sales.top_products,
@@ -61,6 +62,8 @@ CATALOG: dict[str, Question] = {
     "measure_fill_rate": dashboard.fill_rate,
     "measure_cancellation_rate": dashboard.cancellation_rate,
     "measure_mom_growth": dashboard.mom_growth,
+    "measures_by_context": measures.dashboard_measures,
+    "measures_of_a_year": measures.measures_of_a_year,
     "dash_exec_kpis": dashboard.exec_kpis,
     "dash_revenue_by_category": dashboard.revenue_by_category,
     "dash_store_scorecard": dashboard.store_scorecard,
@@ -76,6 +79,7 @@ CATALOG: dict[str, Question] = {
     ),
     "audit_domain": audits.domains,
     "audit_range": audits.ranges,
+    "audit_length": audits.text_lengths,
     "audit_not_null": audits.not_null,
     "audit_stock_balance": lambda t: audits.count_rule(audits.stock_balance(t), "stock balance", "inventory"),
     "audit_stock_continuity": lambda t: audits.count_rule(

@@ -1,8 +1,8 @@
-"""Row numbers, ranks and running totals over a whole table, without a single-task window.
+"""Ranks over a whole table or within groups of any size, without a single-task window, and values of the row before.
 
 A window with no PARTITION BY moves every row into one task.  Here the rows are range partitioned and
-sorted instead, each block of the order is numbered on its own, and only one row per block (its size or
-its sums) is combined to find where the block starts.  The range-partitioned rows are checkpointed first:
+sorted instead, each block of the order is numbered on its own, and only one row per block (its size) is
+combined to find where the block starts.  The range-partitioned rows are checkpointed first:
 block numbers are then stored values which a lost executor cannot change.
 
 Every ``order`` must be a total order, so it ends with a unique id.  Equal leading values are thereby
@@ -33,12 +33,6 @@ def _blocks(df: DataFrame, order: list[Column]) -> DataFrame:
     return cut_lineage(ordered).withColumn(_BLOCK, F.shiftright(_ROW, _ROW_BITS))
 
 
-def number_rows(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Add the 1-based ``position`` in ``order`` and the table's row count ``rows``."""
-    blocks = _blocks(df, order)
-    return _numbered(blocks, _ends(blocks, [])).drop(_ROW, _BLOCK)
-
-
 def _ends(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Per block the number of rows before it, the number of all rows, and the ``keys`` of its last row.
 
@@ -62,24 +56,6 @@ def _numbered(blocks: DataFrame, ends: DataFrame) -> DataFrame:
     return blocks.join(starts, _BLOCK).withColumn("position", F.col("_start") + local + 1).drop("_start")
 
 
-def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
-    """Add for each ``totals`` entry ``name: column`` the sum up to and including the row as ``name`` and
-    the sum over the whole table as ``name_all``."""
-    blocks = _blocks(df, order)
-    before = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocks.groupBy(_BLOCK).agg(*[F.sum(column).alias(f"_{name}") for name, column in totals.items()])
-    starts = sums.select(
-        _BLOCK,
-        *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}_start") for name in totals],
-        *[F.sum(f"_{name}").over(Window.partitionBy()).alias(f"{name}_all") for name in totals],
-    )
-    inside = Window.partitionBy(_BLOCK).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = blocks.join(F.broadcast(starts), _BLOCK)
-    for name, column in totals.items():
-        out = out.withColumn(name, F.col(f"_{name}_start") + F.sum(column).over(inside))
-    return out.drop(_ROW, _BLOCK, *[f"_{name}_start" for name in totals])
-
-
 def rank_rows(
     df: DataFrame, by: str, tie_break: str, *, within: str | None = None, descending: bool = False,
     rank: str = "rank",

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import plus_seconds
 from ..functions.exact import cents, count_where
-from ..schemas import COLUMN_DEFAULTS, DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, RANGES, UNIQUE_KEYS
+from ..schemas import COLUMN_DEFAULTS, DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, RANGES, TEXT_LENGTHS, UNIQUE_KEYS
 from ..sources.files import BASE_TABLES
 from ..sources.tables import Tables
 from .common import left_lookup
 from .inventory import series
 
 
-def _checked(t: Tables, name: str, columns: list[str]) -> DataFrame:
+def checked_columns(t: Tables, name: str, columns: list[str]) -> DataFrame:
     """The table, if it can be checked: a rule that finds no table or no column must not pass for a clean one."""
     if name not in t:
         raise ValueError(f"not checked: there is no table {name}")
@@ -36,7 +36,7 @@ def _one_row(df: DataFrame, rule: str, name: str, violations: Column) -> DataFra
     )
 
 
-def _key_label(columns: list[str]) -> str:
+def key_label(columns: list[str]) -> str:
     return ", ".join(columns)
 
 
@@ -53,8 +53,8 @@ def primary_keys(t: Tables, names: list[str] = BASE_TABLES) -> DataFrame:
     """Rows without a key, and rows beyond the first of each key, in the named tables."""
     parts = [
         _one_row(
-            _repeated(_checked(t, name, PRIMARY_KEYS[name]), PRIMARY_KEYS[name]),
-            f"primary key {_key_label(PRIMARY_KEYS[name])}", name,
+            _repeated(checked_columns(t, name, PRIMARY_KEYS[name]), PRIMARY_KEYS[name]),
+            f"primary key {key_label(PRIMARY_KEYS[name])}", name,
             F.sum(F.when(_key_is_null(PRIMARY_KEYS[name]), F.col("n")).otherwise(F.col("n") - 1)),
         )
         for name in names
@@ -62,11 +62,17 @@ def primary_keys(t: Tables, names: list[str] = BASE_TABLES) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def with_checked_keys(t: Tables, names: list[str] = BASE_TABLES) -> Tables:
+    """The tables, with the primary keys that hold declared: distinct ids of those are counted without a shuffle by id."""
+    found = primary_keys(t, names).filter(F.col("violations") == 0).select("table_name").collect()  # a row per table
+    return t.with_unique(row["table_name"] for row in found)
+
+
 def unique_keys(t: Tables, names: list[str] = [*BASE_TABLES, "monthly_city_revenue"]) -> DataFrame:
     """Rows beyond the first of each key in the named tables; NULL keys may repeat."""
     parts = [
         _one_row(
-            _repeated(_checked(t, name, key), key), f"unique {_key_label(key)}", name,
+            _repeated(checked_columns(t, name, key), key), f"unique {key_label(key)}", name,
             F.sum(F.when(~_key_is_null(key), F.col("n") - 1)),
         )
         for name, key in UNIQUE_KEYS
@@ -84,7 +90,7 @@ def foreign_keys(t: Tables) -> DataFrame:
     links = list(enumerate(FOREIGN_KEYS))
 
     def keys(name: str, wanted: list[tuple[int, str]]) -> DataFrame:
-        df = _checked(t, name, [column for _, column in wanted])
+        df = checked_columns(t, name, [column for _, column in wanted])
         return df.select(F.inline(F.array(*[
             F.struct(F.lit(link).alias("link"), F.col(column).cast("bigint").alias("key")) for link, column in wanted
         ])))
@@ -139,6 +145,12 @@ def ranges(t: Tables) -> DataFrame:
     return _one_pass(t, [(name, f"{column} range", ~F.expr(holds)) for name, column, holds in RANGES])
 
 
+def text_lengths(t: Tables) -> DataFrame:
+    return _one_pass(
+        t, [(name, f"{column} length", F.length(column) > longest) for (name, column), longest in TEXT_LENGTHS.items()]
+    )
+
+
 def not_null(t: Tables) -> DataFrame:
     return _one_pass(
         t, [(name, f"{c} not null", F.col(c).isNull()) for name, columns in NOT_NULL.items() for c in columns]

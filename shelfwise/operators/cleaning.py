@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import moment_of
-from ..schemas import CLEAN_DATES, CLEAN_REQUIRED, CLEAN_TEXT, CLEAN_ZERO_WHEN_MISSING, SCHEMAS
+from ..schemas import CLEAN_DATES, CLEAN_REQUIRED, CLEAN_TEXT, CLEAN_ZERO_WHEN_MISSING, SCHEMAS, TEXT_LENGTHS
 from ..session import shared_folder
 from ..sources.files import csv_names, read_csv_text, typed_text, write_csv, write_table
+from ..sources.inference import as_type, infer_types, present
 from ..sources.tables import Tables
 
 # Any white space, not only the blank that trim() removes.
@@ -24,13 +25,6 @@ _OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 REJECTED = "_rejected"
 
-# Text that stands for a missing value in CSV files.
-MISSING_MARKERS = [
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
-    "NULL", "NaN", "None", "n/a", "nan", "null",
-]
-
-
 def _present(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
 
@@ -102,10 +96,19 @@ def report(t: Tables, names: list[str]) -> DataFrame:
 
 def typed_leniently(text: DataFrame, name: str) -> DataFrame:
     """Text columns as the types of the table's columns, dates still as text; values that do not fit are listed in
-    ``REJECTED`` and are NULL.  Markers of missing values are NULL everywhere.  Unknown columns and tables stay text."""
-    types = {f.name: f for f in SCHEMAS.get(name, T.StructType()) if f.name not in CLEAN_DATES.get(name, [])}
-    known = text.select(*[F.when(~F.col(c).isin(MISSING_MARKERS), F.col(c)).alias(c) for c in text.columns])
-    typed = {c: typed_text(types[c], strict=False) if c in types else F.col(c) for c in text.columns}
+    ``REJECTED`` and are NULL.  Markers of missing values are NULL everywhere.  Columns that no schema describes get the
+    least type that all of their values fit, which takes a pass over them before."""
+    dates = CLEAN_DATES.get(name, [])
+    types = {f.name: f for f in SCHEMAS.get(name, T.StructType()) if f.name not in dates}
+    inferred = infer_types(text, [c for c in text.columns if c not in types and c not in dates])
+    kinds = {f.name: f.dataType for f in inferred}
+    known = text.select(*[present(F.col(c)).alias(c) for c in text.columns])
+    known = clean_text(known, name)  # outer blanks do not make a text too long
+    typed = {
+        c: typed_text(types[c], strict=False, longest=TEXT_LENGTHS.get((name, c))) if c in types
+        else as_type(F.col(c), kinds.get(c, T.StringType()))
+        for c in text.columns
+    }
     unfit = [
         F.when(F.col(c).isNotNull() & typed[c].isNull(), F.concat(F.lit(f"{c}: "), F.col(c))) for c in text.columns if c in types
     ]

@@ -3,7 +3,8 @@
 Facts are aggregated by id before names are joined on: the join then sees one row per id, whatever the
 share of a single store, product or customer.  No join carries a broadcast hint on a table that grows with
 the data; Spark broadcasts a side when its size is below ``spark.sql.autoBroadcastJoinThreshold``, and
-shuffles otherwise.  Ids are primary keys, so rows are counted instead of ids: the id column is not even read.
+shuffles otherwise.  Distinct ids are counted exactly; where ``Tables.unique`` knows an id to be unique, its rows are
+counted instead and the id column is not even read.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distinct import memberships
 from ..functions.exact import count_where
 from ..sources.tables import Tables
 
@@ -58,6 +60,13 @@ def revenue_by_store(t: Tables) -> DataFrame:
     )
 
 
+def delivered_order_places(t: Tables, **groups: Column) -> DataFrame:
+    """Sets of stores, and of further ``groups``, that delivered orders stand in, with the number of orders of each set."""
+    return memberships(
+        delivered_orders(t), "order_id", {"store_id": F.col("store_id"), **groups}, unique="orders" in t.unique
+    )
+
+
 def delivery_counts_by_store(t: Tables) -> DataFrame:
     """Completed and on-time deliveries and the sum of delays per store."""
     return (

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import days_between, month_start, year_month
+from ..functions.distinct import count_by, members, memberships
 from ..functions.exact import count_where, mean_money, money, ratio
-from ..functions.ordering import number_rows, percent_rank, previous_value, rank_rows, tile
+from ..functions.ordering import percent_rank, previous_value, tile
+from ..functions.places import Places
 from ..sources.tables import Tables
 from .common import delivered_orders
 
@@ -38,24 +40,32 @@ def frequency_segments(t: Tables) -> DataFrame:
 def rfm(t: Tables) -> DataFrame:
     """Recency, frequency and monetary quartiles per customer, 1 being the best; ties go by customer id.
 
-    The three quartiles run over all customers, so each is read off a distributed row number.
+    The three quartiles run over all customers, so each is read off a position; the customers' keys are stored once for all
+    three, and names are joined on at the end.  Orders and customers meet in one aggregation, in which only customers with
+    both stay.
     """
-    customers = (
-        delivered_orders(t)
+    orders = delivered_orders(t).select("customer_id", "order_datetime", "total_amount", F.lit(1).alias("n"))
+    known = t["customers"].select("customer_id", F.lit(0).alias("n"), F.lit(True).alias("known"))
+    spenders = (
+        orders.unionByName(known, allowMissingColumns=True)
+        .filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
         .agg(
             F.max("order_datetime").alias("last_order_date"),
-            F.count(F.lit(1)).alias("frequency"),
+            F.sum("n").alias("frequency"),
             F.sum("total_amount").alias("spend"),
+            F.max("known").alias("known"),
         )
-        .join(t["customers"].select("customer_id", "full_name"), "customer_id")
+        .filter(F.col("known") & (F.col("frequency") > 0))
+        .drop("known")
     )
-    for name, value in [
-        ("recency_quartile", "last_order_date"), ("frequency_quartile", "frequency"), ("monetary_quartile", "spend"),
-    ]:
-        numbered = number_rows(customers, [F.desc_nulls_last(value), F.col("customer_id")])
-        customers = numbered.withColumn(name, tile(F.col("position"), F.col("rows"), 4)).drop("position", "rows")
-    return customers.orderBy(F.desc_nulls_last("spend"), "customer_id").select(
+    quartiles = {"recency_quartile": "last_order_date", "frequency_quartile": "frequency", "monetary_quartile": "spend"}
+    places = Places(spenders, "customer_id", list(quartiles.values()))
+    customers = places.table
+    for name, value in quartiles.items():
+        placed = places.ordered(value, descending=True)
+        customers = customers.join(placed.select("customer_id", tile(F.col("position"), F.col("rows"), 4).alias(name)), "customer_id")
+    return customers.join(t["customers"].select("customer_id", "full_name"), "customer_id").orderBy(F.desc_nulls_last("spend"), "customer_id").select(
         "customer_id", "full_name", "last_order_date", "frequency", money(F.col("spend")).alias("monetary"),
         "recency_quartile", "frequency_quartile", "monetary_quartile",
     )
@@ -74,9 +84,10 @@ def order_gaps(t: Tables, sort: bool = False) -> DataFrame:
 
 
 def city_engagement(t: Tables) -> DataFrame:
-    """Customers, active customers and delivered orders per customer, per city name.
+    """Distinct customers, active ones among them, and delivered orders per customer, per city name.
 
-    Orders are counted per customer first; customers without any still count.
+    Orders are counted per customer first; customers without any still count.  A customer id that is not unique counts once
+    per city name, and as active if any of its rows there is.
     """
     orders = delivered_orders(t).groupBy("customer_id").agg(F.count(F.lit(1)).alias("orders"))
     per_city = (
@@ -90,10 +101,20 @@ def city_engagement(t: Tables) -> DataFrame:
             F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
         )
     )
-    return (
-        per_city.join(t["cities"].select("city_id", "city_name"), "city_id")
-        .groupBy("city_name")
+    names = t["cities"].select("city_id", "city_name")
+    totals = (
+        per_city.join(names, "city_id").groupBy("city_name")
         .agg(*[F.sum(c).alias(c) for c in ["total_customers", "active_customers", "orders"]])
+    )
+    if "customers" not in t.unique:
+        sets = memberships(t["customers"], "customer_id", {"city_id": F.col("city_id"), "active": F.col("is_active")})
+        reached = members(sets).join(names, "city_id")
+        counted = count_by(reached, ["city_name"], "total_customers").join(
+            count_by(reached.filter("active"), ["city_name"], "active_customers"), "city_name", "left"
+        )
+        totals = totals.select("city_name", "orders").join(counted, "city_name", "left").na.fill(0)
+    return (
+        totals
         .select(
             "city_name", "total_customers", "active_customers",
             ratio(F.col("orders"), F.col("total_customers")).alias("avg_orders_per_customer"),
@@ -129,7 +150,7 @@ def new_vs_returning(t: Tables) -> DataFrame:
 def high_value(t: Tables) -> DataFrame:
     """The customers in the top 5% by spend."""
     spend = delivered_orders(t).groupBy("customer_id").agg(F.sum("total_amount").alias("spend"))
-    ranked = rank_rows(spend, by="spend", tie_break="customer_id")
+    ranked = Places(spend, "customer_id", ["spend"]).ordered("spend")
     # (rank - 1) / (rows - 1) >= 0.95, in whole numbers.
     top = ((F.col("rank") - 1) * 20 >= (F.col("rows") - 1) * 19) & (F.col("rows") > 1)
     return (

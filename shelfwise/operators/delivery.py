@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distinct import ids_and_sums
 from ..functions.exact import count_where, mean, percent
-from ..functions.ordering import rank_rows, tile_end
+from ..functions.ordering import tile_end
+from ..functions.places import Places
 from ..sources.tables import Tables
 from .common import (
     completed_deliveries, completed_with_store, delay, delivery_counts_by_store, on_time, store_names, stores_with_city,
@@ -48,14 +50,15 @@ def _trips_by_partner(t: Tables) -> DataFrame:
 
 def partner_scorecard(t: Tables, min_trips: int = 20) -> DataFrame:
     """Partners with enough trips, ranked by their unrounded on-time rate."""
+    names = t["delivery_partners"].select("partner_id", "partner_name")
     partners = (
         _trips_by_partner(t)
         .filter(F.col("total_trips") >= min_trips)
-        .join(t["delivery_partners"].select("partner_id", "partner_name"), "partner_id")
+        .join(names.select("partner_id"), "partner_id", "left_semi")
         .withColumn("on_time_rate", F.col("on_time_trips") * F.lit(100.0) / F.col("total_trips"))
     )
-    ranked = rank_rows(partners, by="on_time_rate", tie_break="partner_id", descending=True, rank="on_time_rank")
-    return ranked.select(
+    ranked = Places(partners, "partner_id", ["on_time_rate"]).ordered("on_time_rate", descending=True)
+    return ranked.withColumnRenamed("rank", "on_time_rank").join(names, "partner_id").select(
         "partner_id", "partner_name", "total_trips", "on_time_trips",
         percent(F.col("on_time_trips"), F.col("total_trips")).alias("on_time_pct"),
         mean(F.col("minutes"), F.col("timed_trips")).alias("avg_delivery_time"), "on_time_rank",
@@ -153,17 +156,20 @@ def bottleneck_stores(t: Tables) -> DataFrame:
 
 
 def peak_hour(t: Tables) -> DataFrame:
-    """Orders and average delay per hour of the day, over all orders; deliveries are summed per order first."""
+    """Distinct orders and average delay per hour of the day, over all orders; deliveries are summed per order first."""
     deliveries = t["deliveries"].groupBy("order_id").agg(F.sum(delay()).alias("total"), F.count(delay()).alias("n"))
-    return (
+    orders = (
         t["orders"]
         .select("order_id", F.hour("order_datetime").cast("bigint").alias("order_hour"))
         .join(deliveries, "order_id", "left")
-        .groupBy("order_hour")
-        .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total").alias("total"), F.sum("n").alias("n"))
-        .select("order_hour", "total_orders", mean(F.col("total"), F.col("n")).alias("avg_delay_mins"))
-        .orderBy("order_hour")
     )
+    hours = ids_and_sums(
+        orders, "order_id", {"order_hour": F.col("order_hour")}, {"total": F.col("total"), "n": F.col("n")},
+        unique="orders" in t.unique,
+    )
+    return hours.select(
+        "order_hour", F.col("ids").alias("total_orders"), mean(F.col("total"), F.col("n")).alias("avg_delay_mins")
+    ).orderBy("order_hour")
 
 
 def vehicle_performance(t: Tables) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import money, ratio
 from ..functions.ordering import percent_rank, rank_rows, tile
+from ..functions.places import Places
 from ..session import cut_lineage
 from ..sources.tables import Tables
 from .common import latest_stock, product_names, store_names
@@ -114,9 +115,10 @@ def running_received(t: Tables, sort: bool = False) -> DataFrame:
 
 def demand_tiers(t: Tables) -> DataFrame:
     """Products by units sold: percentile and quartile, 4 being the highest; ties go by product id."""
+    names = product_names(t)
     sold = t["inventory"].groupBy("product_id").agg(F.sum("units_sold").alias("total_sold"))
-    ranked = rank_rows(sold.join(product_names(t), "product_id"), by="total_sold", tie_break="product_id")
-    return ranked.select(
+    places = Places(sold.join(names.select("product_id"), "product_id", "left_semi"), "product_id", ["total_sold"])
+    return places.ordered("total_sold").join(names, "product_id").select(
         "product_id", "product_name", "total_sold", percent_rank(F.col("rank"), F.col("rows")).alias("sales_percentile"),
         tile(F.col("position"), F.col("rows"), 4).alias("demand_quartile"),
     ).orderBy(F.desc("total_sold"), "product_id")
@@ -126,14 +128,18 @@ def category_tree(t: Tables) -> DataFrame:
     """Every category with its depth and path from the root.
 
     One join per level until a level is empty; each category has one parent, so it appears once.  Unlike a
-    recursive query this has no limit on levels or rows.
+    recursive query this has no limit on levels or rows.  Categories whose ids repeat may form a ring that a root leads
+    into; there are more levels than categories then, and this raises.
     """
     categories = cut_lineage(t["categories"].select("category_id", "category_name", "parent_category_id"))
     level = categories.filter(F.col("parent_category_id").isNull()).select(
         "category_id", "category_name", F.lit(0).cast("bigint").alias("depth"), F.col("category_name").alias("category_path")
     )
     levels: list[DataFrame] = []
+    count = categories.count()
     while not level.isEmpty():
+        if len(levels) == count:
+            raise ValueError("categories form a ring")
         levels.append(level)
         parents = level.select(
             F.col("category_id").alias("parent_category_id"), F.col("depth").alias("parent_depth"),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distinct import count_by, count_by_levels, members
 from ..functions.exact import cents, count_where, mean, mean_money, money, percent, ratio
 from ..sources.tables import Tables
 from .common import (
-    delivered_orders, delivery_counts_by_store, revenue_by_store, stock_totals_by_store,
+    delivered_order_places, delivered_orders, delivery_counts_by_store, revenue_by_store, stock_totals_by_store,
     store_names, stores_with_city,
 )
 
@@ -132,17 +133,34 @@ def revenue_by_store_city(t: Tables) -> DataFrame:
 
 
 def revenue_by_city(t: Tables) -> DataFrame:
-    """Delivered revenue and orders per city.  Order ids are unique, so counting them needs no DISTINCT."""
-    return (
-        revenue_by_store(t)
-        .join(stores_with_city(t), "store_id")
-        .groupBy("city_id", "city_name", "tier")
+    """Delivered revenue and distinct orders per city.
+
+    Unique order ids are counted with the revenue; others are counted once per city, in whichever of its stores they are.
+    """
+    city, places = ["city_id", "city_name", "tier"], stores_with_city(t)
+    per_city = (
+        revenue_by_store(t).join(places, "store_id").groupBy(*city)
         .agg(F.sum("revenue").alias("revenue"), F.sum("orders").alias("total_orders"))
+    )
+    if "orders" not in t.unique:
+        orders = count_by(members(delivered_order_places(t)).join(places, "store_id"), ["city_id"], "total_orders")
+        per_city = per_city.drop("total_orders").join(orders, "city_id", "left").na.fill(0, ["total_orders"])
+    return (
+        per_city
         .select("city_id", "city_name", "tier", money(F.col("revenue")).alias("total_revenue"), "total_orders")
         .orderBy(F.desc_nulls_last("total_revenue"), "city_id")
     )
 
 
+def orders_by_place(t: Tables) -> DataFrame:
+    """Distinct delivered orders of every store, city and tier, and in all, from one state of the orders."""
+    reached = members(delivered_order_places(t)).join(stores_with_city(t), "store_id")
+    return count_by_levels(reached, ["tier", "city_id", "store_id"], "total_orders").select(
+        F.element_at(F.array(*map(F.lit, ["all", "tier", "city", "store"])), F.col("level").cast("int") + 1).alias("level"),
+        "tier", "city_id", "store_id", "total_orders",
+    )
+
+
 def cancellation_rate(t: Tables) -> DataFrame:
     """Percentage of all orders that were cancelled, per store."""
     counts = t["orders"].groupBy("store_id").agg(
@@ -160,16 +178,26 @@ def cancellation_rate(t: Tables) -> DataFrame:
 
 
 def return_rate(t: Tables) -> DataFrame:
-    """Returned items as a percentage of the items customers received.
+    """Returned items as a percentage of the items customers received, each item and each return counted once.
 
-    Lines are counted per order before they meet the orders.  Returns are counted per item, and only lines with a return
-    are looked up.  The two one-row results are stacked and folded.
+    With unique ids, lines are counted per order before they meet the orders, and returns per item; only lines with a
+    return are looked up.  Otherwise the ids that belong to such orders are reduced to distinct ones first.  The two one-row
+    results are stacked and folded.
     """
     received = t["orders"].filter(F.col("order_status").isin("Delivered", "Returned")).select("order_id")
     items = t["order_items"].select("order_item_id", "order_id")
-    counted = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).join(received, "order_id")
-    returns = t["returns"].groupBy("order_item_id").agg(F.count("return_id").alias("n"))
-    returned = returns.join(items, "order_item_id").join(received, "order_id")
+    if {"orders", "order_items", "returns"} <= t.unique:
+        counted = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).join(received, "order_id")
+        returns = t["returns"].groupBy("order_item_id").agg(F.count("return_id").alias("n"))
+        returned = returns.join(items, "order_item_id").join(received, "order_id")
+    else:
+        bought = (
+            items.filter(F.col("order_item_id").isNotNull()).distinct()
+            .join(received, "order_id", "left_semi").select("order_item_id").distinct()
+        )
+        returns = t["returns"].select("return_id", "order_item_id").filter(F.col("return_id").isNotNull()).distinct()
+        returned = returns.join(bought, "order_item_id", "left_semi").select("return_id").distinct()
+        counted, returned = [ids.select(F.lit(1).cast("bigint").alias("n")) for ids in (bought, returned)]
     none = F.lit(None).cast("bigint")
     stacked = counted.agg(F.sum("n").alias("items"), F.max(none).alias("returns")).unionByName(
         returned.agg(F.max(none).alias("items"), F.sum("n").alias("returns"))

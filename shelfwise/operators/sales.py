@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import day_type, month_start, year_month
+from ..functions.distinct import count_by, ids_and_sums, members, memberships
 from ..functions.exact import cents, count_where, mean_money, money, percent
-from ..functions.ordering import join_null_safe, running_totals
+from ..functions.places import Places
 from ..sources.tables import Tables
 from .common import delivered_orders, product_names, sales_by_product, store_names
 
@@ -43,20 +44,11 @@ def category_revenue(t: Tables) -> DataFrame:
 
 def category_share(t: Tables) -> DataFrame:
     """Categories ranked by revenue, with the running share of the total; equal revenues share both."""
-    placed = running_totals(
-        category_revenue(t).withColumn("one", F.lit(1)),
-        [F.desc_nulls_last("revenue"), F.col("category_id")],
-        {"place": "one", "cumulative": "revenue"},
-    )
-    ties = placed.groupBy("revenue").agg(
-        F.min("place").alias("revenue_rank"), F.max_by("cumulative", "place").alias("up_to_last")
-    )
-    share = percent(cents(F.col("up_to_last")), cents(F.col("cumulative_all")))
+    placed = Places(category_revenue(t), "category_id", ["revenue"]).ordered("revenue", descending=True, total="revenue")
     return (
-        join_null_safe(placed, ties, ["revenue"])
-        .select(
-            "category_name", money(F.col("revenue")).alias("revenue"), "revenue_rank",
-            share.alias("cumulative_pct_of_revenue"),
+        placed.select(
+            "category_name", money(F.col("revenue")).alias("revenue"), F.col("rank").alias("revenue_rank"),
+            percent(cents(F.col("running")), cents(F.col("all"))).alias("cumulative_pct_of_revenue"),
         )
         .orderBy("revenue_rank", "category_name")
     )
@@ -64,14 +56,13 @@ def category_share(t: Tables) -> DataFrame:
 
 def weekday_weekend(t: Tables) -> DataFrame:
     """Delivered orders and revenue on weekdays and weekends."""
-    return (
-        delivered_orders(t)
-        .groupBy(day_type(F.col("order_datetime")).alias("day_type"))
-        .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total_amount").alias("revenue"))
-        .select(
-            "day_type", "total_orders", money(F.col("revenue")).alias("total_revenue"),
-            mean_money(F.col("revenue"), F.col("total_orders")).alias("avg_order_value"),
-        )
+    totals = ids_and_sums(
+        delivered_orders(t), "order_id", {"day_type": day_type(F.col("order_datetime"))}, {"revenue": F.col("total_amount")},
+        unique="orders" in t.unique,
+    )
+    return totals.select(
+        "day_type", F.col("ids").alias("total_orders"), money(F.col("revenue")).alias("total_revenue"),
+        mean_money(F.col("revenue"), F.col("rows")).alias("avg_order_value"),
     )
 
 
@@ -95,16 +86,25 @@ def monthly_mom(t: Tables) -> DataFrame:
 
 def promo_effectiveness(t: Tables) -> DataFrame:
     """Delivered orders and revenue per promotion and without one."""
-    per_promo = delivered_orders(t).groupBy("promo_id").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("revenue")
+    unique = "orders" in t.unique
+    orders, promo = delivered_orders(t), {"promo_id": F.col("promo_id")}
+    per_promo = orders.groupBy("promo_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("total_amount").alias("revenue"))
+    label = F.when(F.col("promo_id").isNull(), "No Promotion").otherwise(F.col("promo_code")).alias("promo_used")
+    codes = t["promotions"].select("promo_id", "promo_code")
+    used = (
+        per_promo.join(codes, "promo_id", "left").groupBy(label)
+        .agg(F.sum("rows").alias("rows"), F.sum("revenue").alias("revenue"))
     )
-    label = F.when(F.col("promo_id").isNull(), "No Promotion").otherwise(F.col("promo_code"))
+    if unique:
+        used = used.withColumn("total_orders", F.col("rows"))
+    else:  # ids may stand under several promotions, and promotions may share a code
+        reached = members(memberships(orders, "order_id", promo)).join(codes, "promo_id", "left")
+        counted = count_by(reached.withColumn("_used", label), ["_used"], "total_orders")
+        used = used.join(counted, F.col("promo_used").eqNullSafe(F.col("_used")), "left").na.fill(0, ["total_orders"])
     return (
-        per_promo.join(t["promotions"].select("promo_id", "promo_code"), "promo_id", "left")
-        .groupBy(label.alias("promo_used"))
-        .agg(F.sum("orders").alias("total_orders"), F.sum("revenue").alias("revenue"))
+        used
         .select(
-            "promo_used", "total_orders", mean_money(F.col("revenue"), F.col("total_orders")).alias("avg_order_value"),
+            "promo_used", "total_orders", mean_money(F.col("revenue"), F.col("rows")).alias("avg_order_value"),
             money(F.col("revenue")).alias("total_revenue"),
         )
         .orderBy(F.desc_nulls_last("total_revenue"), "promo_used")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import SCHEMAS
 from ..sources.files import parquet_tables
 from ..sources.tables import Tables
-from . import views
+from . import alerts, views
 
 
 def refresh_monthly_city_revenue(
@@ -43,18 +42,14 @@ def refresh_stored_months(
     return refresh_monthly_city_revenue(spark, parquet_tables(spark, stored, months), folder, view, months, previous)
 
 
-def flag_low_stock(t: Tables, folder: str) -> str:
-    """Append an alert for every store and product at or below its reorder level; returns the table's path."""
-    path = f"{folder}/low_stock_alerts"
-    (
-        views.product_inventory_health(t)
-        .filter("needs_reorder")
-        .select("store_id", "product_id", "closing_stock", "reorder_level", F.localtimestamp().alias("flagged_at"))
-        .write.mode("append")
-        .parquet(path)
-    )
+def flag_low_stock(t: Tables, folder: str, run: str | None = None) -> str:
+    """Append an alert for every store and product at or below its reorder level; returns the table's path.
+
+    A ``run`` (say, its date) is appended once, also when it is tried again; without one, every call is a run of its own.
+    """
+    path, low = f"{folder}/low_stock_alerts", alerts.low_stock(t)
+    alerts.append_alerts(low.sparkSession, low, path, run or uuid.uuid4().hex)
     return path
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS["low_stock_alerts"]).parquet(path)
+read_alerts = alerts.read_alerts

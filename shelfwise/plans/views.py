@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_start, year_month
-from ..functions.exact import count_where, mean, mean_money, money, sum_where
+from ..functions.distinct import count_by, ids_and_sums, members, memberships
+from ..functions.exact import mean, mean_money, money
 from ..operators.common import (
     COMPLETED, delay, delivered_orders, latest_stock, product_names, store_names, stores_with_city,
 )
@@ -18,25 +19,25 @@ STORED_MONEY = "decimal(24,2)"
 
 
 def store_daily_performance(t: Tables) -> DataFrame:
-    """Orders, delivered revenue, cancellations and average delay per store and day.
+    """Distinct orders, delivered revenue, cancellations and average delay per store and day.
 
     Revenue is NULL on a day without a delivered order.  Deliveries are summed per order first, so that the left join
     repeats no order, however often one was delivered.
     """
     done = F.when(F.col("delivery_status").isin(COMPLETED), delay())
     deliveries = t["deliveries"].groupBy("order_id").agg(F.sum(done).alias("delay_sum"), F.count(done).alias("delay_count"))
-    daily = (
-        t["orders"]
-        .join(deliveries, "order_id", "left")
-        .groupBy("store_id", F.to_date("order_datetime").alias("order_date"))
-        .agg(
-            F.count(F.lit(1)).alias("total_orders"),
-            sum_where(F.col("order_status") == "Delivered", F.col("total_amount")).alias("revenue"),
-            count_where(F.col("order_status") == "Cancelled").alias("cancelled_orders"),
-            F.sum("delay_sum").alias("delay_sum"),
-            F.sum("delay_count").alias("delay_count"),
-        )
-    )
+    status = F.col("order_status")
+    daily = ids_and_sums(
+        t["orders"].join(deliveries, "order_id", "left"), "order_id",
+        {"store_id": F.col("store_id"), "order_date": F.to_date("order_datetime")},
+        {
+            "revenue": F.when(status == "Delivered", F.col("total_amount")),
+            "cancelled_orders": F.when(status == "Cancelled", F.lit(1).cast("bigint")).otherwise(0),
+            "delay_sum": F.col("delay_sum"),
+            "delay_count": F.col("delay_count"),
+        },
+        unique="orders" in t.unique,
+    ).withColumnRenamed("ids", "total_orders")
     return daily.join(stores_with_city(t), "store_id").select(
         "store_id", "store_name", "city_name", "order_date", "total_orders",
         money(F.col("revenue")).alias("total_revenue"), "cancelled_orders",
@@ -72,18 +73,25 @@ def monthly_city_revenue(t: Tables, months: list[str] | None = None) -> DataFram
     if months is not None:
         wanted = [_in_month(F.col("order_datetime"), month) for month in months]
         orders = orders.filter(reduce(Column.__or__, wanted, F.lit(False)))
-    per_store = orders.groupBy("store_id", month_start(F.col("order_datetime")).alias("month")).agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("revenue")
+    month, places = month_start(F.col("order_datetime")), stores_with_city(t)
+    per_store = orders.groupBy("store_id", month.alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("total_amount").alias("revenue")
     )
-    return (
-        per_store.join(stores_with_city(t), "store_id")
+    monthly = (
+        per_store.join(places, "store_id")
         .groupBy("city_id", "city_name", "month")
-        .agg(F.sum("orders").alias("total_orders"), F.sum("revenue").alias("revenue"))
-        .select(
-            "city_id", "city_name", year_month(F.col("month")).alias("order_month"), "total_orders",
-            F.col("revenue").cast(STORED_MONEY).alias("total_revenue"),
-            mean_money(F.col("revenue"), F.col("total_orders")).cast(STORED_MONEY).alias("avg_order_value"),
-        )
+        .agg(F.sum("rows").alias("rows"), F.sum("revenue").alias("revenue"))
+    )
+    if "orders" in t.unique:
+        monthly = monthly.withColumn("total_orders", F.col("rows"))
+    else:  # an order counts once per city and month, in whichever of the city's stores it stands
+        sets = memberships(orders, "order_id", {"store_id": F.col("store_id"), "month": month})
+        counted = count_by(members(sets).join(places, "store_id"), ["city_id", "month"], "total_orders")
+        monthly = monthly.join(counted, ["city_id", "month"], "left").na.fill(0, ["total_orders"])
+    return monthly.select(
+        "city_id", "city_name", year_month(F.col("month")).alias("order_month"), "total_orders",
+        F.col("revenue").cast(STORED_MONEY).alias("total_revenue"),
+        mean_money(F.col("revenue"), F.col("rows")).cast(STORED_MONEY).alias("avg_order_value"),
     )
 
 

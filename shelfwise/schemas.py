@@ -159,6 +159,29 @@ NOT_NULL: dict[str, list[str]] = {
     "returns": ["order_item_id", "return_date", "refund_amount"],
 }
 
+# (table, column): most characters of a text
+TEXT_LENGTHS: dict[tuple[str, str], int] = {
+    ("cities", "city_name"): 100,
+    ("cities", "state"): 100,
+    ("cities", "tier"): 10,
+    ("dark_stores", "store_name"): 150,
+    ("categories", "category_name"): 100,
+    ("products", "product_name"): 200,
+    ("products", "brand"): 100,
+    ("customers", "full_name"): 150,
+    ("customers", "email"): 150,
+    ("customers", "phone"): 20,
+    ("promotions", "promo_code"): 30,
+    ("promotions", "description"): 200,
+    ("delivery_partners", "partner_name"): 150,
+    ("delivery_partners", "vehicle_type"): 30,
+    ("orders", "order_status"): 20,
+    ("deliveries", "delivery_status"): 20,
+    ("payments", "payment_method"): 20,
+    ("payments", "payment_status"): 20,
+    ("returns", "return_reason"): 200,
+}
+
 COLUMN_DEFAULTS: dict[str, dict[str, object]] = {
     "dark_stores": {"is_active": True},
     "products": {"is_active": True},

@@ -118,3 +118,66 @@ def broken_returns(t: Tables) -> DataFrame:
         "refund_amount": (F.col("refund_amount") + F.when(key % 5 == 0, 1).otherwise(0)).cast("decimal(12,2)"),
         "return_date": F.date_add("return_date", F.when(key % 7 == 0, 9).otherwise(0).cast("int")),
     })
+
+
+def repeated_orders(t: Tables) -> DataFrame:
+    """Every second order twice, and every third once more in another store, a day later and with another promotion."""
+    orders, key = t["orders"], F.col("order_id")
+    moved = orders.filter(key % 3 == 0).withColumns({
+        "store_id": F.col("store_id") - F.when(F.col("store_id") > 0, 1).otherwise(0),
+        "order_datetime": F.timestamp_add("DAY", F.lit(1), F.col("order_datetime")),
+        "promo_id": F.when(key % 4 == 0, F.col("promo_id")).otherwise(2),
+    })
+    return orders.unionByName(orders.filter(key % 2 == 0)).unionByName(moved)
+
+
+def repeated_items(t: Tables) -> DataFrame:
+    """Every second order line twice."""
+    return t["order_items"].unionByName(t["order_items"].filter(F.col("order_item_id") % 2 == 0))
+
+
+def repeated_returns(t: Tables) -> DataFrame:
+    """Every third return three times."""
+    again = t["returns"].filter(F.col("return_id") % 3 == 0)
+    return t["returns"].unionByName(again).unionByName(again)
+
+
+def repeated_customers(t: Tables) -> DataFrame:
+    """Every second customer once more in another city, active there if not here; every third customer twice."""
+    customers, key = t["customers"], F.col("customer_id")
+    moved = customers.filter(key % 2 == 0).withColumns(
+        {"city_id": (F.col("city_id") + 1) % 25, "is_active": ~F.col("is_active")}
+    )
+    return customers.unionByName(moved).unionByName(customers.filter(key % 3 == 0))
+
+
+def more_orders(t: Tables, month: str) -> DataFrame:
+    """The orders of a month once more, under other ids."""
+    orders = t["orders"].filter(F.date_format("order_datetime", "yyyy-MM") == month)
+    return orders.withColumn("order_id", F.col("order_id") + 1_000_000_000)
+
+
+def unknown_text(t: Tables) -> DataFrame:
+    """Orders as text under names that no schema has; a single order decides the types of two columns."""
+    key = F.col("order_id")
+    text = key.cast("string")
+    return t["orders"].select(
+        text.alias("number"), F.col("total_amount").cast("string").alias("amount"), F.col("order_status").alias("word"),
+        F.when(key % 2 == 0, "True").otherwise("FALSE").alias("even"),
+        F.when(key == 1, "0.5").otherwise(text).alias("nearly_whole"), F.when(key == 1, "none").otherwise(text).alias("nearly_number"),
+        F.when(key % 3 == 0, "N/A").otherwise(text).alias("some_missing"), F.lit("NaN").alias("all_missing"),
+    )
+
+
+def long_customers(t: Tables) -> DataFrame:
+    """Some names and telephone numbers that are too long, and some that just fit."""
+    key = F.col("customer_id")
+    return t["customers"].withColumns({
+        "full_name": F.when(key % 13 == 0, F.repeat("full_name", F.lit(40))).otherwise(F.col("full_name")),
+        "phone": F.when(key % 17 == 0, "9" * 21).when(key % 19 == 0, "9" * 20).otherwise(F.col("phone")),
+    })
+
+
+def all_products_stock(t: Tables) -> DataFrame:
+    """The snapshots under other products in every store, so that most products have some."""
+    return t["inventory"].withColumn("product_id", F.col("product_id") + 20 * F.col("store_id"))

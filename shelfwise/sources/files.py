@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import SCHEMAS
+from ..schemas import SCHEMAS, TEXT_LENGTHS
+from .inference import infer_types, typed
 from .tables import Tables
 
 BASE_TABLES = [name for name in SCHEMAS if name != "low_stock_alerts"]
@@ -42,9 +43,15 @@ def whole_number_text(column: Column) -> Column:
     return F.regexp_replace(column, r"^(\s*[+-]?[0-9]+)\.0*(\s*)$", "$1$2")
 
 
-def typed_text(field: T.StructField, strict: bool = True) -> Column:
-    """The text column of a field as its type; a value that does not fit stops the job, or is NULL if not ``strict``."""
+def typed_text(field: T.StructField, strict: bool = True, longest: int | None = None) -> Column:
+    """The text column of a field as its type; a value that does not fit stops the job, or is NULL if not ``strict``.
+
+    Text of more than ``longest`` characters does not fit.
+    """
     text = F.col(field.name)
+    if longest is not None:
+        refused = F.raise_error(F.concat(F.lit(f"{field.name} is longer than {longest}: "), text)) if strict else F.lit(None)
+        text = F.when(F.length(text) > longest, refused).otherwise(text)
     if isinstance(field.dataType, T.IntegralType):
         text = whole_number_text(text)
     return (text.cast(field.dataType) if strict else text.try_cast(field.dataType)).alias(field.name)
@@ -58,7 +65,13 @@ def read_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = read_csv_text(spark, f"{folder}/{name}.csv")
     if missing := [c for c in SCHEMAS[name].fieldNames() if c not in df.columns]:
         raise ValueError(f"{folder}/{name}.csv has no column {', '.join(missing)}")
-    return df.select([typed_text(f) for f in SCHEMAS[name]])
+    return df.select([typed_text(f, longest=TEXT_LENGTHS.get((name, f.name))) for f in SCHEMAS[name]])
+
+
+def read_csv_inferred(spark: SparkSession, path: str, times: bool = False) -> DataFrame:
+    """A CSV file, or a folder of parts, that no schema describes: types from a pass over all of its values."""
+    text = read_csv_text(spark, path)
+    return typed(text, infer_types(text, times=times))
 
 
 def csv_names(spark: SparkSession, folder: str) -> list[str]:
@@ -123,15 +136,28 @@ def csv_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables({name: lambda _t, name=name: read_csv(spark, folder, name) for name in BASE_TABLES})
 
 
-def save_tables(t: Tables, database: str, buckets: int) -> None:
-    """Store the tables in a catalog database, parents first, the large ones in ``buckets`` sorted buckets."""
-    for name in BASE_TABLES:
-        df, keys = t[name], BUCKETS_OF.get(name)
-        if keys:
-            writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
-        else:
-            writer = df.write
-        writer.mode("overwrite").saveAsTable(f"{database}.{name}")
+def _definition(name: str) -> str:
+    """The table's columns for the catalog, texts with their bounds."""
+    kinds = {f.name: f.dataType.simpleString() for f in SCHEMAS[name]}
+    bounded = {column: f"VARCHAR({n})" for (table, column), n in TEXT_LENGTHS.items() if table == name}
+    return ", ".join(f"{column} {kind}" for column, kind in {**kinds, **bounded}.items())
+
+
+def save_tables(t: Tables, database: str, buckets: int, names: Iterable[str] = BASE_TABLES) -> None:
+    """Store tables in a catalog database, parents first, the large ones in ``buckets`` sorted buckets.
+
+    Texts have the lengths of the schema there: a longer one stops the job, and the table of before stays.  A session that
+    has read a table before must refresh it to see the new one.
+    """
+    for name in (known for known in BASE_TABLES if known in names):
+        df, keys, fresh = t[name].select(SCHEMAS[name].fieldNames()), BUCKETS_OF.get(name), f"{database}.{name}__fresh"
+        spark, by = df.sparkSession, ", ".join(keys or [])
+        clustered = f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS" if keys else ""
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        spark.sql(f"CREATE TABLE {fresh} ({_definition(name)}) USING parquet {clustered}")
+        (df.repartition(buckets, *keys) if keys else df).write.insertInto(fresh)
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {database}.{name}")
 
 
 def catalog_tables(spark: SparkSession, database: str) -> Tables:

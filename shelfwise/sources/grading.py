@@ -35,9 +35,9 @@ PROMOTIONS = """
       (5, 'QUICK5',    'Five off for an hour',      5, DATE'1999-01-01', DATE'2001-12-31')
       AS t(promo_id, promo_code, description, discount_pct, start_date, end_date)
 """
-SHELF_LIVES = [3, 7, 15, 30, 90, 180, 365]
+SHELF_LIVES = [2, 5, 12, 24, 60, 150, 400]
 VEHICLES = ["Bike", "Bicycle", "Scooter"]
-PROMISED_MINUTES = [10, 15, 20, 30]
+PROMISED_MINUTES = [9, 14, 22, 34]
 PAYMENT_METHODS = ["UPI", "Card", "Wallet", "COD", "NetBanking"]
 RETURN_REASONS = ["Broken on arrival", "Not what was ordered", "Past its date", "Poor quality", "No longer wanted"]
 
@@ -307,5 +307,7 @@ def grading_tables(spark: SparkSession, folder: str) -> Tables:
             "payments": _payments,
             "returns": _returns,
             "inventory": _inventory,
-        }
+        },
+        # Made row by row from tables with these keys.
+        unique=["customers", "orders", "order_items", "deliveries", "payments", "returns"],
     )

@@ -1,4 +1,4 @@
-"""Distributed numbering, ranks and running totals against ordinary windows."""
+"""Distributed numbering and ranks against ordinary windows."""
 
 import random
 
@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordering import (
-    number_rows, percent_rank, previous_value, rank_rows, running_totals, tile, tile_end,
+    percent_rank, previous_value, rank_rows, tile, tile_end,
 )
 
 
@@ -73,15 +73,6 @@ def test_percent_rank_of_a_single_row(spark):
     assert [r[0] for r in df.select(percent_rank(F.col("r"), F.col("n"))).collect()] == [0.0, 0.0, 0.667]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_running_totals(spark, seed):
-    df = values(spark, 300, 10**6, seed)
-    upward = Window.orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
-    expected = df.select("id", F.sum("g").over(upward), F.sum("g").over(Window.partitionBy()))
-    got = running_totals(df, [F.col("v"), F.col("id")], {"total": "g"})
-    assert rows(got.select("id", "total", "total_all")) == rows(expected)
-
-
 @pytest.mark.parametrize("width", [1, 7, 50, 10**6])
 def test_previous_value_is_the_same_however_wide_the_blocks(spark, width):
     df = values(spark, 500, 1000, 7)
@@ -93,5 +84,5 @@ def test_previous_value_is_the_same_however_wide_the_blocks(spark, width):
 
 def test_numbers_survive_a_second_read(spark):
     """Positions are stored values: reading twice gives the same ones."""
-    numbered = number_rows(spark.range(1000).withColumn("v", F.col("id") % 7), [F.col("v"), F.col("id")])
+    numbered = rank_rows(spark.range(1000).withColumn("v", F.col("id") % 7), by="v", tie_break="id")
     assert rows(numbered) == rows(numbered)
