@@ -57,6 +57,18 @@ _SERIALS = 1 << 36
 _STOPS = b".,;:!?"
 
 
+# Byte-level tokenizers write a byte as the character of its number if that is printable, and the others, in order, as the
+# characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE) if byte > 127}
+
+
+def _is_small_latin(word: bytes) -> bool:
+    """Whether a word has only letters below U+0250 that are their own lower case; those are in normal form C too."""
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and text.lower() == text
+
+
 class WordIds:
     """Ids of texts by a tokenizer that never joins what white space divides, learned once per distinct word.
 
@@ -66,10 +78,14 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # For words of small Latin letters, all that the tokenizer does before it looks for merges is to write their bytes
+        # as characters.
+        self.merges_only = Tokenizer(self.tokenizer.model)
+        self.merges_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -81,12 +97,12 @@ class WordIds:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _together(self, words: list[bytes]) -> list[bytes]:
-        """Words of letters, in one text: each gives one word of the tokenizer, seen by its end; else one by one."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            return self._one_by_one(words)
-        raw, bounds = ids.tobytes(), (4 * ends).tolist()
+        """Words of small Latin letters, in one text: each is one word of the tokenizer, and is seen by its end."""
+        joined = b" ".join(words)
+        text = joined.decode("latin-1")
+        text = text if joined.isascii() else text.translate(_BYTE_CHARACTERS)
+        ids = np.array(self.merges_only.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        raw, bounds = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         return [raw[low:high] for low, high in zip([0, *bounds], bounds)]
 
     def _learn(self, words: Iterable[bytes]) -> None:
@@ -98,10 +114,11 @@ class WordIds:
                 wanted.update((stem, word[len(stem) :]))
             else:
                 wanted.add(word)
-        new = sorted(wanted.difference(self.known))
-        letters = [w for w in new if w.isalpha()]  # of ASCII
-        others = [w for w in new if not w.isalpha()]
-        for some, encode in ((letters, self._together), (others, self._one_by_one)):
+        new = wanted.difference(self.known)
+        ascii, latin, others = [], [], []
+        for word in new:
+            (ascii if word.isalpha() else latin if _is_small_latin(word) else others).append(word)
+        for some, encode in ((ascii, self._together), (latin, self._together), (others, self._one_by_one)):
             for low in range(0, len(some), CALL):
                 part = some[low : low + CALL]
                 self.known.update(zip(part, encode(part)))

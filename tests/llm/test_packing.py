@@ -32,6 +32,7 @@ def test_ids_equal_the_tokenizer(tokenizer):
              "́", "K", "İ", "ΣΑΣ", "ß", "日本", "12,5", "a.b", "...", "word.", "x!?", "<|endoftext|>", "😀", "가",
              "fi", "\x00", "_", "-", "co-op", "'", "naïve", "Ａ", "שלום", "יִ"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(1500)]
+    texts += [" ".join(chr(c) + "x " + chr(c) for c in range(low, low + 64) if chr(c).isprintable()) for low in range(0x80, 0x300, 64)]
     texts += ["", None, "a" * 5_000, "." * 900, " " * 50, "The quick brown fox, the quick. THE QUICK!"]
     encoder = packing.WordIds(PATH)
     for low in range(0, len(texts), 100):
