@@ -214,10 +214,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         encoder = Encoder(vocabulary, pattern, written_out(vocabulary))
         gc.freeze()  # millions of remembered words need no tracing
         gc.disable()
-        for whole in batches:
-            for batch in chunks(whole, PIECE_BYTES):
-                rows = list(_digests(encoder, [t or "" for t in batch.column("text").to_pylist()]))
-                yield table(_ARROW, batch.column("doc_id"), *zip(*rows))
+        try:
+            for whole in batches:
+                for batch in chunks(whole, PIECE_BYTES):
+                    rows = list(_digests(encoder, [t or "" for t in batch.column("text").to_pylist()]))
+                    yield table(_ARROW, batch.column("doc_id"), *zip(*rows))
+        finally:  # the worker goes on to other tasks
+            gc.enable()
+            gc.unfreeze()
 
     return in_arrow(texts(docs), run, SCHEMA)
 
