@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +63,13 @@ def rfm(t: Tables) -> DataFrame:
     )
     quartiles = {"recency_quartile": "last_order_date", "frequency_quartile": "frequency", "monetary_quartile": "spend"}
     places = Places(spenders, "customer_id", list(quartiles.values()))
-    customers = places.table
-    for name, value in quartiles.items():
-        placed = places.ordered(value, descending=True)
-        customers = customers.join(placed.select("customer_id", tile(F.col("position"), F.col("rows"), 4).alias(name)), "customer_id")
+    placed = [
+        places.ordered(value, descending=True).select("customer_id", value, tile(F.col("position"), F.col("rows"), 4).alias(name))
+        for name, value in quartiles.items()
+    ]
+    # A row per customer and order, with the other orders' columns missing, is folded into a row per customer.
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
+    customers = stacked.groupBy("customer_id").agg(*[F.max(c).alias(c) for c in [*quartiles, *quartiles.values()]])
     return customers.join(t["customers"].select("customer_id", "full_name"), "customer_id").orderBy(F.desc_nulls_last("spend"), "customer_id").select(
         "customer_id", "full_name", "last_order_date", "frequency", money(F.col("spend")).alias("monetary"),
         "recency_quartile", "frequency_quartile", "monetary_quartile",
