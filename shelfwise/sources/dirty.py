@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Tables
 
 
+def _times(n: int) -> Column:
+    return F.array(*map(F.lit, range(n)))
+
+
+def _again(df: DataFrame, copies: Column) -> DataFrame:
+    """Every row as often as ``copies`` (of ``_times``) says, numbered by ``_copy`` from 0, in one pass over the table."""
+    return df.withColumn("_copy", F.explode(copies))
+
+
 def dirty_orders(t: Tables) -> DataFrame:
     """Every tenth order twice, some statuses missing, some dates not dates."""
     orders, key = t["orders"], F.col("order_id")
@@ -31,11 +40,10 @@ def dirty_customers(t: Tables) -> DataFrame:
 
 def dirty_inventory(t: Tables) -> DataFrame:
     """Zero wastage missing, some dates bad, and a second, differing copy of one store."""
-    stock = t["inventory"]
-    copies = stock.filter(F.col("store_id") == 3).withColumn("closing_stock", F.col("closing_stock") + 1)
     bad = (F.col("product_id") == 7) & (F.col("store_id") % 5 == 0)
     return (
-        stock.unionByName(copies)
+        _again(t["inventory"], F.when(F.col("store_id") == 3, _times(2)).otherwise(_times(1)))
+        .withColumn("closing_stock", F.col("closing_stock") + F.col("_copy")).drop("_copy")
         .withColumn("stock_date", F.when(bad, "bad").otherwise(F.col("stock_date").cast("string")))
         .withColumn("units_wasted", F.when(F.col("units_wasted") != 0, F.col("units_wasted")))
     )
@@ -54,12 +62,12 @@ def dirty_refs(t: Tables) -> DataFrame:
 
 def dirty_deliveries(t: Tables) -> DataFrame:
     """Two of three orders delivered twice, some a third time and later."""
-    deliveries, key = t["deliveries"], F.col("order_id")
-    again = deliveries.filter(key % 3 != 0).withColumn("delivery_id", F.col("delivery_id") + 1_000_000_000)
-    late = deliveries.filter(key % 9 == 1).withColumns(
-        {"delivery_id": F.col("delivery_id") + 2_000_000_000, "actual_time_mins": F.col("actual_time_mins") + 7}
-    )
-    return deliveries.unionByName(again).unionByName(late)
+    key, copy = F.col("order_id"), F.col("_copy")
+    copied = _again(t["deliveries"], F.when(key % 9 == 1, _times(3)).when(key % 3 != 0, _times(2)).otherwise(_times(1)))
+    return copied.withColumns({
+        "delivery_id": F.col("delivery_id") + copy * F.lit(1_000_000_000).cast("bigint"),
+        "actual_time_mins": F.col("actual_time_mins") + F.when(copy == 2, 7).otherwise(0),
+    }).drop("_copy")
 
 
 def without_some_customers(t: Tables) -> DataFrame:
@@ -133,13 +141,12 @@ def repeated_orders(t: Tables) -> DataFrame:
 
 def repeated_items(t: Tables) -> DataFrame:
     """Every second order line twice."""
-    return t["order_items"].unionByName(t["order_items"].filter(F.col("order_item_id") % 2 == 0))
+    return _again(t["order_items"], F.when(F.col("order_item_id") % 2 == 0, _times(2)).otherwise(_times(1))).drop("_copy")
 
 
 def repeated_returns(t: Tables) -> DataFrame:
     """Every third return three times."""
-    again = t["returns"].filter(F.col("return_id") % 3 == 0)
-    return t["returns"].unionByName(again).unionByName(again)
+    return _again(t["returns"], F.when(F.col("return_id") % 3 == 0, _times(3)).otherwise(_times(1))).drop("_copy")
 
 
 def repeated_customers(t: Tables) -> DataFrame:
