@@ -93,3 +93,23 @@ def test_a_missing_table_or_column_is_not_passed_over(spark):
     t = tables(spark, orders=[order(1)])
     with pytest.raises(ValueError, match="not checked: orders has no column"):
         Offenders(t.replaced(orders=t["orders"].drop("store_id")), ["orders"])
+
+
+def test_the_summary_reads_every_table_once_and_joins_nothing(spark, tmp_path):
+    t = tables(spark, cities=CITIES, dark_stores=STORES, customers=[dict(customer_id=1, city_id=1)], orders=[
+        order(1), order(1), order(2, customer_id=5, status="Odd", total="-1.00"), order(None)],
+        deliveries=[dict(delivery_id=k, order_id=1) for k in range(2)], payments=[dict(payment_id=1, order_id=7)])
+    for name in BASE_TABLES:
+        t[name].write.parquet(str(tmp_path / name))
+    summary = Offenders(t.replaced(**{name: spark.read.parquet(str(tmp_path / name)) for name in BASE_TABLES})).summary()
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == len(BASE_TABLES) and "Join" not in plan
+    found = {(r["table_name"], r["rule"]): r["offending_rows"] for r in summary.collect()}
+    by_row = {}
+    offenders_ = Offenders(t)
+    for name in BASE_TABLES:
+        for r in offenders_.by_rule(name).select("rule").collect():
+            by_row[name, r["rule"]] = by_row.get((name, r["rule"]), 0) + 1
+    assert found == by_row
+    assert found["orders", "primary key order_id"] == 3 and found["deliveries", "unique order_id"] == 2
+    assert found["payments", "order_id in orders"] == 1 and found["orders", "order_status domain"] == 1
