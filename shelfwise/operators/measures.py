@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_start, year_month
 from ..functions.exact import cents, count_where, money, share
+from ..session import dealt_out
 from ..sources.tables import Tables
 from .common import on_time
 
@@ -28,16 +29,16 @@ SUMS = ("revenue", "orders", "cancelled", "on_time", "deliveries", "sold", "avai
 
 
 def states(t: Tables) -> DataFrame:
-    """The sums of every store and month, with the store's city and tier; each fact is read once."""
-    finest = ["store_id", "month"]
+    """The sums of every store and month, with the store's city and tier; each fact is read once, and orders are counted."""
+    finest, number = ["store_id", "month"], t["orders"].count()
     placed = t["orders"].select("order_id", "store_id", month_start(F.col("order_datetime")).alias("month"), "order_status", "total_amount")
     orders = placed.groupBy(*finest).agg(
         F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("orders"),
         count_where(F.col("order_status") == "Cancelled").alias("cancelled"),
     )
     deliveries = (
-        t["deliveries"].select("order_id", on_time().alias("in_time"))
-        .join(placed.select("order_id", *finest), "order_id", "left").groupBy(*finest)
+        dealt_out(t["deliveries"].select("order_id", on_time().alias("in_time")), number, "order_id")
+        .join(dealt_out(placed.select("order_id", *finest), number, "order_id"), "order_id", "left").groupBy(*finest)
         .agg(count_where(F.col("in_time")).alias("on_time"), F.count(F.lit(1)).alias("deliveries"))
     )
     stock = t["inventory"].groupBy("store_id", month_start(F.col("stock_date")).alias("month")).agg(
@@ -48,7 +49,7 @@ def states(t: Tables) -> DataFrame:
         "store_id", F.add_months("month", 1).alias("month"), F.col("revenue").alias("prior_revenue")
     ).filter(F.col("month") <= last)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [orders, deliveries, stock, before])
-    summed = stacked.groupBy(*finest).agg(*[F.sum(c).alias(c) for c in SUMS])
+    summed = dealt_out(stacked, number, *finest).groupBy(*finest).agg(*[F.sum(c).alias(c) for c in SUMS])
     cities = t["cities"].select("city_id", "tier")
     stores = t["dark_stores"].select("store_id", "city_id").join(cities, "city_id")
     return summed.join(stores, "store_id", "left")
